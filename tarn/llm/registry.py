@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from tarn.llm import line_dedup
+from tarn.llm import bpe, html_text, line_dedup
 
 QUERIES = {
+    "op1_bpe": bpe.query,
     "op3_line_dedup": line_dedup.query,
+    "op7_html_extraction": html_text.query,
 }
 
 ORACLE_SQL = {

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from tarn.llm import bpe, html_text, line_dedup
+from tarn.llm import bpe, exact_dedup, html_text, line_dedup, quality_model
 
 QUERIES = {
     "op1_bpe": bpe.query,
     "op3_line_dedup": line_dedup.query,
+    "op5_quality_classifier": quality_model.query,
     "op7_html_extraction": html_text.query,
+    "op10_exact_dedup": exact_dedup.query,
 }
 
 ORACLE_SQL = {
     "op3_line_dedup": line_dedup.SQL,
+    "op10_exact_dedup": exact_dedup.SQL,
 }

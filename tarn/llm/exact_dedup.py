@@ -96,7 +96,7 @@ def _false_hits(docs: DataFrame, groups: DataFrame, text_col: str) -> DataFrame:
 def groups_of(docs: DataFrame, arrivals: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs`` (located): the row's columns, and which row of its group stays.
 
-    Adds keep_id, group_size (long), kept (boolean) and text_sha256. Null text counts as empty and
+    Adds keep_id, group_size (long) and kept (boolean). Null text counts as empty and
     empty texts are equal. Of equal texts the row with the largest id stays; ids that are equal are
     told apart by file and row, so that exactly one row of each group stays; null ids come last.
     """
@@ -134,8 +134,8 @@ def query(spark, sf_dir: str) -> DataFrame:
     """op10_exact_dedup."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     arrivals = stream_of(spark, f"{sf_dir}/documents.parquet", docs.schema)
-    out = groups_of(located(docs), arrivals)
-    return out.select("doc_id", "keep_id", "group_size", "kept", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+    out = groups_of(located(docs).withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")), 256)), arrivals)
+    return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 SQL = """

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tarn.llm import bpe, exact_dedup, html_text, jaccard_join, line_dedup, quality_model
+from tarn.llm import bpe, exact_dedup, html_text, jaccard_join, line_dedup, quality_model, quality_rules
 
 QUERIES = {
     "op1_bpe": bpe.query,
     "op3_line_dedup": line_dedup.query,
     "op5_quality_classifier": quality_model.query,
+    "op6_quality_rules": quality_rules.query,
     "op7_html_extraction": html_text.query,
     "op8_ngram_jaccard_join": jaccard_join.query,
     "op10_exact_dedup": exact_dedup.query,

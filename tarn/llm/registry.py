@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tarn.llm import bpe, exact_dedup, html_text, jaccard_join, line_dedup, quality_model, quality_rules
+from tarn.llm import bpe, exact_dedup, html_text, jaccard_join, license_scan, line_dedup, quality_model, quality_rules
 
 QUERIES = {
     "op1_bpe": bpe.query,
     "op3_line_dedup": line_dedup.query,
+    "op4_license_scan": license_scan.query,
     "op5_quality_classifier": quality_model.query,
     "op6_quality_rules": quality_rules.query,
     "op7_html_extraction": html_text.query,
@@ -16,5 +17,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op3_line_dedup": line_dedup.SQL,
+    "op4_license_scan": license_scan.SQL,
     "op10_exact_dedup": exact_dedup.SQL,
 }

@@ -49,5 +49,5 @@ def text_of(df: DataFrame, column: str = "text") -> Column:
 
 
 def lower_ascii(c: Column) -> Column:
-    """A-Z lower-cased, all else unchanged."""
-    return F.translate(c, UPPER, LOWER)
+    """A-Z lower-cased, all else unchanged. lower() is the faster way where all is ASCII."""
+    return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import LOWER, UPPER, WHITE, lower_ascii, table, text_of
+from tarn.llm.common import LOWER, UPPER, WHITE, lower_ascii, table, text_of, written
 
 
 def line_key(line: Column) -> Column:
@@ -18,9 +18,8 @@ def line_key(line: Column) -> Column:
     return lower_ascii(F.btrim(line, F.lit(WHITE)))
 
 
-def _hash(line: Column) -> Column:
-    key = line_key(line)
-    return F.when(key != "", F.struct(F.xxhash64(key).alias("a"), F.xxhash64(F.lit(1), key).alias("b")))
+def _hash(key: Column) -> tuple[Column, Column]:
+    return F.xxhash64(key).alias("_a"), F.xxhash64(F.lit(1), key).alias("_b")
 
 
 def drop_common_lines(docs: DataFrame, min_docs: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -34,17 +33,17 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, id_col: str = "doc_id
     gives an empty table.
     """
     lines = F.split(text_of(docs, text_col), "\n", -1)
-    hashed = docs.select(
-        F.col(id_col).alias("_id"), F.explode(F.array_compact(F.array_distinct(F.transform(lines, _hash)))).alias("_h")
-    ).select("_id", F.col("_h.a").alias("_a"), F.col("_h.b").alias("_b"))
+    keys = docs.select(F.col(id_col).alias("_id"), F.explode(F.array_distinct(F.transform(lines, line_key))).alias("_k"))
+    hashed = written(keys.where(F.col("_k") != "").select("_id", *_hash(F.col("_k"))), "line-hashes")
     common = hashed.groupBy("_a", "_b").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_docs).drop("_n")
-    drops = hashed.join(common, ["_a", "_b"]).groupBy("_id").agg(F.collect_set(F.struct(F.col("_a").alias("a"), F.col("_b").alias("b"))).alias("_drop"))
+    common = written(common, "common-lines")  # so that the join reads two plain shuffles, of which a hot line's can be split
+    drops = hashed.join(common, ["_a", "_b"]).groupBy("_id").agg(F.collect_set(F.struct("_a", "_b")).alias("_drop"))
 
     rest = [c for c in docs.columns if c not in (text_col, "n_lines", "n_dropped")]
     base = docs.select(*[F.col(f"`{c}`") for c in rest], text_of(docs, text_col).alias("_text"), F.col(id_col).alias("_key"))
     both = base.join(drops, F.col("_key").eqNullSafe(F.col("_id")), "left")
     split = F.split("_text", "\n", -1)
-    kept = F.filter(split, lambda x: ~F.coalesce(F.array_contains(F.col("_drop"), _hash(x)), F.lit(False)))
+    kept = F.filter(split, lambda x: ~F.array_contains(F.col("_drop"), F.struct(*_hash(line_key(x)))))
     out = both.withColumn("_kept", F.when(F.col("_drop").isNotNull(), kept))
     n = F.size(split).cast("long")
     return out.select(

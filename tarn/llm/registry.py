@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tarn.llm import bpe, exact_dedup, html_text, jaccard_join, license_scan, line_dedup, quality_model, quality_rules
+from tarn.llm import bpe, exact_dedup, html_text, jaccard_join, license_scan, line_dedup, mixing, quality_model, quality_rules
 
 QUERIES = {
     "op1_bpe": bpe.query,
+    "op2_source_mixing": mixing.query,
     "op3_line_dedup": line_dedup.query,
     "op4_license_scan": license_scan.query,
     "op5_quality_classifier": quality_model.query,
@@ -16,6 +17,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_source_mixing": mixing.SQL,
     "op3_line_dedup": line_dedup.SQL,
     "op4_license_scan": license_scan.SQL,
     "op10_exact_dedup": exact_dedup.SQL,

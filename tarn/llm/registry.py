@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tarn.llm import bpe, exact_dedup, html_text, jaccard_join, license_scan, line_dedup, mixing, quality_model, quality_rules
+from tarn.llm import bpe, exact_dedup, html_text, jaccard_join, license_scan, line_dedup, mixing, quality_model, quality_rules, toxicity
 
 QUERIES = {
     "op1_bpe": bpe.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_quality_rules": quality_rules.query,
     "op7_html_extraction": html_text.query,
     "op8_ngram_jaccard_join": jaccard_join.query,
+    "op9_toxicity": toxicity.query,
     "op10_exact_dedup": exact_dedup.query,
 }
 

@@ -83,7 +83,8 @@ class SparkText(Renderer):
         return f"try_element_at({self(e.arg)}, {self(e.at)})"
 
     def on_lambda(self, e: A.Lambda) -> str:
-        return f"({', '.join(e.params)}) -> {self(e.body)}"
+        params = ", ".join(f"`{p}`" for p in e.params)
+        return f"{params if len(e.params) == 1 else f'({params})'} -> {self(e.body)}"
 
     def on_call(self, e: A.Call) -> str:
         low = e.name.lower()

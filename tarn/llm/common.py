@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +47,40 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def held(df: DataFrame) -> DataFrame:
+    """The same rows, kept on the executors' disks from their first use on; those of lost executors are made again.
+
+    For what is one step from its source and read more than once: it writes no files to the shared folder.
+    """
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
+#: Rows of an Arrow batch between the JVM and a Python worker, where the session keeps Spark's own default.
+BATCH_ROWS = 4000
+
+
+def modest(df: DataFrame) -> DataFrame:
+    """The same rows; the session from now on sends texts to Python in batches that fit small workers."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(conf.get(key)) == 10_000:
+        conf.set(key, str(BATCH_ROWS))
+    return df
+
+
+def lean(run):
+    """A worker's function over batches that gives its memory back when it ends: idle workers stay alive and small."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # not every platform has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def text_of(df: DataFrame, column: str = "text") -> Column:
     """The text column, null read as empty."""
     return F.coalesce(df[column], F.lit(""))

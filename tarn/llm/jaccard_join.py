@@ -14,7 +14,8 @@ Rare shingles are indexed alone, frequent ones as pairs within their group.
     neighbouring levels of size each, one of which a similar set shares.
 3.  An index entry of many sets is not expanded into all its pairs: its most central set (fewest rare
     shingles) is compared with all others, and only sets that are not connected then go on to further
-    comparisons, until no unconnected pair of an entry is unchecked.
+    comparisons: they meet all others of the entry in blocks, where histograms of their shared shingles
+    bound each pair's overlap and rule nearly all pairs out without a look at the sets.
 4.  Candidates that bounds on the overlap cannot exclude are verified on the whole sets.
 """
 
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarn.llm import bitfilter
-from tarn.llm.common import table, written
+from tarn.llm.common import held, lean, modest, table, written
 from tarn.llm.components import components
 
 #: Words of a shingle; similarity as PER / OUT_OF; 1 in SLACK shingles at most may be missing.
@@ -41,7 +42,9 @@ TOP = (1 << 63) - 1
 LIMIT = int(TOP * SHARE)
 #: Sets of fewer shingles index frequent shingles alone.
 LEAST_PAIRED = 40
-CACHED = 300_000
+#: Cells of a histogram; members and outsiders in a block.
+CELLS, MEMBERS, OUTSIDERS = 128, 2000, 500
+CACHED = 100_000
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
@@ -91,7 +94,7 @@ def _each(docs: DataFrame, id_col: str, text_col: str, schema: str, make: Callab
                 columns = make(ids, [shingles(t, hashes) for t in part.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns.values()], list(columns))
 
-    return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return modest(docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))).mapInArrow(lean(run), schema)
 
 
 def _heads(ids, sets):
@@ -127,13 +130,12 @@ def of_ids(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, schema:
     return _each(docs, id_col, text_col, schema, make, test).join(ids.select("doc"), "doc", "left_semi")
 
 
-def meet(rows: DataFrame, key: str, most: int, rank: str | None = None) -> DataFrame:
+def meet(rows: DataFrame, key: str, most: int) -> DataFrame:
     """What meets under a key, from (key, doc): a table of (kind, a, b, c), read in key order by bounded memory.
 
     kind 0: a pair of a key of up to ``most`` documents, c times; 1: a document that stood c times
-    under keys of more; 2: such a key (a), its first document by ``rank`` (b).
+    under keys of more; 2: such a key (a).
     """
-    order = [key] + ([rank] if rank else []) + ["doc"]
     picks = [np.array([(i, j) for i in range(s) for j in range(i + 1, s)]).T for s in range(most + 1)]
 
     def out(kind, a, b, c):
@@ -186,8 +188,8 @@ def meet(rows: DataFrame, key: str, most: int, rank: str | None = None) -> DataF
             new = starts[many & ~known]
             yield out(2, k[new], d[new], np.zeros(len(new), np.int64))
 
-    dealt = rows.repartition(key).sortWithinPartitions(*order)
-    return dealt.select(key, "doc").mapInArrow(run, "kind int, a long, b long, c long")
+    dealt = rows.repartition(key).sortWithinPartitions(key)
+    return dealt.select(key, "doc").mapInArrow(lean(run), "kind int, a long, b long, c long")
 
 
 def level(n):
@@ -227,12 +229,49 @@ def signatures(n: int, rare: np.ndarray, frequent: np.ndarray) -> np.ndarray:
 def _signature_rows(per_doc: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
-            for doc, n, rare, frequent in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for doc, n, shared, rare, frequent in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 s = signatures(n, np.array(rare, np.int64), np.array(frequent, np.int64))
-                k = len(s)
-                yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(np.full(k, doc)), pa.array(np.full(k, n)), pa.array(np.full(k, len(rare)))], names=["t", "doc", "n", "r"])
-
-    return per_doc.mapInArrow(run, "t long, doc long, n long, r long")
+                columns = [s, *(np.full(len(s), x) for x in (doc, n, shared, len(rare)))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["t", "doc", "n", "u", "r"])
+
+    return per_doc.mapInArrow(lean(run), "t long, doc long, n long, u long, r long")
+
+
+def _histograms(rows: DataFrame) -> DataFrame:
+    """(doc, h): how many of a document's shingles fall into each of ``CELLS`` cells of the hash range."""
+    return rows.groupBy("doc", F.expr(f"int(pmod(t, {CELLS}))").alias("c")).agg(F.count(F.lit(1)).cast("int").alias("k")).groupBy("doc").agg(F.collect_list(F.struct("c", "k")).alias("h"))
+
+
+def _across(hubs: DataFrame, histograms: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a hub's documents (main, doc, g, n) in different components, one of them outside the
+    main one, that the histograms allow to be similar: two sets share at most the sum of the smaller counts
+    of all cells. Members and outsiders of a hub are dealt into blocks of bounded size, all blocks against all."""
+    sizes = written(hubs.groupBy("main").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("nb"), F.ceil(F.count_if(F.col("g") != F.col("main")) / OUTSIDERS).cast("int").alias("nc")), "hub-sizes")
+    both = written(hubs.join(histograms, "doc"), "hub-histograms").join(sizes, "main")
+    spread = F.xxhash64("doc")
+    members = both.withColumn("i", F.pmod(spread, "nb")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nc") - 1))).withColumn("out", F.lit(False))
+    outsiders = both.where("g <> main").withColumn("j", F.pmod(spread, "nc")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).withColumn("out", F.lit(True))
+    columns = ["main", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "out", "doc", "g", "n", "h"]
+
+    def block(t: pa.Table) -> pa.Table:
+        out = t.column("out").to_numpy(zero_copy_only=False)
+        doc, g, n = (t.column(c).to_numpy() for c in ("doc", "g", "n"))
+        cells = np.zeros((len(doc), CELLS), np.int32)
+        h = t.column("h").combine_chunks()
+        at = np.repeat(np.arange(len(doc)), h.value_lengths().to_numpy())
+        cells[at, h.flatten().field("c").to_numpy()] = h.flatten().field("k").to_numpy()
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        own, mine, size = doc[~out], cells[~out], n[~out]
+        parts = g[~out]
+        for x in np.flatnonzero(out).tolist():
+            both_n = size + n[x]
+            most = np.minimum(mine, cells[x]).sum(1)
+            ok = (most * (OUT_OF + PER) >= both_n * PER) & (parts != g[x])
+            a.append(np.minimum(own[ok], doc[x]))
+            b.append(np.maximum(own[ok], doc[x]))
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    return members.select(columns).unionByName(outsiders.select(columns)).groupBy("main", "i", "j").applyInArrow(block, "a long, b long")
 
 
 def similar(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -242,8 +281,8 @@ def similar(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -> Da
     one = pairs.join(sets.select(F.col("doc").alias("b"), F.col("s").alias("sb")), "b")
     two = one.join(sets.select(F.col("doc").alias("a"), F.col("s").alias("sa")), "a")
     common = F.size(F.array_intersect("sa", "sb"))
-    held = two.select("a", "b", common.alias("i"), (F.size("sa") + F.size("sb")).alias("both"))
-    return held.where(F.col("i") * OUT_OF >= (F.col("both") - F.col("i")) * PER).select("a", "b")
+    found = two.select("a", "b", common.alias("i"), (F.size("sa") + F.size("sb")).alias("both"))
+    return found.where(F.col("i") * OUT_OF >= (F.col("both") - F.col("i")) * PER).select("a", "b")
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare: int = RARE) -> DataFrame:
@@ -252,7 +291,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare
     Ids identify documents; rows that repeat an id give a row each. A null id gives no row here.
     Null, empty and word-free texts have no shingles, link with nothing and are their own component.
     """
-    heads = written(_each(docs, id_col, text_col, "doc long, n long, w long, d1 long, d2 long", _heads), "heads")
+    heads = held(_each(docs, id_col, text_col, "doc long, n long, w long, d1 long, d2 long", _heads))
     classes = written(heads.where("n > 0").groupBy("d1", "d2").agg(F.min("doc").alias("rep"), F.first("n").alias("n"), F.first("w").alias("w"), F.count(F.lit(1)).alias("size")), "classes")
     of_class = heads.join(classes.select("d1", "d2", "rep"), ["d1", "d2"], "left")
 
@@ -261,7 +300,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare
     copy = bitfilter.build(spare.withColumn("h", F.col("doc")), "h")
     plain = _each(docs, id_col, text_col, "t long, doc long", _rows(LIMIT), lambda x: ~copy(x))
     doubted = _each(docs, id_col, text_col, "t long, doc long", _rows(LIMIT), copy).join(classes.select(F.col("rep").alias("doc")), "doc", "left_semi")
-    met = written(meet(plain.unionByName(doubted), "t", rare), "met")
+    met = held(meet(plain.unionByName(doubted), "t", rare))
 
     # 2. Sets short of rare shingles.
     frequent_in = met.where("kind = 1").groupBy("a").agg(F.sum("c").alias("f"))
@@ -269,11 +308,20 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare
     stats = written(sets.join(frequent_in, F.col("doc") == F.col("a"), "left").select("doc", "n", "w", F.coalesce("f", F.lit(0)).alias("f")), "sets")
     short = written(stats.where(f"w - f < n div {SLACK} + 1").select("doc", "n"), "short")
     rows = written(of_ids(docs, short, id_col, text_col, "t long, doc long", _rows(None)).distinct(), "short-shingles")
-    many = rows.where(F.col("t") >= LIMIT).groupBy("t").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > rare).select("t")
-    many = written(many.union(met.where("kind = 2").select(F.col("a").alias("t"))).distinct().withColumn("many", F.lit(True)), "frequent")
-    classed = rows.join(many, "t", "left").groupBy("doc").agg(F.collect_list(F.when(F.col("many").isNull(), F.col("t"))).alias("rare"), F.collect_list(F.when(F.col("many"), F.col("t"))).alias("frequent"))
-    index = written(_signature_rows(short.join(classed, "doc").select("doc", "n", "rare", "frequent")), "signatures")
-    met_short = written(meet(index, "t", rare, "r"), "met-short")
+    shared = rows.groupBy("t").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    known = met.where("kind = 2").select(F.col("a").alias("t"), F.lit(True).alias("low"))
+    shared = shared.join(known, "t", "left").select("t", F.expr(f"case when t < {LIMIT} then low is not null else k > {rare} end").alias("many"))
+    shared = written(shared, "shared-shingles")
+    classed = rows.join(shared, "t", "left").groupBy("doc").agg(
+        F.count("many").alias("u"), F.collect_list(F.when(~F.coalesce("many", F.lit(False)), F.col("t"))).alias("rare"), F.collect_list(F.when(F.col("many"), F.col("t"))).alias("frequent")
+    )
+    # A set linked to another short one shares enough shingles with short sets; the pairs of a short and a long set have met already.
+    able = short.join(classed, "doc").where(f"u * {OUT_OF} >= n * {PER}").select("doc", "n", "u", "rare", "frequent")
+    index = written(_signature_rows(able), "signatures")
+    entries = index.groupBy("t").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("r", "doc"))["doc"].alias("lead")).where("k > 1")
+    entries = written(entries, "entries")
+    met_short = written(meet(index.join(entries.where(f"k <= {rare}").select("t"), "t", "left_semi").select("t", "doc"), "t", rare), "met-short")
+    large = entries.where(f"k > {rare}").select("t", "lead")
 
     # 3. Candidates, bounded by what the low range leaves possible.
     def size(side):
@@ -282,35 +330,22 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare
     low = met.where("kind = 0").groupBy("a", "b").agg(F.sum("c").alias("c")).join(size("a"), "a").join(size("b"), "b")
     most = F.col("c") + F.least("fa", "fb") + F.least(F.expr("na - wa"), F.expr("nb - wb"))
     low = low.where(most * (OUT_OF + PER) >= (F.col("na") + F.col("nb")) * PER).select("a", "b")
-    stars = index.join(met_short.where("kind = 2").select(F.col("a").alias("t"), F.col("b").alias("lead")), "t").where("lead <> doc")
-    stars = stars.select(F.least("lead", "doc").alias("a"), F.greatest("lead", "doc").alias("b"))
+    stars = index.join(large, "t").where("lead <> doc").select(F.least("lead", "doc").alias("a"), F.greatest("lead", "doc").alias("b"))
     found = written(low.union(met_short.where("kind = 0").select("a", "b")).union(stars).distinct(), "candidates")
     links = written(similar(docs, found, id_col, text_col), "similar")
 
     # 4. What large entries have left unconnected.
-    big = met_short.where("kind = 2").select(F.col("a").alias("t"))
-    if not big.isEmpty():
-        inside = written(index.join(big, "t", "left_semi"), "large-entries")
-        while True:
-            of = components(links).select(F.col("node").alias("doc"), "component")
-            now = inside.join(of, "doc", "left").withColumn("g", F.coalesce("component", "doc")).drop("component")
-            now = written(now, "connected")
-            per = now.groupBy("t", "g").agg(F.count(F.lit(1)).alias("k"))
-            main = written(per.groupBy("t").agg(F.max_by("g", F.struct("k", "g")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts"), "unconnected")
-            if main.isEmpty():
-                break
-            open_ = now.join(main, "t")
-            others = open_.where("g <> main").select("t", F.col("doc").alias("x"), F.col("g").alias("gx"), F.col("n").alias("nx"))
-            near = open_.join(others, "t").where("g <> gx and least(n, nx) * 100 >= greatest(n, nx) * 80")
-            new = near.select(F.least("doc", "x").alias("a"), F.greatest("doc", "x").alias("b")).distinct().join(found, ["a", "b"], "left_anti")
-            new = written(new, "candidates")
-            if new.isEmpty():
-                break
-            more = written(similar(docs, new, id_col, text_col), "similar")
-            found = found.union(new)
-            if more.isEmpty():
-                break
-            links = links.union(more)
+    if not large.isEmpty():
+        inside = index.join(large.select("t"), "t", "left_semi").select("t", "doc", "n")
+        of = components(links).select(F.col("node").alias("doc"), "component")
+        now = written(inside.join(of, "doc", "left").withColumn("g", F.coalesce("component", "doc")).drop("component"), "connected")
+        per = now.groupBy("t", "g").agg(F.count(F.lit(1)).alias("k"))
+        main = written(per.groupBy("t").agg(F.max_by("g", F.struct("k", "g")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts"), "unconnected")
+        hubs = written(now.join(main, "t").select("main", "doc", "g", "n").distinct(), "hubs")
+        if not hubs.isEmpty():
+            inner = rows.join(hubs.select("doc").distinct(), "doc", "left_semi").join(shared.select("t"), "t", "left_semi")
+            new = _across(hubs, _histograms(inner)).distinct().join(found, ["a", "b"], "left_anti")
+            links = links.union(written(similar(docs, written(new, "candidates"), id_col, text_col), "similar"))
     of = components(links).select(F.col("node").alias("rep"), "component")
     return of_class.join(of, "rep", "left").select("doc", "n", F.coalesce("component", "rep", "doc").alias("component"))
 

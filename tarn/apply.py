@@ -538,8 +538,8 @@ class Warehouse:
         self.roles[s.name[0]] = dict(s.get("settings", ()))
 
     def _alter_role(self, s: Stmt) -> None:
-        if s.get("settings"):
-            self.roles[s.name[0]] = dict(s.get("settings"))
+        if s.get("settings") or s.get("no_settings"):
+            self.roles[s.name[0]] = dict(s.get("settings", ()))
         if s.get("rename_to"):
             self.roles[s.get("rename_to")] = self.roles.pop(s.name[0])
 

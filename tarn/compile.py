@@ -134,13 +134,20 @@ class Session:
         self.functions = dict(functions or {})
         self.keys: dict[str, tuple[list[str], str | None]] = {}
         self.table_functions: dict[str, Callable[..., DataFrame]] = dict(TABLE_FUNCTIONS)
+        self.views: list[str] = []
 
     def sql(self, text: str) -> DataFrame:
         """The DataFrame of one query."""
         return self.run(parse_select(text))
 
     def run(self, select: A.Select) -> DataFrame:
-        return _Query(self, {}).frame(select)
+        """The DataFrame of a parsed query. Its plan is analysed at once, so the views it was made from go again."""
+        before = len(self.views)
+        try:
+            return _Query(self, {}).frame(select)
+        finally:
+            while len(self.views) > before:
+                self.spark.catalog.dropTempView(self.views.pop())
 
     def table(self, parts: tuple[str, ...]) -> DataFrame:
         for name in (".".join(parts), parts[-1]):
@@ -159,6 +166,7 @@ class _Query:
     def view(self, df: DataFrame) -> str:
         name = f"_tarn_{next(_NUMBER)}"
         df.createOrReplaceTempView(name)
+        self.session.views.append(name)
         return name
 
     def columns(self, relation: str) -> list[str]:

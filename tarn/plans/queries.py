@@ -138,12 +138,12 @@ SQL: dict[str, tuple[str, str] | str] = {
     "fn_json": ("SELECT event_id, JSONExtractString(props, 'k') AS s, JSONExtractInt(props, 'k') AS i FROM events", "SELECT event_id, json_extract_string(props, '$.k') AS s, json_extract_string(props, '$.k')::BIGINT AS i FROM events"),
     "fn_array_map": (
         "SELECT o_orderkey, array(o_orderkey, o_custkey)[2] AS second, has([o_orderstatus, 'X'], 'X') AS x, arrayStringConcat(arrayMap(v -> concat(v, '!'), splitByChar('-', o_orderpriority)), '|') AS parts, map('a', o_orderkey, 'b', 2)['a'] AS a FROM orders",
-        "SELECT o_orderkey, o_custkey AS second, true AS x, array_to_string(list_transform(string_split(o_orderpriority, '-'), v -> v || '!'), '|') AS parts, o_orderkey AS a FROM orders",
+        "SELECT o_orderkey, o_custkey AS second, true AS x, array_to_string(list_transform(string_split(o_orderpriority, '-'), lambda v: v || '!'), '|') AS parts, o_orderkey AS a FROM orders",
     ),
     "fn_hash": ("SELECT o_orderkey, MD5(o_orderpriority) AS m, SHA256(o_orderpriority) AS s FROM orders", "SELECT o_orderkey, md5(o_orderpriority) AS m, sha256(o_orderpriority) AS s FROM orders"),
     "view_daily_sales": (
-        "SELECT toDate(o_orderdate) AS day, count() AS orders, round(sum(o_totalprice), 2) AS revenue, round(avg(o_totalprice), 2) AS mean, uniqExact(o_custkey) AS customers FROM orders WHERE o_orderstatus != 'P' GROUP BY day ORDER BY day DESC",
-        "SELECT o_orderdate::DATE AS day, count(*) AS orders, round(sum(o_totalprice), 2) AS revenue, round(avg(o_totalprice), 2) AS mean, count(DISTINCT o_custkey) AS customers FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1",
+        "SELECT toDate(o_orderdate) AS day, count() AS orders, round(sum(o_totalprice), 2) AS revenue, round(avg(o_totalprice), 6) AS mean, uniqExact(o_custkey) AS customers FROM orders WHERE o_orderstatus != 'P' GROUP BY day ORDER BY day DESC",
+        "SELECT o_orderdate::DATE AS day, count(*) AS orders, round(sum(o_totalprice), 2) AS revenue, round(avg(o_totalprice), 6) AS mean, count(DISTINCT o_custkey) AS customers FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1",
     ),
     "view_top_products": (
         "WITH sales AS (SELECT l_partkey AS k, sum(l_quantity) AS q, round(sum(l_extendedprice), 2) AS revenue FROM lineitem GROUP BY l_partkey) SELECT p_partkey, p_brand, q, revenue, row_number() OVER (PARTITION BY p_brand ORDER BY revenue DESC, p_partkey) AS place FROM part LEFT JOIN sales ON p_partkey = k WHERE q IS NOT NULL ORDER BY p_brand, place LIMIT 3 BY p_brand",

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 from tarn.sqlfront.ddl import column_text, parse, write
+from tarn.sqlfront.parser import STOPS
 from tarn.sqlfront.render import ident, render
 from tarn.sqlfront.tokens import tokens
 
-_KEYWORDS = re.compile(r"^[A-Z][A-Z_]*$")
+# Words that are the dialect's own wherever they stand in a statement.
+_KEYWORDS = STOPS | frozenset(
+    "CREATE ALTER ATTACH DETACH DROP RENAME SET OR REPLACE TABLE DATABASE VIEW MATERIALIZED DICTIONARY FUNCTION ROLE NAMED COLLECTION IF EXISTS CLUSTER ENGINE PRIMARY KEY PARTITION SAMPLE TTL DEFAULT ALIAS EPHEMERAL "
+    "CODEC COMMENT INDEX TYPE GRANULARITY CONSTRAINT CHECK PROJECTION ADD COLUMN MODIFY REMOVE CLEAR UPDATE DELETE FREEZE POPULATE LIFETIME SOURCE LAYOUT DISTINCT OVER ROWS RANGE PRECEDING FOLLOWING UNBOUNDED CURRENT ROW "
+    "TOTALS CUBE ROLLUP FIRST LAST AFTER SYNC PERMANENTLY CAST EXTRACT INTERVAL NULL TRUE FALSE".split()
+)
 
 
 @dataclass(frozen=True)
@@ -70,7 +75,7 @@ def format_statement(s, o: Options) -> str:
         head = text[: len(text) - len(render(s.get("select")))] if text.endswith(render(s.get("select"))) else None
         if head is not None:
             text = head.rstrip() + "\n" + _query(s.get("select"), o)
-    if not o.uppercase:
+    if not o.uppercase and s.kind not in ("GRANT", "REVOKE"):  # privileges are names
         text = _lower(text)
     return text
 
@@ -79,7 +84,7 @@ def _lower(text: str) -> str:
     out, last = [], 0
     for t in tokens(text):
         out.append(text[last : t.at])
-        out.append(t.text.lower() if t.kind == "name" and _KEYWORDS.match(t.text) else t.text)
+        out.append(t.text.lower() if t.kind == "name" and t.text in _KEYWORDS else t.text)
         last = t.at + len(t.text)
     return "".join(out)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -11,7 +13,11 @@ from tarn.apply import Warehouse
 
 def feed(warehouse: Warehouse, table: str, stream: DataFrame, checkpoint: str, once: bool = True) -> StreamingQuery:
     """Inserts a stream into a table; materialized views of the table follow batch by batch."""
-    writer = stream.writeStream.foreachBatch(lambda rows, _: warehouse.insert(table, rows)).option("checkpointLocation", checkpoint)
+
+    def insert(rows: DataFrame, _: int) -> None:
+        replace(warehouse, spark=rows.sparkSession).insert(table, rows)  # the same tables, seen from the batch's session
+
+    writer = stream.writeStream.foreachBatch(insert).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 

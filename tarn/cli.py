@@ -146,11 +146,20 @@ def snapshot(args) -> int:
     return 0
 
 
+def image(args) -> int:
+    """Writes the schema that the migrations amount to as files, one per object."""
+    from tarn.project import write_image
+
+    for path in write_image(_path(args, "db"), _current(_verified(args))):
+        print(path)
+    return 0
+
+
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="tarn", description=__doc__)
     p.add_argument("--project", default=".")
     sub = p.add_subparsers(dest="command", required=True)
-    for f in (init, rehash, bootstrap):
+    for f in (init, rehash, bootstrap, image):
         sub.add_parser(f.__name__, help=f.__doc__).set_defaults(run=f)
     q = sub.add_parser("fmt", help=fmt.__doc__)
     q.add_argument("files", nargs="+")

@@ -259,3 +259,18 @@ def test_command_line(tmp_path, spark, capsys):
     assert main(["--project", project, "schema", "dump"]) == 0
     assert main(["--project", project, "snapshot"]) == 0
     assert main(["--project", project, "fmt", "-w", str(tmp_path / "db" / "main.sql")]) == 0
+
+
+def test_project_image(tmp_path):
+    from tarn.project import cleaned, image, write_image
+
+    text = "CREATE DATABASE d; CREATE TABLE d.t (a UInt8) ENGINE = Memory; CREATE VIEW d.b AS SELECT a FROM d.c; CREATE VIEW d.c AS SELECT a FROM d.t; CREATE ROLE r; GRANT SELECT ON d.* TO r; CREATE FUNCTION f AS (x) -> x"
+    statements = parse(text)
+    files = image(statements)
+    assert {"main.sql", "global/roles.sql", "schemas/d/schema.sql", "schemas/d/tables/t.sql"} <= set(files)
+    assert len(write_image(str(tmp_path), statements)) == len(files)
+    assert write_image(str(tmp_path), statements) == ["main.sql"]
+    again = parse(M.compiled(str(tmp_path / "main.sql")))
+    assert sorted(map(repr, [s for s in again if s.kind != "COMMENT"])) == sorted(map(repr, statements))
+    assert [s.name[-1] for s in again if s.kind == "CREATE VIEW"] == ["c", "b"]
+    assert cleaned("x Float32 DEFAULT 1., LIFETIME(MIN 0 MAX 9)") == "x Float32 DEFAULT 1.0, LIFETIME(9)"

@@ -22,14 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarn.llm.common import table
+from tarn.llm.common import lean, modest, table
 
 #: Words of up to so many bytes are merged by scanning.
 SHORT = 96
 #: Entries of a worker's table of encoded words; it is emptied when full.
-CACHED = 300_000
+CACHED = 120_000
 #: Ids in one Arrow batch, about.
-BATCH_IDS = 2_000_000
+BATCH_IDS = 500_000
 #: The pre-tokenizer's pattern of byte-level BPE, white space as Unicode defines it.
 PATTERN = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
@@ -182,8 +182,9 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "i
             offsets = np.cumsum([0, *map(len, ids)], dtype=np.int32)
             values = np.fromiter(chain.from_iterable(ids), np.int32, int(offsets[-1]))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], [*batch.schema.names, ids_col])
+        own.known.clear()
 
-    return base.mapInArrow(run, schema)
+    return modest(base).mapInArrow(lean(run), schema)
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
@@ -203,7 +204,7 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "deco
             texts = [own.decode(flat[a:b].tolist()) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, text_col])
 
-    return base.mapInArrow(run, schema)
+    return modest(base).mapInArrow(lean(run), schema)
 
 
 def default_path() -> str:

@@ -18,10 +18,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.llm import bitfilter
-from tarn.llm.common import scratch, table, written
-
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+from tarn.llm.common import lean, modest, scratch, table, written
+
+#: State lies in RocksDB on disk; what its instances hold in memory is bounded for each executor.
+STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else each instance sets 4 MB of disk aside
+}
+#: State partitions for each core: the state lies on disk, so a partition may be large.
+PER_CORE = 2
 KEEP = ("keep_id", "keep_file", "keep_row")
 
 
@@ -47,8 +55,10 @@ def _digested(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def run_state(spark: SparkSession, arrivals: DataFrame) -> DataFrame:
     """Runs the stream of (_id, _digest, _file, _row) to its end; the state: digest, group_size and the row that stays."""
     log = scratch(spark, "dedup-log")
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    partitions = {"spark.sql.shuffle.partitions": str(PER_CORE * spark.sparkContext.defaultParallelism)}
+    before = {k: spark.conf.get(k, None) for k in STORE | partitions}
+    for k, v in (STORE | partitions).items():
+        spark.conf.set(k, v)
     try:
         state = arrivals.groupBy("_digest").agg(F.max(F.struct("_id", "_file", "_row")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
         query = (
@@ -60,10 +70,8 @@ def run_state(spark: SparkSession, arrivals: DataFrame) -> DataFrame:
         )
         query.awaitTermination()
     finally:
-        if before is None:
-            spark.conf.unset(PROVIDER)
-        else:
-            spark.conf.set(PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     schema = "_digest binary, keep struct<_id: bigint, _file: string, _row: bigint>, group_size bigint, batch int"
     try:
         changes = spark.read.parquet(log)
@@ -81,13 +89,15 @@ def _false_hits(docs: DataFrame, groups: DataFrame, text_col: str) -> DataFrame:
 
     def texts(batches):
         for batch in batches:
-            raw = [(x or "").encode() for x in batch.column(0).to_pylist()]
-            digests = [hashlib.sha256(x).digest() for x in raw]
-            got = pa.array(passes(np.array([int.from_bytes(d[:7]) for d in digests], np.int64)))
-            out = pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(raw, pa.binary()), batch.column(1), batch.column(2)], names=["_digest", "_bytes", "_file", "_row"])
-            yield out.filter(got)
-
-    found = docs.select(text_col, "_file", "_row").mapInArrow(texts, "_digest binary, _bytes binary, _file string, _row bigint")
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                raw = [(x or "").encode() for x in part.column(0).to_pylist()]
+                digests = [hashlib.sha256(x).digest() for x in raw]
+                got = pa.array(passes(np.array([int.from_bytes(d[:7]) for d in digests], np.int64)))
+                out = pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(raw, pa.binary()), part.column(1), part.column(2)], names=["_digest", "_bytes", "_file", "_row"])
+                yield out.filter(got)
+
+    found = modest(docs.select(text_col, "_file", "_row")).mapInArrow(lean(texts), "_digest binary, _bytes binary, _file string, _row bigint")
     at = hits.select(F.col("_digest").alias("d"), F.col("keep_file").alias("f"), F.col("keep_row").alias("r"))
     kept = found.join(at, F.expr("_digest = d and _file = f and _row = r")).select(F.col("_digest").alias("d"), F.col("_bytes").alias("_kept"))
     return found.join(kept, F.expr("_digest = d")).where("_bytes <> _kept").select("_digest").distinct()
@@ -120,13 +130,25 @@ def stream_of(spark: SparkSession, path: str, schema, id_col: str = "doc_id", te
     return _digested(docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")), id_col, text_col)
 
 
+def _folder(docs: DataFrame) -> str | None:
+    """The folder of Parquet files that ``docs`` is all the rows of, if it is just that."""
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        return None
+    folders = {f.rpartition("/")[0] for f in docs.inputFiles()}
+    return folders.pop() if len(folders) == 1 else None
+
+
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without copies: of equal texts the row with the largest id stays, all columns kept."""
     spark, placed = docs.sparkSession, located(docs)
-    landing = scratch(spark, "dedup-arrivals")
-    feed = _digested(placed, id_col, text_col)
-    feed.write.parquet(landing)
-    out = groups_of(placed, spark.readStream.schema(feed.schema).parquet(landing), id_col, text_col)
+    if (path := _folder(docs)) is not None:
+        arrivals = stream_of(spark, path, docs.schema, id_col, text_col)
+    else:
+        landing = scratch(spark, "dedup-arrivals")
+        feed = _digested(placed, id_col, text_col)
+        feed.write.parquet(landing)
+        arrivals = spark.readStream.schema(feed.schema).parquet(landing)
+    out = groups_of(placed, arrivals, id_col, text_col)
     return out.where("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

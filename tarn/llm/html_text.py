@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarn.llm.common import table
+from tarn.llm.common import lean, modest, table
 
 # Element names by their role in HTML, and words that mark boilerplate.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -218,7 +218,7 @@ def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text") ->
             texts = ["\n\n".join(blocks(x)) if x else "" for x in batch.column(html_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in rest), pa.array(texts, pa.string())], [*(f.name for f in rest), text_col])
 
-    return base.mapInArrow(run, schema)
+    return modest(base).mapInArrow(lean(run), schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import LOWER, UPPER, WHITE, lower_ascii, table, text_of, written
+from tarn.llm.common import LOWER, UPPER, WHITE, held, lower_ascii, table, text_of, written
 
 
 def line_key(line: Column) -> Column:
@@ -34,7 +34,7 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, id_col: str = "doc_id
     """
     lines = F.split(text_of(docs, text_col), "\n", -1)
     keys = docs.select(F.col(id_col).alias("_id"), F.explode(F.array_distinct(F.transform(lines, line_key))).alias("_k"))
-    hashed = written(keys.where(F.col("_k") != "").select("_id", *_hash(F.col("_k"))), "line-hashes")
+    hashed = held(keys.where(F.col("_k") != "").select("_id", *_hash(F.col("_k"))))
     common = hashed.groupBy("_a", "_b").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_docs).drop("_n")
     common = written(common, "common-lines")  # so that the join reads two plain shuffles, of which a hot line's can be split
     drops = hashed.join(common, ["_a", "_b"]).groupBy("_id").agg(F.collect_set(F.struct("_a", "_b")).alias("_drop"))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarn.llm.common import table
+from tarn.llm.common import lean, modest, table
 
 #: Bounds of fitting: labelled documents of each label, words with vectors of their own, dimensions.
 PER_LABEL, WORDS, DIM = 2000, 20_000, 64
@@ -31,7 +31,7 @@ SPARSE, REACH, HIDDEN = 6, 2, 32
 LAGS = (1, 2, 3)
 EXTRA = len(LAGS) + 2
 TOKEN = re.compile(r"\w+|[^\w\s]+")
-CACHED = 200_000
+CACHED = 100_000
 
 
 def kind(token: str) -> str:
@@ -214,7 +214,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str =
                 got = own.scores(part.column(text_col).to_pylist(), known)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got, pa.float64())], [*part.schema.names, out_col])
 
-    return base.mapInArrow(run, schema)
+    return modest(base).mapInArrow(lean(run), schema)
 
 
 #: From this score on a document counts as good.

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarn.llm.common import WHITE, table, written
+from tarn.llm.common import WHITE, held, lean, modest, table, written
 from tarn.llm.jaccard_join import _Hashes, mixed
 
 SYMBOLS = "#*$%&|<>"
@@ -97,7 +97,7 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
             vectors = pa.array([v for _, v in both], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in rest), *(pa.array(counts[:, i]) for i in range(len(BASE))), vectors], schema.names)
 
-    out = docs.select(*[F.col(f"`{f.name}`") for f in rest], text_col).mapInArrow(run, schema)
+    out = modest(docs.select(*[F.col(f"`{f.name}`") for f in rest], text_col)).mapInArrow(lean(run), schema)
     return out.withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words"))
 
 
@@ -120,7 +120,7 @@ def _settle(moments: DataFrame) -> DataFrame:
                 rows.append((g, mu.tolist(), np.linalg.inv(cov + np.diag(floors**2)).ravel().tolist()))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), *(pa.array([r[i] for r in rows], pa.list_(pa.float64())) for i in (1, 2))], names=["_g", "mu", "inv"])
 
-    return moments.mapInArrow(run, _PARAMS)
+    return moments.mapInArrow(lean(run), _PARAMS)
 
 
 def distances(rows: DataFrame, params: DataFrame) -> DataFrame:
@@ -163,7 +163,7 @@ def judged(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sour
     else all rows. Null language or source counts as empty. Null, empty and word-free texts fail the
     base rules; rows that fail have no distance. Repeated rows count each; other columns are kept.
     """
-    rows = written(measured(docs, text_col), "measures")
+    rows = held(measured(docs, text_col))
     lang, source = F.coalesce(F.col(lang_col), F.lit("")), F.coalesce(F.col(source_col), F.lit(""))
     sound = rows.where("not base_failed")
     fine = sound.groupBy(lang.alias("_l"), source.alias("_s")).agg(F.count(F.lit(1)).alias("_n"))
@@ -171,7 +171,7 @@ def judged(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sour
     label = F.when(F.col("_n") >= LEAST, F.concat(F.lit("2"), F.to_json(F.struct("_l", "_s")))).when(F.col("_m") >= LEAST, F.concat(F.lit("1"), F.col("_l"))).otherwise(F.lit("0"))
     named = written(fine.join(coarse, "_l").select("_l", "_s", label.alias("_g")), "groups")
     placed = rows.where("not base_failed").withColumns({"_l": lang, "_s": source}).join(named, ["_l", "_s"]).drop("_l", "_s")
-    placed = written(placed, "placed")
+    placed = held(placed)
     params = estimates(placed.select("_g", "_x"))
     far = distances(placed, params)
     middle = written(far.groupBy("_g").agg(F.percentile_approx("_d2", F.lit(0.5), F.lit(2000)).alias("_mid")), "mcd-middle")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarn.llm.common import table
+from tarn.llm.common import lean, modest, table
 from tarn.llm.quality_model import held_out, sample
 
 #: Bounds of fitting: labelled documents of each label; strings of clean documents; landmarks.
@@ -35,7 +35,7 @@ DECAY, SPAN, BITS = 0.55, 6, 6
 SIZE = 1 << (3 * BITS)
 #: Highest decisions of a text that its probability rests on, and their bounds.
 TOP, LOWEST, HIGHEST = 3, -2.0, 1.5
-CACHED = 400_000
+CACHED = 300_000
 SENTENCE = re.compile(r"[.!?]+\s|\n")
 LETTERS = re.compile(r"[^\W\d_]+")
 GAPS = [(i, j, DECAY ** (j + 1 - 3)) for j in range(2, SPAN) for i in range(1, j)]
@@ -272,7 +272,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str =
                 got = shared.value.scores(part.column(text_col).to_pylist(), known)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got, pa.float64())], [*part.schema.names, out_col])
 
-    return base.mapInArrow(run, schema)
+    return modest(base).mapInArrow(lean(run), schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -43,7 +43,7 @@ LIMIT = int(TOP * SHARE)
 #: Sets of fewer shingles index frequent shingles alone.
 LEAST_PAIRED = 40
 #: Cells of a histogram; members and outsiders in a block.
-CELLS, MEMBERS, OUTSIDERS = 128, 2000, 500
+CELLS, MEMBERS, OUTSIDERS = 128, 500, 250
 CACHED = 100_000
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
@@ -277,7 +277,8 @@ def _across(hubs: DataFrame, histograms: DataFrame) -> DataFrame:
 def similar(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The pairs (a, b) whose whole sets reach the similarity."""
     ids = written(pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct(), "candidate-ids")
-    sets = of_ids(docs, ids, id_col, text_col, "doc long, s array<long>", _whole).dropDuplicates(["doc"])
+    # Both joins read plain shuffles, so that those of a set with many candidates can be split.
+    sets = held(of_ids(docs, ids, id_col, text_col, "doc long, s array<long>", _whole).dropDuplicates(["doc"]))
     one = pairs.join(sets.select(F.col("doc").alias("b"), F.col("s").alias("sb")), "b")
     two = one.join(sets.select(F.col("doc").alias("a"), F.col("s").alias("sa")), "a")
     common = F.size(F.array_intersect("sa", "sb"))

@@ -100,7 +100,8 @@ def _false_hits(docs: DataFrame, groups: DataFrame, text_col: str) -> DataFrame:
     found = modest(docs.select(text_col, "_file", "_row")).mapInArrow(lean(texts), "_digest binary, _bytes binary, _file string, _row bigint")
     at = hits.select(F.col("_digest").alias("d"), F.col("keep_file").alias("f"), F.col("keep_row").alias("r"))
     kept = found.join(at, F.expr("_digest = d and _file = f and _row = r")).select(F.col("_digest").alias("d"), F.col("_bytes").alias("_kept"))
-    return found.join(kept, F.expr("_digest = d")).where("_bytes <> _kept").select("_digest").distinct()
+    # Written before the distinct: an aggregation on the join's key would keep a hot group from being split.
+    return written(found.join(kept, F.expr("_digest = d")).where("_bytes <> _kept").select("_digest"), "dedup-unequal").distinct()
 
 
 def groups_of(docs: DataFrame, arrivals: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -26,7 +26,7 @@ from tarn.llm.common import lean, modest, table
 
 #: Words of up to so many bytes are merged by scanning.
 SHORT = 96
-#: Entries of a worker's table of encoded words; it is emptied when full.
+#: Entries of a worker's table of encoded words; a full one is kept as the older one until the next is full.
 CACHED = 120_000
 #: Ids in one Arrow batch, about.
 BATCH_IDS = 500_000
@@ -67,6 +67,7 @@ class Codec:
         self.at_special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.words = regex.compile(PATTERN)
         self.known: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def encode(self, text: str) -> list[int]:
         if self.at_special is None or not self.at_special.search(text):
@@ -88,12 +89,15 @@ class Codec:
     def word(self, word: str) -> tuple[int, ...]:
         found = self.known.get(word)
         if found is None:
-            raw = word.encode("utf-8", "surrogatepass")
-            found = tuple(self.merge([self.start[b] for b in raw]))
-            if len(raw) <= SHORT:
-                if len(self.known) >= CACHED:
-                    self.known.clear()
-                self.known[word] = found
+            found = self.older.get(word)
+            if found is None:
+                raw = word.encode("utf-8", "surrogatepass")
+                found = tuple(self.merge([self.start[b] for b in raw]))
+                if len(raw) > SHORT:
+                    return found
+            if len(self.known) >= CACHED:
+                self.known, self.older = {}, self.known
+            self.known[word] = found
         return found
 
     def merge(self, parts: list[int]) -> list[int]:
@@ -182,7 +186,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "i
             offsets = np.cumsum([0, *map(len, ids)], dtype=np.int32)
             values = np.fromiter(chain.from_iterable(ids), np.int32, int(offsets[-1]))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], [*batch.schema.names, ids_col])
-        own.known.clear()
+        own.older = {}
 
     return modest(base).mapInArrow(lean(run), schema)
 

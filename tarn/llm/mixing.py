@@ -4,6 +4,9 @@ Tokens are summed by cell of source, language and topic. The cells' weights are
 target share of every source, language and topic. A document is then taken with a probability in
 proportion to its cell's weight over its cell's tokens, so that the expected tokens of the sample
 stand in the raked proportions; the largest probability is 1. Draws are a hash of the id.
+
+Where one tiny cell would so leave less than a stated share of the documents, that share sets the
+sample's size instead: probabilities are raised alike, and what is over 1 goes to the other cells.
 """
 
 from __future__ import annotations
@@ -17,6 +20,8 @@ from tarn.llm.common import WHITE, table, text_of, written
 #: A value's target share goes as its share of the corpus to this power: rare values are raised.
 POWER = 0.7
 SWEEPS = 6
+#: Share of the documents that a sample is expected to hold at least.
+LEAST_SHARE = 0.25
 DIMS = ("source", "lang", "topic")
 #: Words from which a text is of medium length, and long.
 MEDIUM, LONG = 128, 1024
@@ -42,6 +47,7 @@ def raked(cells: DataFrame, power: float = POWER, sweeps: int = SWEEPS) -> DataF
 
     Marginal targets are sums over all cells; each step is a window over one dimension's values.
     Weights sum to 1 after each step. Cells are far fewer than documents, but need not fit anywhere.
+    Other columns are kept.
     """
     total = cells.agg(F.sum("tokens").alias("s")).first()["s"] or 1
     out = cells.withColumn("weight", F.col("tokens") / F.lit(float(total)))
@@ -53,7 +59,29 @@ def raked(cells: DataFrame, power: float = POWER, sweeps: int = SWEEPS) -> DataF
         for d in DIMS:
             out = out.withColumn("weight", F.col("weight") * F.col(f"to_{d}") / F.sum("weight").over(W.partitionBy(d)))
         out = written(out, "raked")
-    return out.select(*DIMS, "tokens", "weight")
+    return out.drop(*[f"to_{d}" for d in DIMS])
+
+
+def unit(cells: DataFrame, least: float = LEAST_SHARE) -> float:
+    """The weight per token that is drawn with probability 1; cells (docs, tokens, weight) above it are taken whole.
+
+    It is the largest of any cell, unless fewer than ``least`` of the documents are then expected. Each
+    round takes the cells above the unit whole and spreads the rest; they only grow in number.
+    """
+    rate = F.col("weight") / F.col("tokens")
+    first = cells.agg(F.max(rate).alias("most"), F.sum("docs").alias("n"), F.sum(F.col("docs") * rate).alias("drawn")).first()
+    if not first["n"]:
+        return 1.0
+    at, wanted, whole = first["most"], least * first["n"], 0
+    if first["drawn"] / at >= wanted:
+        return at
+    at = first["drawn"] / wanted
+    while True:
+        over = rate >= F.lit(at)
+        row = cells.agg(F.count(F.when(over, 1)).alias("k"), F.sum(F.when(over, F.col("docs")).otherwise(0)).alias("n"), F.sum(F.when(over, 0.0).otherwise(F.col("docs") * rate)).alias("drawn")).first()
+        if row["k"] <= whole or row["n"] >= wanted:
+            return at
+        whole, at = row["k"], row["drawn"] / (wanted - row["n"])
 
 
 def mixed(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", topic: Column | None = None) -> DataFrame:
@@ -68,10 +96,10 @@ def mixed(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", topic
     named = {"_source": F.coalesce(F.col("source"), F.lit("")), "_lang": F.coalesce(F.col("lang"), F.lit(""))}
     base = docs.withColumns(named | {"n_tokens": words})
     base = base.withColumn("topic", F.coalesce(topic, F.lit("")) if topic is not None else length_topic(F.col("n_tokens")))
-    cells = base.groupBy(F.col("_source").alias("source"), F.col("_lang").alias("lang"), "topic").agg(F.sum(F.greatest("n_tokens", F.lit(1))).alias("tokens"))
+    cells = base.groupBy(F.col("_source").alias("source"), F.col("_lang").alias("lang"), "topic").agg(F.sum(F.greatest("n_tokens", F.lit(1))).alias("tokens"), F.count(F.lit(1)).alias("docs"))
     fitted = raked(written(cells, "cells"))
-    most = fitted.agg(F.max(F.col("weight") / F.col("tokens")).alias("m")).first()["m"] or 1.0
-    keyed = written(fitted.select(F.col("source").alias("_source"), F.col("lang").alias("_lang"), "topic", "weight", (F.col("weight") / F.col("tokens") / F.lit(most)).alias("probability")), "mix")
+    probability = F.least(F.lit(1.0), F.col("weight") / F.col("tokens") / F.lit(unit(fitted)))
+    keyed = written(fitted.select(F.col("source").alias("_source"), F.col("lang").alias("_lang"), "topic", "weight", probability.alias("probability")), "mix")
     out = base.drop("weight", "probability", "kept").join(keyed, ["_source", "_lang", "topic"]).drop("_source", "_lang")
     return out.withColumn("kept", draw(F.col(id_col)) < F.col("probability"))
 

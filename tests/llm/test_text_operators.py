@@ -122,6 +122,21 @@ def test_mixing(docs):
     assert mixing.mixed(docs.limit(0)).count() == 0
 
 
+def test_mixing_is_not_starved_by_a_rare_cell(spark):
+    """One row of a null source and language must not scale down all others."""
+    rows = [(i, "w " * 200, "en", "a" if i % 3 else "b") for i in range(3000)] + [(9000, "w " * 100, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    plain = brute_mix(rows)
+    assert sum(plain[s or "", la or "", "medium" if s else "short"][1] for _, _, la, s in rows) < 0.1 * len(rows)
+    out = mixing.mixed(docs).collect()
+    assert sum(r.probability for r in out) == pytest.approx(mixing.LEAST_SHARE * len(rows))
+    assert sum(r.kept for r in out) == pytest.approx(mixing.LEAST_SHARE * len(rows), rel=0.1)
+    p = {r.source: (r.probability, r.weight / r.n_tokens) for r in out}
+    assert p[None][0] == 1 and all(0 < x <= 1 for x, _ in p.values())
+    tokens = {s: sum(200 for r in rows if r[3] == s) for s in "ab"}
+    assert p["a"][0] * tokens["a"] / (p["b"][0] * tokens["b"]) == pytest.approx(plain["a", "en", "medium"][0] / plain["b", "en", "medium"][0])
+
+
 def brute_base(text):
     words = re.findall(WS, text or "")
     at = {}

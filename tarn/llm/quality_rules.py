@@ -160,7 +160,8 @@ def judged(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sour
 
     A row is kept if it passes the base rules and lies within its group's bound. Groups are language
     and source, where those have at least ``LEAST`` rows that pass the base rules, else the language,
-    else all rows. Null language or source counts as empty. Null, empty and word-free texts fail the
+    else all rows. An estimate rests on all such rows of its language and source, of its language or of
+    the table, also on those that have a group of their own. Null language or source counts as empty. Null, empty and word-free texts fail the
     base rules; rows that fail have no distance. Repeated rows count each; other columns are kept.
     """
     rows = held(measured(docs, text_col))
@@ -168,13 +169,20 @@ def judged(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sour
     sound = rows.where("not base_failed")
     fine = sound.groupBy(lang.alias("_l"), source.alias("_s")).agg(F.count(F.lit(1)).alias("_n"))
     coarse = fine.groupBy("_l").agg(F.sum("_n").alias("_m"))
-    label = F.when(F.col("_n") >= LEAST, F.concat(F.lit("2"), F.to_json(F.struct("_l", "_s")))).when(F.col("_m") >= LEAST, F.concat(F.lit("1"), F.col("_l"))).otherwise(F.lit("0"))
-    named = written(fine.join(coarse, "_l").select("_l", "_s", label.alias("_g")), "groups")
+    by_lang = F.concat(F.lit("1"), F.col("_l"))
+    label = F.when(F.col("_n") >= LEAST, F.concat(F.lit("2"), F.to_json(F.struct("_l", "_s")))).when(F.col("_m") >= LEAST, by_lang).otherwise(F.lit("0"))
+    named = written(fine.join(coarse, "_l").select("_l", "_s", label.alias("_g"), by_lang.alias("_by_lang")), "groups")
+    # the groups whose estimate a row of each language and source counts in: its own, and the wider ones that any small group needs
+    wide = named.where(~F.col("_g").startswith("2")).select(F.col("_g").alias("_w")).distinct()
+    some = F.col("_w").isin("0") | (F.col("_w") == F.col("_by_lang"))
+    lent = named.join(F.broadcast(wide), some, "left").groupBy("_l", "_s", "_g").agg(F.collect_set("_w").alias("_ws"))
+    named = written(lent.select("_l", "_s", "_g", F.array_union(F.array("_g"), "_ws").alias("_in")), "groups")
     placed = rows.where("not base_failed").withColumns({"_l": lang, "_s": source}).join(named, ["_l", "_s"]).drop("_l", "_s")
     placed = held(placed)
-    params = estimates(placed.select("_g", "_x"))
-    far = distances(placed, params)
-    middle = written(far.groupBy("_g").agg(F.percentile_approx("_d2", F.lit(0.5), F.lit(2000)).alias("_mid")), "mcd-middle")
+    pool = placed.select(F.explode("_in").alias("_g"), "_x")
+    params = estimates(pool)
+    middle = written(distances(pool, params).groupBy("_g").agg(F.percentile_approx("_d2", F.lit(0.5), F.lit(2000)).alias("_mid")), "mcd-middle")
+    far = distances(placed.drop("_in"), params)
     p = len(FLOORS)
     scale = F.greatest(F.lit(1.0), F.col("_mid") / chi2_quantile(0.5, p))  # so that medians agree with the distribution's
     far = far.join(middle, "_g").withColumn("distance", F.sqrt(F.greatest(F.lit(0.0), F.col("_d2") / scale)))

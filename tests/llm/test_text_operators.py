@@ -161,6 +161,18 @@ def test_quality_rules(spark, docs):
     assert quality_rules.judged(docs.limit(0)).count() == 0
 
 
+def test_quality_rules_of_small_groups(spark):
+    """Junk of a rare source or language is judged by its language's or all rows' estimate, not by itself."""
+    rng = random.Random(4)
+    prose = lambda: " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "of", "the", "Tau"]) + str(rng.randrange(900)) for _ in range(rng.choice([60, 200])))
+    junk = lambda: " ".join(f"W{rng.randrange(9999)}***" for _ in range(90))
+    sound = [(i, prose(), "en", "a") for i in range(200)] + [(300, prose(), "en", "rare"), (301, prose(), "xx", "rare")]
+    odd = [(1000, junk(), "en", "one"), (1001, junk(), "yy", None), *[(1100 + i, junk(), "en", "junk") for i in range(20)]]
+    out = {r.doc_id: r for r in quality_rules.judged(spark.createDataFrame(sound + odd, "doc_id long, text string, lang string, source string")).collect()}
+    assert len(out) == len(sound + odd) and not any(r.base_failed for r in out.values())
+    assert all(out[r[0]].kept for r in sound) and not any(out[r[0]].kept for r in odd)
+
+
 def test_chi_square():
     assert quality_rules.chi2_quantile(0.95, 5) == pytest.approx(11.0705, abs=1e-3)
     assert quality_rules.chi2_quantile(0.5, 3) == pytest.approx(2.36597, abs=1e-4)

@@ -3,7 +3,9 @@
 The standard library's parser streams events; block boundaries cut the page into lines. Each
 line has a text-to-tag ratio; the ratios are smoothed with a Gaussian and split in two clusters
 by a threshold. The lines of the upper cluster vote for the region that holds the content, and
-every block of that region outside menus, adverts and the like is returned.
+every block of that region outside menus, adverts and the like is returned. A region is a container
+that holds nearly all of the cluster's text; what only a class, an id or a form marks as boilerplate
+is none where it holds the article or most of that text.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ BLOCK = frozenset(
     "h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 SKIPPED = frozenset(
-    "head title script style noscript template nav footer aside form button select option textarea iframe object svg canvas dialog menu".split()
+    "head title script style noscript template nav footer aside button select option textarea iframe object svg canvas dialog menu".split()
 )
 CLOSES = {
     "p": frozenset(["p"]), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]),
@@ -43,44 +45,52 @@ BOILERPLATE = frozenset(
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that are parts of a text and so never the region.
+PARTS = HEADINGS | frozenset("p pre li dt dd tr td th caption figcaption summary hr".split())
+#: Characters, and characters a tag, from which a line is prose however much longer others are.
+PROSE, PROSE_RATIO = 80, 20
+#: Boilerplate by the element itself, and by its class or id or as a form alone.
+SURE, MARKED = 2, 1
 #: Standard deviation of the smoothing, in lines.
 SIGMA = 1.0
 
 
 class _Lines(HTMLParser):
-    """Cuts a page into lines and notes for each its node, its tags and whether it is boilerplate."""
+    """Cuts a page into lines and notes for each its node and its tags; nodes have their name and kind of boilerplate."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.parent, self.semantic, self.name = [-1], [False], [""]
-        self.open: list[tuple[str, int, bool]] = [("", 0, False)]
-        self.lines: list[tuple[str, int, int, bool]] = []
+        self.parent, self.semantic, self.name, self.kind = [-1], [False], [""], [0]
+        self.open: list[tuple[str, int, bool]] = [("", 0, False)]  # name, node, whether the node is the element's own
+        self.lines: list[tuple[str, int, int]] = []
         self.text: list[str] = []
-        self.tags, self.node, self.skip = 0, 0, False
+        self.tags, self.node = 0, 0
 
     def _flush(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            self.lines.append((text, max(1, self.tags), self.node, self.skip))
+            self.lines.append((text, max(1, self.tags), self.node))
             self.tags = 0
         self.text = []
-        _, self.node, self.skip = self.open[-1]
+        self.node = self.open[-1][1]
 
     def _pop_to(self, depth: int) -> None:
         del self.open[depth:]
 
-    def _is_boilerplate(self, tag: str, attrs: dict) -> bool:
+    def _kind_of(self, tag: str, attrs: dict) -> int:
         if tag in SKIPPED:
-            return True
+            return SURE
         inside = any(self.semantic[i] for _, i, _ in self.open)
         if tag == "header":
-            return not inside
+            return 0 if inside else SURE
         if (attrs.get("role") or "").lower() in ROLES or "hidden" in attrs or (attrs.get("aria-hidden") or "").lower() == "true":
-            return True
+            return SURE
         if tag in ("html", "body", "article", "main"):
-            return False
-        marks = re.split(r"[^a-z]+", f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower())
-        return not BOILERPLATE.isdisjoint(marks)
+            return 0
+        if tag == "form":
+            return MARKED
+        names = f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower().split()
+        return MARKED if any(x in BOILERPLATE or BOILERPLATE.issuperset(re.split("[-_]+", x)) for x in names) else 0
 
     def handle_starttag(self, tag, attrs):
         self.tags += 1
@@ -99,17 +109,19 @@ class _Lines(HTMLParser):
                 if name in SCOPES:
                     break
         named = dict(attrs)
-        _, above, skipped = self.open[-1]
-        skipped = skipped or self._is_boilerplate(tag, named)
-        if tag in BLOCK or skipped != self.open[-1][2]:
+        above = self.open[-1][1]
+        kind = self._kind_of(tag, named)
+        own = tag in BLOCK or (kind > 0 and self.kind[above] != SURE)
+        if own:
             self._flush()
             self.parent.append(above)
             self.name.append(tag)
+            self.kind.append(SURE if self.kind[above] == SURE else kind)
             self.semantic.append(tag in ("article", "main") or (named.get("role") or "").lower() in ("main", "article") or named.get("itemprop") == "articleBody")
             above = len(self.parent) - 1
-        self.open.append((tag, above, skipped))
-        if tag in BLOCK or skipped:
-            _, self.node, self.skip = self.open[-1]
+        self.open.append((tag, above, own))
+        if own:
+            self.node = above
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -119,12 +131,12 @@ class _Lines(HTMLParser):
     def handle_endtag(self, tag):
         self.tags += 1
         for depth in range(len(self.open) - 1, 0, -1):
-            name, _, skipped = self.open[depth]
+            name, _, own = self.open[depth]
             if name == tag:
-                if tag in BLOCK or skipped != self.open[depth - 1][2]:
-                    cut = self.text, self.node, self.skip
+                if own:
+                    cut = self.text, self.node
                     self._pop_to(depth)
-                    self.text, self.node, self.skip = cut
+                    self.text, self.node = cut
                     self._flush()
                 else:
                     del self.open[depth]
@@ -162,43 +174,99 @@ def threshold(values: np.ndarray) -> float:
     return at
 
 
+def _dense(lines: list[tuple[str, int, int]], skip: list[bool]) -> list[int]:
+    """The lines of the upper cluster and all prose that are not skipped; all such lines if there is none."""
+    ratios = smoothed(np.array([0.0 if off else len(text) / tags for (text, tags, _), off in zip(lines, skip, strict=True)]))
+    upper = ratios >= threshold(ratios)
+    found = [i for i, (text, tags, _) in enumerate(lines) if not skip[i] and (upper[i] or (len(text) >= PROSE and len(text) >= PROSE_RATIO * tags))]
+    return found or [i for i, off in enumerate(skip) if not off]
+
+
+def _weights(lines: list[tuple[str, int, int]], above: list[list[int]], which: list[int]) -> dict[int, int]:
+    """Characters of the lines ``which`` below each node."""
+    out: dict[int, int] = {}
+    for i in which:
+        for node in above[i]:
+            out[node] = out.get(node, 0) + len(lines[i][0])
+    return out
+
+
+def _skipped(page: _Lines, above: list[list[int]]) -> list[bool]:
+    """Which lines are boilerplate.
+
+    A node that is so by its class, id or as a form alone is none after all if it holds an article or
+    main with half of the dense text in such, or, on pages where no other article or main is left, 70 %
+    of the dense text; if nothing is left, any that holds an article or main, and then any.
+    """
+    sure = [any(page.kind[n] == SURE for n in chain) for chain in above]
+    marked = {n for n, k in enumerate(page.kind) if k == MARKED}
+    if not marked or all(sure):
+        return sure
+    weight = _weights(page.lines, above, dense := _dense(page.lines, sure))
+    told = sum(len(page.lines[i][0]) for i in dense if any(page.semantic[n] for n in above[i]))
+    holds = set()
+    for n, w in weight.items():
+        if page.semantic[n] and 2 * w >= told:
+            while n >= 0:
+                holds.add(n)
+                n = page.parent[n]
+    semantic = {m for i in dense for k, n in enumerate(above[i]) if page.semantic[n] for m in above[i][k:]}
+    plain = any(not off and marked.isdisjoint(chain) and any(page.semantic[n] for n in chain) for off, chain in zip(sure, above, strict=True))
+    most = set() if plain else {n for n, w in weight.items() if 10 * w >= 7 * weight[0]}
+    out = sure
+    for freed in (holds | most, semantic, marked):
+        left = marked - freed
+        out = [off or not left.isdisjoint(chain) for off, chain in zip(sure, above, strict=True)]
+        if not all(out):
+            break
+    return out
+
+
+def _within(page: _Lines, weight: dict[int, int], of: list[int]) -> int:
+    """The deepest container of ``of`` that holds nearly all (95 %) of the weight below the outermost."""
+    return max(n for n in of if 20 * weight[n] >= 19 * max(weight[m] for m in of))
+
+
 def blocks(html: str) -> list[str]:
     """The blocks of the main text in page order."""
     page = _Lines()
     page.feed(html)
     page.finish()
     lines = page.lines
-    if not lines:
-        return []
-    ratios = smoothed(np.array([len(text) / tags if not skip else 0.0 for text, tags, _, skip in lines]))
-    content = [i for i in np.flatnonzero(ratios >= threshold(ratios)).tolist() if not lines[i][3]]
-    if not content:
-        content = [i for i, x in enumerate(lines) if not x[3]]
-    if not content:
-        return []
-    below: dict[int, int] = {}
     above: list[list[int]] = []
-    for text, _, node, skip in lines:
+    for _, _, node in lines:
         chain = []
         while node >= 0:
             chain.append(node)
             node = page.parent[node]
         above.append(chain)
-    for i in content:
-        for node in above[i]:
-            below[node] = below.get(node, 0) + len(lines[i][0])
-    total = below[0]
-    held = [n for n, w in below.items() if page.semantic[n] and 2 * w >= total]
-    if held:
-        region = max(held)
-        return [x[0] for x, chain in zip(lines, above, strict=True) if region in chain and not x[3]]
-    region = max(n for n, w in below.items() if 10 * w >= 7 * total)
+    skip = _skipped(page, above)
+    if all(skip):
+        return []
+    content = _dense(lines, skip)
+    weight = _weights(lines, above, content)
+    total = weight[0]
+    told = [i for i in content if any(page.semantic[n] for n in above[i])]
+    if told and 2 * sum(len(lines[i][0]) for i in told) >= total:
+        # each outermost article or main, or the one in it that holds nearly all of its text
+        outer = {next(n for n in reversed(above[i]) if page.semantic[n]) for i in told}
+        regions = {_within(page, weight, [n for n in weight if page.semantic[n] and _under(page, n, top)]) for top in outer}
+        return [x[0] for x, chain, off in zip(lines, above, skip, strict=True) if not off and not regions.isdisjoint(chain)]
+    region = _within(page, weight, [n for n in weight if page.name[n] not in PARTS])
     first, last = 0, len(lines)
-    if page.name[region] in ("", "html", "body"):  # no element holds the article alone: from its heading to its last dense line
+    if page.name[region] in ("", "html", "body"):  # no element holds the article alone: from its heading to its last dense line and what goes on beside it
         first, last = content[0], content[-1] + 1
         while first and page.name[lines[first - 1][2]] in HEADINGS:
             first -= 1
-    return [lines[i][0] for i in range(first, last) if region in above[i] and not lines[i][3]]
+        while last < len(lines) and page.name[lines[last][2]] in PARTS and page.parent[lines[last][2]] == page.parent[lines[content[-1]][2]]:
+            last += 1
+    return [lines[i][0] for i in range(first, last) if region in above[i] and not skip[i]]
+
+
+def _under(page: _Lines, node: int, top: int) -> bool:
+    while node > top:
+        node = page.parent[node]
+    return node == top
 
 
 def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text") -> DataFrame:

@@ -25,6 +25,26 @@ def test_nothing_to_find():
     assert H.blocks("<article><p>One.</p></article>") == ["One."]
 
 
+def test_one_dominant_block():
+    """A region is a container: what stands beside a long paragraph or division is kept."""
+    assert H.blocks(f"<body><div><h1>T</h1><p>{LONG * 9}</p><p>{LONG[:60]}</p></div></body>") == ["T", (LONG * 9).strip(), LONG[:60].strip()]
+    assert H.blocks(f"<body><ul><li>{LONG * 9}<li>{LONG}</ul></body>") == [(LONG * 9).strip(), LONG.strip()]
+    assert H.blocks(f"<body><div><p>{LONG * 3}</p></div><div><p>{LONG}</p></div></body>") == [(LONG * 3).strip(), LONG.strip()]
+    assert H.blocks(f"<main><article><p>{LONG * 3}</p></article><p>{LONG}</p></main>") == [(LONG * 3).strip(), LONG.strip()]
+    assert H.blocks(f"<div><article><p>{LONG * 3}</p></article><article><p>{LONG * 2}</p></article></div>") == [(LONG * 3).strip(), (LONG * 2).strip()]
+
+
+def test_marked_wrappers():
+    """A class, an id or a form around the article does not drop it; marked boilerplate inside still goes."""
+    inner = f"<p>{LONG}</p><p>{LONG}</p><div class='share'>Share this</div>"
+    for tag in ("div class='content with-sidebar'", "div id='content-sidebar-wrap'", "div class='page header-fixed'", "section class='legal'", "form", "div class='sidebar'"):
+        for text in (inner, f"<article>{inner}</article>"):
+            assert H.blocks(f"<body><nav>Home</nav><{tag}>{text}</{tag.split()[0]}><footer>us</footer></body>") == [LONG.strip()] * 2, (tag, text)
+    assert H.blocks(f"<article><p>{LONG}</p></article><div id='comments'><article><p>{LONG[:60]}</p></article></div>") == [LONG.strip()]
+    assert H.blocks(f"<div class='ad'>{LONG}</div><article><p>Brief.</p></article>") == ["Brief."]
+    assert H.blocks(f"<div><p>{LONG}</p><p>{LONG}</p></div><div class='cookie-banner'><p>{LONG}</p></div>") == [LONG.strip()] * 2
+
+
 def test_frame(spark):
     rows = [(1, "u", page("article"), "old"), (1, "u", page("article"), "old"), (2, None, None, None), (3, "v", "", ""), (4, "w", "<p>" + "word " * 50_000, "")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")

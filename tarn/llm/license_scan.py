@@ -1,9 +1,12 @@
 """License scans by sentence rules.
 
-A text is cut into sentences at line ends and after full stops, semicolons and colons. Sentences are
-normalised to lower-case ASCII words and looked up among known licence sentences; the sequence of
-identifiers found is matched against ordered rules, the first of which that fits names the licence.
-All of it is one projection over the documents: no shuffle, no Python.
+A text is cut into sentences after full stops, and may be cut at line ends, semicolons, colons and the
+"v." of a version: a known sentence starts and ends at a cut of either kind and may run on over the
+latter, so that notices wrapped at any column and inside comment marks are found. Texts are normalised to
+lower-case ASCII words; the sequence of identifiers found is matched against ordered rules, the
+first of which that fits names the licence. All of it is one projection over the documents: no
+shuffle, no Python. The DuckDB text cuts at every line end and colon, so it has the same rows only
+where notices stand on one line, as in the given tables.
 """
 
 from __future__ import annotations
@@ -34,6 +37,11 @@ SENTENCES = {
     "Q": ("all rights reserved",),
     "R": ("this is free and unencumbered software released into the public domain",),
 }
+# Sentences of real notices beyond those, as patterns over normal forms.
+WHOLE = {
+    "F": ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",),
+    "N": ("neither the name of(?: [a-z0-9]+){1,12} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",),
+}
 # Rules in order of precedence; a pattern over the identifiers in order of appearance.
 RULES = (
     ("Apache-2.0", "BC?D?"),
@@ -49,8 +57,12 @@ RULES = (
     ("Unlicense", "R"),
     ("Proprietary", "Q"),
 )
-#: Where a sentence ends.
-CUT = r"\n|[.;:](?=[ \t\r\n]|$)"
+#: A list item's mark at the start of a line; where a text may be cut (~); where it is cut (|).
+ITEM = r"\n[^a-z0-9\n]*[a-z0-9]{1,4}[)](?=[ \t])"
+SOFT = r"\n|[;:](?=[ \t\r\n]|$)|(?<=\bv)\.(?=[ \t\r\n])"
+HARD = r"[.](?=[ \t\r\n]|$)"
+#: Words that stand in every known sentence.
+HINT = "licen[sc]|permission|redistribution|copyright|unencumbered|neither[^a-z0-9]+the[^a-z0-9]+name|rights[^a-z0-9]+reserved|free[^a-z0-9]+software"
 
 
 def sentence_form(sentence: Column) -> Column:
@@ -58,23 +70,39 @@ def sentence_form(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(sentence, "[^a-z0-9]+", " "))
 
 
+def _patterns() -> list[tuple[str, str]]:
+    """Identifiers and patterns of their sentences, the longest first."""
+    both = [(i, form) for known in (SENTENCES, WHOLE) for i, forms in known.items() for form in forms]
+    return sorted(both, key=lambda x: -len(x[1]))
+
+
 def _identifier(form: Column) -> Column:
     found = None
-    for i, forms in SENTENCES.items():
-        found = F.when(form.isin(*forms), i) if found is None else found.when(form.isin(*forms), i)
+    for i in SENTENCES:
+        pattern = f"^(?:{'|'.join([*SENTENCES[i], *WHOLE.get(i, ())])})$"
+        found = F.when(form.rlike(pattern), i) if found is None else found.when(form.rlike(pattern), i)
     return found
 
 
+def marked(text: Column) -> Column:
+    """Words with one space, | or ~ between them and | at the ends: cuts, and places that may be cuts."""
+    cut = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, "[|~]", " "), ITEM, "$0~"), SOFT, " ~ ")
+    words = F.trim(F.regexp_replace(F.regexp_replace(cut, HARD, " | "), "[^a-z0-9|~]+", " "))
+    return F.concat(F.lit("|"), F.regexp_replace(F.regexp_replace(words, "[ ~]*[|][ ~|]*", "|"), " ?~[ ~]*", "~"), F.lit("|"))
+
+
 def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents with ``n_sentences`` (known ones found, repeats included), ``sentence_ids`` and ``license``.
 
     ``sentence_ids`` has the identifiers in order of appearance; ``license`` is the first rule that
     they match, null if none does. Null and empty texts have no sentences. Columns of those three
-    names are replaced; rows and other columns are kept. Sentences whose length or words no known one
-    has are not normalised; texts are read whole.
+    names are replaced; rows and other columns are kept. Texts without any word that a known sentence
+    needs are not normalised; texts are read whole.
     """
-    sentences = F.filter(F.split(lower_ascii(text_of(docs, text_col)), CUT, -1), lambda s: (F.length(s) >= 10) & s.rlike("licen[sc]|permission|redistribution|copyright|rights reserved|free software|unencumbered|neither the name"))
-    ids = F.array_compact(F.transform(F.transform(sentences, sentence_form), _identifier))
+    text = lower_ascii(text_of(docs, text_col))
+    known = "|".join(p.replace(" ", "[ ~|]" if "+" in p else "[ ~]") for _, p in _patterns())
+    found = F.regexp_extract_all(marked(text), F.lit(f"(?<=[|~])(?:{known})(?=[|~])"), F.lit(0))
+    ids = F.when(text.rlike(HINT), F.array_compact(F.transform(found, lambda s: _identifier(F.translate(s, "~|", "  "))))).otherwise(F.array().cast("array<string>"))
     base = docs.drop("n_sentences", "sentence_ids", "license")
     out = base.withColumn("sentence_ids", F.array_join(ids, "")).withColumn("n_sentences", F.length("sentence_ids").cast("long"))
     rule = None

@@ -2,6 +2,7 @@
 import hashlib
 import random
 import re
+import textwrap
 from collections import Counter
 
 import pytest
@@ -84,6 +85,48 @@ def test_license_scan(spark):
     assert license_scan.scan(docs.limit(0)).count() == 0
 
 
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License."""
+GPL = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one."""
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."""
+BSD2 = """Copyright (c) 2020 X. All rights reserved.
+
+Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+BSD3 = BSD2 + """
+
+3. Neither the name of Some Firm Inc. nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."""
+CC = "This work is licensed under a Creative Commons Attribution{} 4.0 International License."
+NOTICES = [
+    ("Apache-2.0", APACHE, "BCD"), ("GPL-3.0-or-later", GPL, "O"), ("MPL-2.0", MPL, "P"), ("MIT", MIT, "FG"), ("BSD-2-Clause", BSD2, "QKLM"), ("BSD-3-Clause", BSD3, "QKLMN"),
+    ("GPL-3.0-only", "This work is licensed under the GNU General Public License, version 3.", "A"), ("CC-BY-4.0", CC.format(""), "I"), ("CC-BY-NC-4.0", CC.format("-NonCommercial"), "H"),
+    ("CC-BY-SA-4.0", CC.format("-ShareAlike"), "J"), ("Unlicense", "This is free and unencumbered software released into the public domain.", "R"), ("Proprietary", "All rights reserved.", "Q"),
+]
+
+
+def test_license_scan_of_wrapped_notices(spark):
+    """Each rule on its licence's own words, on one line, wrapped, and inside comment marks."""
+    rows = []
+    for name, text, ids in NOTICES:
+        for width in (10_000, 78, 40):
+            for mark in ("", " * ", "# ", "// "):
+                lines = [x for part in text.split("\n\n") for x in [*textwrap.wrap(part, width), ""]]
+                rows.append((f"{name} {width} {mark}", "\n".join((mark + x).rstrip() for x in lines) + "\ncode()", name, ids))
+    rows.append(("no", "This is not under\nthe MIT License at all", None, ""))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id string, text string")
+    got = {r.doc_id: (r.license, r.sentence_ids) for r in license_scan.scan(docs).collect()}
+    assert got == {d: (name, ids) for d, _, name, ids in rows}
+
+
 def brute_mix(rows):
     """{(source, lang, topic): (weight, probability)} by plain raking."""
     cells = Counter()

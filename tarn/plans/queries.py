@@ -1,6 +1,7 @@
 """Registered queries of the engine: dialect text, run by our compiler, and DuckDB text for the same rows.
 
-Every query reads its whole tables. Sums of doubles are rounded, since their last digits hang on the
+Every query reads its whole tables but fill_interval and fill_prefix, whose texts filter users by a
+modulo, so that days without events are left to fill. Sums of doubles are rounded, since their last digits hang on the
 order of adding up.
 """
 

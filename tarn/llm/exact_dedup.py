@@ -33,18 +33,38 @@ PER_CORE = 2
 KEEP = ("keep_id", "keep_file", "keep_row")
 
 
+#: Plan nodes that hand on the rows of one Parquet scan, each at most once.
+SIMPLE = frozenset(["LogicalRelation", "Project", "Filter", "SubqueryAlias", "View"])
+
+
+def _plain(docs: DataFrame) -> bool:
+    """Whether each row is a row of a Parquet file, and the same ones come at every run."""
+
+    def simple(plan) -> bool:
+        children = plan.children()
+        return plan.getClass().getSimpleName() in SIMPLE and all(simple(children.apply(i)) for i in range(children.size()))
+
+    plan = docs._jdf.queryExecution().analyzed()
+    return plan.deterministic() and simple(plan)
+
+
 def located(docs: DataFrame) -> DataFrame:
-    """The rows with ``_file`` and ``_row``, the place of each row's content.
+    """The rows with ``_file`` and ``_row``, the place of each row's content; input columns of those names are replaced.
 
-    Rows that do not come straight from Parquet files are written to the shared folder first.
+    Rows that do not come straight from Parquet files (joined, limited, exploded or made up ones) are
+    written to the shared folder first, so that a place is one row's and stays so.
     """
-    places = F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")
-    try:
-        out = docs.select("*", *places)
-        out.schema  # noqa: B018  analysis happens here
-        return out
-    except AnalysisException:
-        return written(docs, "documents").select("*", *places)
+    docs = docs.drop("_file", "_row")
+    for known in (docs if _plain(docs) else None, None):
+        rows = written(docs, "documents") if known is None else known
+        place = rows.metadataColumn("_metadata")
+        out = rows.select("*", place["file_path"].alias("_file"), place["row_index"].alias("_row"))
+        try:
+            out.schema  # noqa: B018  analysis happens here
+            return out
+        except AnalysisException:  # a relation of another format
+            continue
+    raise ValueError("the rows have no place")
 
 
 def _digested(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -52,31 +72,28 @@ def _digested(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("_id"), digest, "_file", "_row")
 
 
-def run_state(spark: SparkSession, arrivals: DataFrame) -> DataFrame:
-    """Runs the stream of (_id, _digest, _file, _row) to its end; the state: digest, group_size and the row that stays."""
-    log = scratch(spark, "dedup-log")
-    partitions = {"spark.sql.shuffle.partitions": str(PER_CORE * spark.sparkContext.defaultParallelism)}
-    before = {k: spark.conf.get(k, None) for k in STORE | partitions}
-    for k, v in (STORE | partitions).items():
-        spark.conf.set(k, v)
-    try:
-        state = arrivals.groupBy("_digest").agg(F.max(F.struct("_id", "_file", "_row")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
-        query = (
-            state.writeStream.outputMode("update")
-            .foreachBatch(lambda changed, batch: changed.write.mode("overwrite").parquet(f"{log}/batch={batch}"))
-            .option("checkpointLocation", scratch(spark, "dedup-state"))
-            .trigger(availableNow=True)
-            .start()
-        )
-        query.awaitTermination()
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    schema = "_digest binary, keep struct<_id: bigint, _file: string, _row: bigint>, group_size bigint, batch int"
+def run_state(spark: SparkSession, arrivals: str) -> DataFrame:
+    """Streams the arrivals (_id, _digest, _file, _row) under a folder to their end; the state: digest, group_size and the row that stays.
+
+    The stream has a session of its own, so that the caller's settings stay as they are.
+    """
+    log, own = scratch(spark, "dedup-log"), spark.newSession()
+    for k, v in (STORE | {"spark.sql.shuffle.partitions": str(PER_CORE * spark.sparkContext.defaultParallelism)}).items():
+        own.conf.set(k, v)
+    rows = own.readStream.schema(spark.read.parquet(arrivals).schema).parquet(arrivals)
+    state = rows.groupBy("_digest").agg(F.max(F.struct("_id", "_file", "_row")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
+    query = (
+        state.writeStream.outputMode("update")
+        .foreachBatch(lambda changed, batch: changed.write.mode("overwrite").parquet(f"{log}/batch={batch}"))
+        .option("checkpointLocation", scratch(spark, "dedup-state"))
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
     try:
         changes = spark.read.parquet(log)
     except AnalysisException:  # no document came
-        changes = spark.createDataFrame([], schema)
+        changes = spark.createDataFrame([], "_digest binary, keep struct<_id: bigint, _file: string, _row: bigint>, group_size bigint, batch int")
     last = changes.groupBy("_digest").agg(F.max("keep").alias("keep"), F.max("group_size").alias("group_size"))  # both only grow
     named = [F.col(f"keep.{a}").alias(b) for a, b in zip(("_id", "_file", "_row"), KEEP, strict=True)]
     return written(last.select("_digest", "group_size", *named), "dedup-groups")
@@ -104,15 +121,26 @@ def _false_hits(docs: DataFrame, groups: DataFrame, text_col: str) -> DataFrame:
     return written(found.join(kept, F.expr("_digest = d")).where("_bytes <> _kept").select("_digest"), "dedup-unequal").distinct()
 
 
-def groups_of(docs: DataFrame, arrivals: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs`` (located): the row's columns, and which row of its group stays.
+def groups_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: the row's columns, and which row of its group stays.
 
-    Adds keep_id, group_size (long) and kept (boolean). Null text counts as empty and
-    empty texts are equal. Of equal texts the row with the largest id stays; ids that are equal are
-    told apart by file and row, so that exactly one row of each group stays; null ids come last.
+    Adds keep_id, group_size (long) and kept (boolean); input columns of those names are replaced.
+    Null text counts as empty and empty texts are equal. Of equal texts the row with the largest id
+    stays; ids that are equal are told apart by file and row, so that exactly one row of each group
+    stays; null ids come last. An empty table gives an empty table.
     """
-    spark = docs.sparkSession
-    groups = run_state(spark, arrivals)
+    spark, added = docs.sparkSession, ("keep_id", "group_size", "kept")
+    names = [c for c in docs.columns if c not in added]
+    # columns by number, so that none clashes with the operator's own
+    rows = located(docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]))
+    out = _groups(spark, rows, f"c{names.index(id_col)}", f"c{names.index(text_col)}")
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], *added)
+
+
+def _groups(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    landing = scratch(spark, "dedup-arrivals")
+    _digested(docs, id_col, text_col).write.parquet(landing)
+    groups = run_state(spark, landing)
     false = written(_false_hits(docs, groups, text_col), "dedup-false-hits")
     rows = docs.withColumn("_digest", F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)))
     if not false.isEmpty():  # two texts under one digest: their rows are told apart by their whole texts
@@ -124,41 +152,17 @@ def groups_of(docs: DataFrame, arrivals: DataFrame, id_col: str = "doc_id", text
     return rows.join(groups, "_digest").withColumn("kept", F.expr("_file = keep_file and _row = keep_row"))
 
 
-def stream_of(spark: SparkSession, path: str, schema, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents under a Parquet path (a file or a folder) as a stream of arrivals."""
-    whole = path[:-1] + f"[{path[-1]}]"  # a pattern: the source takes a bare path for a folder
-    docs = spark.readStream.schema(schema).parquet(whole)
-    return _digested(docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")), id_col, text_col)
-
-
-def _folder(docs: DataFrame) -> str | None:
-    """The folder of Parquet files that ``docs`` is all the rows of, if it is just that."""
-    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
-        return None
-    folders = {f.rpartition("/")[0] for f in docs.inputFiles()}
-    return folders.pop() if len(folders) == 1 else None
-
-
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without copies: of equal texts the row with the largest id stays, all columns kept."""
-    spark, placed = docs.sparkSession, located(docs)
-    if (path := _folder(docs)) is not None:
-        arrivals = stream_of(spark, path, docs.schema, id_col, text_col)
-    else:
-        landing = scratch(spark, "dedup-arrivals")
-        feed = _digested(placed, id_col, text_col)
-        feed.write.parquet(landing)
-        arrivals = spark.readStream.schema(feed.schema).parquet(landing)
-    out = groups_of(placed, arrivals, id_col, text_col)
-    return out.where("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The documents without copies: of equal texts the row with the largest id stays, all columns kept, whatever their names."""
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    out = groups_of(plain, f"c{docs.columns.index(id_col)}", f"c{docs.columns.index(text_col)}").where("kept")
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op10_exact_dedup."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    arrivals = stream_of(spark, f"{sf_dir}/documents.parquet", docs.schema)
-    out = groups_of(located(docs).withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")), 256)), arrivals)
-    return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    out = groups_of(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "keep_id", "group_size", "kept", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
 SQL = """

@@ -52,8 +52,7 @@ def test_exact_dedup(spark, docs):
     top = {}
     for r in rows:
         top[r[1] or ""] = max(top.get(r[1] or "", -1), -1 if r[0] is None else r[0])
-    placed = exact_dedup.located(docs)
-    out = exact_dedup.groups_of(placed.drop("kept"), exact_dedup.stream_of(spark, docs.inputFiles()[0].rsplit("/", 1)[0], docs.schema)).collect()
+    out = exact_dedup.groups_of(docs).collect()
     assert len(out) == len(rows) and sum(r.kept for r in out) == len(size)
     assert all((r.keep_id if r.keep_id is not None else -1) == top[r.text or ""] and r.group_size == size[r.text or ""] for r in out)
     left = exact_dedup.deduplicate(docs)
@@ -64,6 +63,27 @@ def test_exact_dedup(spark, docs):
     assert exact_dedup.deduplicate(docs.limit(0)).count() == 0
 
 
+def test_exact_dedup_of_rows_that_are_not_a_whole_folder(spark, tmp_path):
+    """One file of a folder, a filter, a join and a limit; names that clash; a path of pattern characters."""
+    folder = str(tmp_path / "t")
+    schema = "doc_id long, text string, keep_id string, _file string, group_size int"
+    for rows in ([(1, "x"), (2, "y")], [(3, "x"), (4, "y")]):
+        spark.createDataFrame([(*r, "k", "f", 7) for r in rows], schema).coalesce(1).write.mode("append").parquet(folder)
+    docs = spark.read.parquet(folder)
+    ids = lambda df: sorted(r.doc_id for r in df.collect())
+    assert ids(exact_dedup.deduplicate(docs)) == [3, 4]
+    one = spark.read.parquet(docs.inputFiles()[0])
+    assert ids(exact_dedup.deduplicate(one)) == ids(one)
+    assert ids(exact_dedup.deduplicate(docs.where("doc_id < 4"))) == [2, 3]
+    twice = docs.join(spark.range(2).withColumnRenamed("id", "n"))
+    assert ids(exact_dedup.deduplicate(twice)) == [3, 4]
+    out = exact_dedup.deduplicate(docs)
+    assert out.columns == docs.columns and {(r.keep_id, r._file, r.group_size) for r in out.collect()} == {("k", "f", 7)}
+    odd = str(tmp_path / "a[1]{x}")
+    docs.write.parquet(odd)
+    assert ids(exact_dedup.deduplicate(spark.read.parquet(odd.replace("[", "\\[").replace("]", "\\]").replace("{", "\\{").replace("}", "\\}")))) == [3, 4]
+
+
 def test_exact_dedup_tells_texts_of_one_digest_apart(docs, monkeypatch, spark):
     """With a digest that all texts share, whole bytes decide."""
     monkeypatch.setattr(exact_dedup.F, "unhex", lambda c: F.lit(b"\0" * 32))

@@ -1,10 +1,17 @@
 """Quality rules: base rules, then robust multivariate outliers.
 
 Every document has a vector of transformed statistics. For each language and source a
-minimum-covariance-determinant estimate is approached by concentration steps: from medians and
-spreads, distances of all documents are taken, the half-sample of the closest gives the next centre
-and covariance, and so on. Each step is an aggregation by group, so no group is gathered in one task.
-Documents beyond a quantile of the chi-square distribution are rejected by their Mahalanobis distance.
+minimum-covariance-determinant estimate is sought: from several starts, the share ``HELD`` of the
+rows that lie closest gives the next centre and covariance, until the determinant falls no more; the
+smallest determinant wins. A covariance is mixed with that of the wider estimate (of the language, and
+that of all rows) as if ``PRIOR`` rows of it had been seen, which no step can make worse, and for the
+verdict the centre is too. So a group of any size has its own estimate, and a small one leans on its
+language's. Documents beyond a quantile of the chi-square distribution are rejected by their
+Mahalanobis distance.
+
+Each step is one aggregation: distances are counted in cells of fixed width with the sums of their
+rows, and the nearest cells that make up the share are added up. Statistics are whole multiples of
+1 / ``GRID`` and sums are those of whole numbers, so the outcome does not hang on partitions or order.
 """
 
 from __future__ import annotations
@@ -14,18 +21,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarn.llm.common import WHITE, held, lean, modest, table, written
+from tarn.llm.common import WHITE, lean, modest, table, written
 from tarn.llm.jaccard_join import _Hashes, mixed
 
 SYMBOLS = "#*$%&|<>"
 #: The statistics of a vector and the least spread each is given, so that constant ones do not make a covariance singular.
 FLOORS = {"word_length": 0.06, "symbols": 0.5, "dup_lines": 0.12, "repeats": 0.12, "capitals": 0.04}
-#: Share of a group that an estimate rests on; steps; documents that a group of its own needs; probability of rejecting a sound document.
-HELD, STEPS, LEAST, REJECTED = 0.75, 4, 80, 1e-7
+P = len(FLOORS)
+#: Share of a group that an estimate rests on; probability of rejecting a sound document.
+HELD, REJECTED = 0.75, 1e-7
+#: Rows that the wider estimate counts for; steps of a statistic; cells of a distance of 1.
+PRIOR, GRID, CELLS = 100, 1024, 64
+#: Steps of every start before the best of them goes on; the least fall of the log determinant that counts.
+TRIALS, FALL = 2, 1e-4
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -85,111 +98,216 @@ def measures(text: str | None, hashes: dict) -> tuple[list[int], list[float]]:
 
 
 def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows without the text, with the base counts, ``base_failed`` and ``_x``, the vector."""
+    """The rows without the text, with the base counts, ``base_failed`` and ``_x``, the vector in steps of 1 / GRID."""
     rest = [f for f in docs.schema.fields if f.name != text_col and f.name not in (*BASE, "base_failed", "_x")]
-    schema = T.StructType([*rest, *(T.StructField(c, T.LongType(), False) for c in BASE), T.StructField("_x", T.ArrayType(T.DoubleType(), False), False)])
+    schema = T.StructType([*rest, *(T.StructField(c, T.LongType(), False) for c in BASE), T.StructField("_x", T.ArrayType(T.LongType(), False), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
         for batch in batches:
             both = [measures(t, hashes) for t in batch.column(text_col).to_pylist()]
             counts = np.array([c for c, _ in both], np.int64).reshape(len(both), len(BASE))
-            vectors = pa.array([v for _, v in both], pa.list_(pa.float64()))
+            vectors = pa.array([[round(GRID * x) for x in v] for _, v in both], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in rest), *(pa.array(counts[:, i]) for i in range(len(BASE))), vectors], schema.names)
 
     out = modest(docs.select(*[F.col(f"`{f.name}`") for f in rest], text_col)).mapInArrow(lean(run), schema)
     return out.withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words"))
 
 
-_PARAMS = "_g string, mu array<double>, inv array<double>"
+_PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
+_FLOOR = np.diag(np.array(list(FLOORS.values())) ** 2)
+_ESTIMATE = "_g string, start int, mu array<double>, inv array<double>, cov array<double>, logdet double, h double"
 
 
-def _settle(moments: DataFrame) -> DataFrame:
-    """Centre and inverse covariance of each group from its sums; one small row a group."""
-    floors = np.array(list(FLOORS.values()))
-    p = len(floors)
+def consistency(alpha: float = HELD) -> float:
+    """What makes the covariance of the closest share of normal rows that of all."""
+    return alpha / chi2_cdf(chi2_quantile(alpha, P), P + 2)
+
+
+def settled(n: float, s: np.ndarray, ss: np.ndarray, target: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, float]:
+    """Centre, covariance (with floors, mixed with ``target``) and its log determinant from count, sums and sums of products."""
+    mu = s / n
+    cov = consistency() * (ss / n - np.outer(mu, mu)) + _FLOOR
+    if target is not None:
+        own = n / (n + PRIOR)
+        cov = own * cov + (1 - own) * target
+    return mu, cov, float(np.linalg.slogdet(cov)[1])
+
+
+def _square(flat) -> np.ndarray:
+    out = np.zeros((P, P))
+    out[np.triu_indices(P)] = flat
+    return np.triu(out) + np.triu(out, 1).T
+
+
+def _settle(sums: DataFrame) -> DataFrame:
+    """(_g, start, h, s, ss, target) to estimates; one small row a group and start."""
 
     def run(batches):
         for batch in batches:
             rows = []
-            for g, n, s, ss in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                mu = np.array(s) / n
-                cov = np.zeros((p, p))
-                cov[np.triu_indices(p)] = np.array(ss) / n
-                cov = np.triu(cov) + np.triu(cov, 1).T - np.outer(mu, mu)
-                rows.append((g, mu.tolist(), np.linalg.inv(cov + np.diag(floors**2)).ravel().tolist()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), *(pa.array([r[i] for r in rows], pa.list_(pa.float64())) for i in (1, 2))], names=["_g", "mu", "inv"])
-
-    return moments.mapInArrow(lean(run), _PARAMS)
-
-
-def distances(rows: DataFrame, params: DataFrame) -> DataFrame:
-    """The rows with ``_d2``, the squared Mahalanobis distance to their group's centre."""
-    p = len(FLOORS)
-    z = [F.expr(f"_x[{i}] - mu[{i}]") for i in range(p)]
-    total = sum((F.col(f"_z{i}") * sum((F.col(f"_z{j}") * F.expr(f"inv[{i * p + j}]") for j in range(p)), F.lit(0.0)) for i in range(p)), F.lit(0.0))
-    joined = rows.join(params, "_g", "left").select("*", *[c.alias(f"_z{i}") for i, c in enumerate(z)])
-    return joined.withColumn("_d2", total).drop("mu", "inv", *[f"_z{i}" for i in range(p)])
-
-
-def estimates(rows: DataFrame) -> DataFrame:
-    """(_g, mu, inv) for each group of the rows (_g, _x)."""
-    p = len(FLOORS)
-    xs = [F.expr(f"_x[{i}]") for i in range(p)]
+            for g, start, h, s, ss, target in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                mu, cov, logdet = settled(h, np.array(s) / GRID, _square(ss) / GRID**2, None if target is None else np.array(target).reshape(P, P))
+                rows.append((g, start, mu.tolist(), np.linalg.inv(cov).ravel().tolist(), cov.ravel().tolist(), logdet, h))
+            listed = pa.list_(pa.float64())
+            kinds = [pa.string(), pa.int32(), listed, listed, listed, pa.float64(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["_g", "start", "mu", "inv", "cov", "logdet", "h"])
+
+    return sums.select("_g", "start", "h", "s", "ss", "target").mapInArrow(lean(run), _ESTIMATE)
+
+
+def _x(i: int) -> str:
+    return f"_x[{i}]"
+
+
+def squared(mu: str = "mu") -> Column:
+    """The squared distance of ``_x`` under ``mu`` and ``inv``, added up in one order."""
+    total = F.lit(0.0)
+    for i in range(P):
+        inner = F.lit(0.0)
+        for j in range(P):
+            inner = inner + F.expr(f"(_x[{j}] / {float(GRID)}D - {mu}[{j}]) * inv[{i * P + j}]")
+        total = total + F.expr(f"_x[{i}] / {float(GRID)}D - {mu}[{i}]") * inner
+    return F.greatest(F.lit(0.0), total)
+
+
+def _sums() -> list[Column]:
+    return [F.count(F.lit(1)).alias("n"), *[F.sum(F.expr(_x(i))).alias(f"s{i}") for i in range(P)], *[F.sum(F.expr(f"{_x(i)} * {_x(j)}")).alias(f"s{i}_{j}") for i, j in _PAIRS]]
+
+
+_SUMMED = [f"s{i}" for i in range(P)] + [f"s{i}_{j}" for i, j in _PAIRS]
+
+
+def _packed(df: DataFrame) -> DataFrame:
+    return df.withColumn("s", F.array(*[F.col(f"s{i}").cast("double") for i in range(P)])).withColumn("ss", F.array(*[F.col(f"s{i}_{j}").cast("double") for i, j in _PAIRS]))
+
+
+def _closest(rows: DataFrame, params: DataFrame) -> DataFrame:
+    """(_g, start, h, s, ss): sums over the closest share of each group's rows under each of its estimates.
+
+    Rows of the cell in which the share is reached weigh alike, so that together they make it up.
+    """
+    cell = F.floor(F.sqrt(squared()) * CELLS).alias("cell")
+    cells = rows.join(params.select("_g", "start", "mu", "inv"), "_g").select("_g", "start", "_x", cell).groupBy("_g", "start", "cell").agg(*_sums())
+    w = W.partitionBy("_g", "start").orderBy("cell").rowsBetween(W.unboundedPreceding, W.currentRow)
+    reach = cells.withColumn("up", F.sum("n").over(w)).withColumn("all", F.sum("n").over(W.partitionBy("_g", "start")))
+    h = F.floor((F.col("all") * int(HELD * 100) + 99) / 100)
+    part = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (h - (F.col("up") - F.col("n"))) / F.col("n")))
+    inside = reach.withColumn("part", part).where("part > 0")
+    # whole cells as whole numbers; the one last cell by its part
+    whole = [F.sum(F.when(F.col("part") >= 1, F.col(c)).otherwise(0)) + F.coalesce(F.max(F.when(F.col("part") < 1, F.col(c) * F.col("part"))), F.lit(0.0)) for c in _SUMMED]
+    return _packed(inside.groupBy("_g", "start").agg(F.max(h).cast("double").alias("h"), *[x.alias(c) for x, c in zip(whole, _SUMMED, strict=True)]))
+
+
+def _starts(rows: DataFrame, wider: DataFrame | None) -> DataFrame:
+    """First estimates of each group: 0 mean and covariance of all its rows, 1 medians and quartiles, 2 the wider estimate."""
+    target = F.lit(None).cast("array<double>").alias("target")
+    every = _packed(rows.groupBy("_g").agg(*_sums())).select("_g", F.lit(0).alias("start"), F.col("n").cast("double").alias("h"), "s", "ss", target)
+    values = rows.select("_g", F.posexplode("_x").alias("i", "v")).groupBy("_g", "i", "v").agg(F.count(F.lit(1)).alias("n"))
+    w = W.partitionBy("_g", "i").orderBy("v").rowsBetween(W.unboundedPreceding, W.currentRow)
+    ranked = values.withColumn("up", F.sum("n").over(w)).withColumn("all", F.sum("n").over(W.partitionBy("_g", "i")))
+    cut = [F.min(F.when(F.col("up") * 4 >= F.col("all") * q, F.col("v"))).alias(f"q{q}") for q in (1, 2, 3)]
+    quarter = ranked.groupBy("_g", "i").agg(*cut).groupBy("_g").agg(F.sort_array(F.collect_list(F.struct("i", "q1", "q2", "q3"))).alias("q"))
     floors = list(FLOORS.values())
-    quartiles = [F.percentile_approx(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.lit(2000)).alias(f"q{i}") for i, x in enumerate(xs)]
-    at = rows.groupBy("_g").agg(*quartiles)
-    spread = [F.expr(f"1.0D / (power((q{i}[2] - q{i}[0]) / 1.349D, 2) + {floors[i] ** 2}D)") for i in range(p)]
-    inv = F.array(*[spread[i] if i == j else F.lit(0.0) for i in range(p) for j in range(p)])
-    params = written(at.select("_g", F.array(*[F.expr(f"q{i}[1]") for i in range(p)]).alias("mu"), inv.alias("inv")), "mcd")
-    for _ in range(STEPS):
-        near = distances(rows, params)
-        edge = written(near.groupBy("_g").agg(F.percentile_approx("_d2", F.lit(HELD), F.lit(2000)).alias("edge")), "mcd-edge")
-        held = near.join(edge, "_g").where("_d2 <= edge")
-        sums = held.groupBy("_g").agg(
-            F.count(F.lit(1)).alias("n"), *[F.sum(x).alias(f"s{i}") for i, x in enumerate(xs)],
-            *[F.sum(xs[i] * xs[j]).alias(f"s{i}_{j}") for i in range(p) for j in range(i, p)],
-        )
-        packed = sums.select("_g", "n", F.array(*[f"s{i}" for i in range(p)]).alias("s"), F.array(*[f"s{i}_{j}" for i in range(p) for j in range(i, p)]).alias("ss"))
-        params = written(_settle(packed), "mcd")
-    return params
+    spread = [F.expr(f"1.0D / (power((q[{i}].q3 - q[{i}].q1) / ({GRID}D * 1.349D), 2) + {floors[i] ** 2}D)") for i in range(P)]
+    middle = quarter.select(
+        "_g", F.lit(1).alias("start"), F.array(*[F.expr(f"q[{i}].q2 / {GRID}D") for i in range(P)]).alias("mu"), F.array(*[spread[i] if i == j else F.lit(0.0) for i in range(P) for j in range(P)]).alias("inv")
+    )
+    out = _settle(every).select("_g", "start", "mu", "inv").unionByName(middle)
+    if wider is not None:
+        out = out.unionByName(wider.select("_g", F.lit(2).alias("start"), "mu", "inv"))
+    return written(out, "mcd-starts")
+
+
+def estimates(rows: DataFrame, wider: DataFrame | None = None) -> DataFrame:
+    """(_g, mu, inv, cov, h, logdet) of the smallest determinant found, for each group of the rows (_g, _x).
+
+    ``wider`` has (_g, mu, inv, cov) of the wider estimate that a group's covariance is mixed with.
+    """
+
+    def step(params: DataFrame) -> DataFrame:
+        sums = _closest(rows, params)
+        sums = sums.join(wider.select("_g", F.col("cov").alias("target")), "_g", "left") if wider is not None else sums.withColumn("target", F.lit(None).cast("array<double>"))
+        return written(_settle(sums), "mcd")
+
+    now = _starts(rows, wider)
+    for _ in range(TRIALS):
+        now = step(now)
+    # ties go to the lesser number of the start
+    best = written(now.groupBy("_g").agg(F.min(F.struct("logdet", "start", "mu", "inv", "cov", "h")).alias("b")).select("_g", "b.*", F.lit(True).alias("moving")), "mcd")
+    while not best.where("moving").isEmpty():
+        after = step(best.where("moving").select("_g", "start", "mu", "inv")).select("_g", *[F.col(c).alias(f"n_{c}") for c in ("logdet", "mu", "inv", "cov", "h")])
+        both = best.join(after, "_g", "left")
+        falls = F.coalesce(F.col("n_logdet") < F.col("logdet") - FALL, F.lit(False))
+        best = written(both.select("_g", "start", *[F.when(falls, F.col(f"n_{c}")).otherwise(F.col(c)).alias(c) for c in ("logdet", "mu", "inv", "cov", "h")], falls.alias("moving")), "mcd")
+    return best.drop("moving", "start")
+
+
+def widened(rows: DataFrame, found: DataFrame, wider: DataFrame | None) -> DataFrame:
+    """(_g, mu, inv, cov) to judge by: centres mixed with the wider one's, covariances wide enough for half of the rows.
+
+    The median distance from a group's own centre shows how much wider than normal its rows are spread.
+    """
+    cell = F.floor(F.sqrt(squared()) * CELLS).alias("cell")
+    cells = rows.join(found.select("_g", "mu", "inv"), "_g").select("_g", cell).groupBy("_g", "cell").agg(F.count(F.lit(1)).alias("n"))
+    w = W.partitionBy("_g").orderBy("cell").rowsBetween(W.unboundedPreceding, W.currentRow)
+    ranked = cells.withColumn("up", F.sum("n").over(w)).withColumn("all", F.sum("n").over(W.partitionBy("_g")))
+    middle = ranked.where("up * 2 >= all").groupBy("_g").agg(F.min("cell").alias("mid"))
+    scale = F.greatest(F.lit(1.0), F.pow((F.col("mid") + 0.5) / CELLS, F.lit(2)) / chi2_quantile(0.5, P))
+    out = found.join(middle, "_g").withColumn("scale", scale)
+    mu = F.col("mu")
+    if wider is not None:
+        out = out.join(wider.select("_g", F.col("mu").alias("to")), "_g")
+        mu = F.transform("mu", lambda x, i: x * F.col("h") / (F.col("h") + PRIOR) + F.get("to", i) * PRIOR / (F.col("h") + PRIOR))
+    return written(out.select("_g", mu.alias("mu"), F.transform("inv", lambda x: x / F.col("scale")).alias("inv"), F.transform("cov", lambda x: x * F.col("scale")).alias("cov")), "mcd-widened")
 
 
 def judged(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """The rows without the text, with the base counts, ``base_failed``, ``distance`` and ``kept``.
 
-    A row is kept if it passes the base rules and lies within its group's bound. Groups are language
-    and source, where those have at least ``LEAST`` rows that pass the base rules, else the language,
-    else all rows. An estimate rests on all such rows of its language and source, of its language or of
-    the table, also on those that have a group of their own. Null language or source counts as empty. Null, empty and word-free texts fail the
-    base rules; rows that fail have no distance. Repeated rows count each; other columns are kept.
+    A row is kept if it passes the base rules and lies within the bound of its language and source,
+    whose estimate leans on that of its language, and that on that of all rows, the more the fewer rows
+    it rests on. Estimates rest on all rows that pass the base rules. Null language or source counts as
+    empty. Null, empty and word-free texts fail the base rules; rows that fail have no distance.
+    Repeated rows count each; other columns are kept, but those of the added names are replaced. An
+    empty table gives an empty table.
     """
-    rows = held(measured(docs, text_col))
+    docs = docs.drop("distance", "kept")
     lang, source = F.coalesce(F.col(lang_col), F.lit("")), F.coalesce(F.col(source_col), F.lit(""))
-    sound = rows.where("not base_failed")
-    fine = sound.groupBy(lang.alias("_l"), source.alias("_s")).agg(F.count(F.lit(1)).alias("_n"))
-    coarse = fine.groupBy("_l").agg(F.sum("_n").alias("_m"))
-    by_lang = F.concat(F.lit("1"), F.col("_l"))
-    label = F.when(F.col("_n") >= LEAST, F.concat(F.lit("2"), F.to_json(F.struct("_l", "_s")))).when(F.col("_m") >= LEAST, by_lang).otherwise(F.lit("0"))
-    named = written(fine.join(coarse, "_l").select("_l", "_s", label.alias("_g"), by_lang.alias("_by_lang")), "groups")
-    # the groups whose estimate a row of each language and source counts in: its own, and the wider ones that any small group needs
-    wide = named.where(~F.col("_g").startswith("2")).select(F.col("_g").alias("_w")).distinct()
-    some = F.col("_w").isin("0") | (F.col("_w") == F.col("_by_lang"))
-    lent = named.join(F.broadcast(wide), some, "left").groupBy("_l", "_s", "_g").agg(F.collect_set("_w").alias("_ws"))
-    named = written(lent.select("_l", "_s", "_g", F.array_union(F.array("_g"), "_ws").alias("_in")), "groups")
-    placed = rows.where("not base_failed").withColumns({"_l": lang, "_s": source}).join(named, ["_l", "_s"]).drop("_l", "_s")
-    placed = held(placed)
-    pool = placed.select(F.explode("_in").alias("_g"), "_x")
-    params = estimates(pool)
-    middle = written(distances(pool, params).groupBy("_g").agg(F.percentile_approx("_d2", F.lit(0.5), F.lit(2000)).alias("_mid")), "mcd-middle")
-    far = distances(placed.drop("_in"), params)
-    p = len(FLOORS)
-    scale = F.greatest(F.lit(1.0), F.col("_mid") / chi2_quantile(0.5, p))  # so that medians agree with the distribution's
-    far = far.join(middle, "_g").withColumn("distance", F.sqrt(F.greatest(F.lit(0.0), F.col("_d2") / scale)))
-    out = [*[c for c in rows.columns if c != "_x"], "distance"]
-    failed = rows.where("base_failed").withColumn("distance", F.lit(None).cast("double"))
-    both = far.select(out).unionByName(failed.select(out))
-    return both.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= math.sqrt(chi2_quantile(1 - REJECTED, p)), F.lit(False)))
+    key = F.to_json(F.struct(lang.alias("l"), source.alias("s")))
+    rows = written(measured(docs, text_col).withColumns({"_l": F.to_json(F.struct(lang.alias("l"))), "_g": key}), "measured")
+    sound = rows.where("not base_failed").select("_g", "_l", "_x")
+    # all rows and the languages
+    pool = sound.select(F.explode(F.array(F.lit(""), "_l")).alias("_g"), "_x")
+    coarse = estimates(pool)
+    top = widened(pool.where("_g = ''"), coarse.where("_g = ''"), None)
+    wide = coarse.where("_g <> ''").select("_g", "h", "mu", "cov").crossJoin(F.broadcast(top.select(F.col("mu").alias("to"), F.col("cov").alias("above"))))
+    languages = widened(pool, _leaning(wide), wide.select("_g", F.col("to").alias("mu")))
+    # the languages and sources
+    groups = written(sound.select("_g", "_l").distinct(), "groups")
+    wider = written(groups.join(languages.withColumnRenamed("_g", "_l"), "_l").drop("_l"), "mcd-wider")
+    own = sound.drop("_l")
+    final = widened(own, estimates(own, wider), wider)
+    judge = rows.join(final.select("_g", "mu", "inv"), "_g", "left").withColumn("distance", F.when(~F.col("base_failed"), F.sqrt(squared())))
+    bound = math.sqrt(chi2_quantile(1 - REJECTED, P))
+    return judge.drop("_g", "_l", "_x", "mu", "inv").withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= bound, F.lit(False)))
+
+
+def _leaning(wide: DataFrame) -> DataFrame:
+    """Estimates (_g, h, mu, cov, above) with the covariance mixed with the one above; one small row a language."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for g, h, mu, cov, above in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                own = h / (h + PRIOR)
+                both = own * np.array(cov) + (1 - own) * np.array(above)
+                rows.append((g, 0, mu, np.linalg.inv(both.reshape(P, P)).ravel().tolist(), both.tolist(), 0.0, h))
+            listed = pa.list_(pa.float64())
+            kinds = [pa.string(), pa.int32(), listed, listed, listed, pa.float64(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["_g", "start", "mu", "inv", "cov", "logdet", "h"])
+
+    return written(wide.select("_g", "h", "mu", "cov", "above").mapInArrow(lean(run), _ESTIMATE), "mcd-languages")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

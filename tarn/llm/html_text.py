@@ -1,11 +1,12 @@
 """Main-text extraction from raw HTML.
 
-The standard library's parser streams events; block boundaries cut the page into lines. Each
-line has a text-to-tag ratio; the ratios are smoothed with a Gaussian and split in two clusters
-by a threshold. The lines of the upper cluster vote for the region that holds the content, and
-every block of that region outside menus, adverts and the like is returned. A region is a container
-that holds nearly all of the cluster's text; what only a class, an id or a form marks as boilerplate
-is none where it holds the article or most of that text.
+The standard library's parser streams events; block boundaries cut the page into lines. Each line has
+a text-to-tag ratio; the ratios are smoothed with a Gaussian and split in two clusters by a threshold.
+The lines of the upper cluster choose the region: the innermost container that holds them, where lines
+inside an article or main element weigh more. Structure is a veto only: menus, headers, footers and the
+like are taken out before the ratios are smoothed, and so are elements that a class, an id or a form
+marks as boilerplate, unless they hold what else is the content. Names that articles bear too count only
+where the ratios agree. Every block of the region is returned. Time and memory grow with the page's length.
 """
 
 from __future__ import annotations
@@ -38,59 +39,104 @@ CLOSES = {
 #: An open element of these kinds keeps an end tag or an implied end from reaching farther out.
 SCOPES = frozenset("article aside body div footer form header html main nav ol section table td th ul".split())
 BOILERPLATE = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored banner promo promotion cookie cookies consent gdpr notice notices "
-    "alert popup modal overlay newsletter subscribe signup login sidebar side rail widget menu nav navbar navigation breadcrumb breadcrumbs "
-    "pagination pager toolbar topbar masthead header footer comment comments commentlist disqus replies respond share sharing social "
-    "related recommended recommendations toc skip copyright legal disclaimer".split()
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored banner cookie cookies consent gdpr "
+    "popup modal overlay newsletter subscribe signup login sidebar rail menu nav navbar navigation breadcrumb breadcrumbs "
+    "pagination pager toolbar topbar masthead comment comments commentlist disqus replies respond share sharing social copyright disclaimer".split()
 )
+# Names that mark boilerplate only where the ratios say so too; both kinds together make up longer names.
+DOUBTFUL = frozenset("notice notices alert side widget header footer related recommended recommendations promo promotion toc skip legal box bar wrapper".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that are parts of a text and so never the region.
 PARTS = HEADINGS | frozenset("p pre li dt dd tr td th caption figcaption summary hr".split())
+ROOTS = frozenset(["", "html", "body"])
+#: Elements that group parts of a text.
+GROUPS = PARTS | frozenset("ul ol dl table thead tbody tfoot blockquote figure".split())
+#: How many times denser the upper cluster has to be than the lower one: else all lines are of one kind.
+APART = 2.0
 #: Characters, and characters a tag, from which a line is prose however much longer others are.
 PROSE, PROSE_RATIO = 80, 20
-#: Boilerplate by the element itself, and by its class or id or as a form alone.
-SURE, MARKED = 2, 1
+#: Boilerplate by the element itself; by its class or id or as a form alone; by a name that articles bear too.
+SURE, MARKED, MAYBE = 3, 2, 1
+#: How many times more a line inside an article or main weighs; the share of the weight that the region then has to hold.
+TOLD, NEARLY = 10, 0.95
 #: Standard deviation of the smoothing, in lines.
 SIGMA = 1.0
 
 
+class _Frame:
+    """An open element that end tags inside it do not reach beyond, and what is open in it."""
+
+    __slots__ = ("count", "name", "own", "tags")
+
+    def __init__(self, name: str, own: int):
+        self.name, self.own, self.tags, self.count = name, own, [], {}
+
+
 class _Lines(HTMLParser):
-    """Cuts a page into lines and notes for each its node and its tags; nodes have their name and kind of boilerplate."""
+    """Cuts a page into lines and notes for each its node, its tags and the length of its links.
+
+    Nodes are block elements and marked ones, in page order; each has its parent, name and kind, and
+    whether it or one around it is an article or main. Counts of what is open make each tag's cost constant.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.parent, self.semantic, self.name, self.kind = [-1], [False], [""], [0]
-        self.open: list[tuple[str, int, bool]] = [("", 0, False)]  # name, node, whether the node is the element's own
-        self.lines: list[tuple[str, int, int]] = []
+        self.parent, self.inside, self.name, self.kind = [-1], [False], [""], [0]
+        self.frames = [_Frame("", 0)]
+        self.scopes: dict[str, int] = {}
+        self.lines: list[tuple[str, int, int, int]] = []
         self.text: list[str] = []
-        self.tags, self.node = 0, 0
+        self.tags, self.node, self.links, self.linked = 0, 0, 0, 0
 
     def _flush(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            self.lines.append((text, max(1, self.tags), self.node))
+            self.lines.append((text, max(1, self.tags), self.node, self.linked))
             self.tags = 0
-        self.text = []
-        self.node = self.open[-1][1]
+        self.text, self.linked = [], 0
+        self.node = self._now()
+
+    def _now(self) -> int:
+        frame = self.frames[-1]
+        return frame.tags[-1][1] if frame.tags else frame.own
+
+    def _shut(self, name: str) -> None:
+        """Closes what is open in the innermost frame, up to and with the last element of the name."""
+        frame, cut = self.frames[-1], False
+        while frame.tags:
+            last, _, own = frame.tags.pop()
+            frame.count[last] -= 1
+            self.links -= last == "a"
+            cut = cut or own
+            if last == name:
+                break
+        if cut:
+            self._flush()
+        self.node = self._now()
 
-    def _pop_to(self, depth: int) -> None:
-        del self.open[depth:]
+    def _shut_frame(self) -> None:
+        frame = self.frames.pop()
+        self.links -= frame.count.get("a", 0)
+        self.scopes[frame.name] -= 1
 
     def _kind_of(self, tag: str, attrs: dict) -> int:
         if tag in SKIPPED:
             return SURE
-        inside = any(self.semantic[i] for _, i, _ in self.open)
         if tag == "header":
-            return 0 if inside else SURE
+            return 0 if self.inside[self._now()] else SURE
         if (attrs.get("role") or "").lower() in ROLES or "hidden" in attrs or (attrs.get("aria-hidden") or "").lower() == "true":
             return SURE
         if tag in ("html", "body", "article", "main"):
             return 0
         if tag == "form":
             return MARKED
-        names = f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower().split()
-        return MARKED if any(x in BOILERPLATE or BOILERPLATE.issuperset(re.split("[-_]+", x)) for x in names) else 0
+        found = 0
+        for name in f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower().split():
+            parts = [x for x in re.split("[-_]+", name) if x]
+            if parts and all(x in BOILERPLATE or x in DOUBTFUL for x in parts):
+                found = max(found, MARKED if any(x in BOILERPLATE for x in parts) else MAYBE)
+        return found
 
     def handle_starttag(self, tag, attrs):
         self.tags += 1
@@ -101,15 +147,15 @@ class _Lines(HTMLParser):
         if tag in VOID:
             return
         if closes := CLOSES.get(tag):
-            for depth in range(len(self.open) - 1, 0, -1):
-                name = self.open[depth][0]
-                if name in closes:
-                    self._pop_to(depth)
-                    break
-                if name in SCOPES:
-                    break
-        named = dict(attrs)
-        above = self.open[-1][1]
+            frame = self.frames[-1]
+            if any(frame.count.get(x) for x in closes):
+                while frame.tags and frame.tags[-1][0] not in closes:
+                    self._shut(frame.tags[-1][0])
+                self._shut(frame.tags[-1][0])
+            elif frame.name in closes:
+                self._shut_frame()
+                self._flush()
+        named, above = dict(attrs), self._now()
         kind = self._kind_of(tag, named)
         own = tag in BLOCK or (kind > 0 and self.kind[above] != SURE)
         if own:
@@ -117,11 +163,17 @@ class _Lines(HTMLParser):
             self.parent.append(above)
             self.name.append(tag)
             self.kind.append(SURE if self.kind[above] == SURE else kind)
-            self.semantic.append(tag in ("article", "main") or (named.get("role") or "").lower() in ("main", "article") or named.get("itemprop") == "articleBody")
-            above = len(self.parent) - 1
-        self.open.append((tag, above, own))
-        if own:
-            self.node = above
+            semantic = tag in ("article", "main") or (named.get("role") or "").lower() in ("main", "article") or named.get("itemprop") == "articleBody"
+            self.inside.append(semantic or self.inside[above])
+            above = self.node = len(self.parent) - 1
+        if tag in SCOPES:
+            self.frames.append(_Frame(tag, above))
+            self.scopes[tag] = self.scopes.get(tag, 0) + 1
+        else:
+            frame = self.frames[-1]
+            frame.tags.append((tag, above, own))
+            frame.count[tag] = frame.count.get(tag, 0) + 1
+            self.links += tag == "a"
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -130,22 +182,20 @@ class _Lines(HTMLParser):
 
     def handle_endtag(self, tag):
         self.tags += 1
-        for depth in range(len(self.open) - 1, 0, -1):
-            name, _, own = self.open[depth]
-            if name == tag:
-                if own:
-                    cut = self.text, self.node
-                    self._pop_to(depth)
-                    self.text, self.node = cut
-                    self._flush()
-                else:
-                    del self.open[depth]
-                break
-            if name in SCOPES and tag not in SCOPES:
-                break
+        if tag in SCOPES:
+            if self.scopes.get(tag):
+                self._flush()
+                while self.frames[-1].name != tag:
+                    self._shut_frame()
+                self._shut_frame()
+                self.node = self._now()
+        elif self.frames[-1].count.get(tag):
+            self._shut(tag)
 
     def handle_data(self, data):
         self.text.append(data)
+        if self.links:
+            self.linked += len(data)
 
     def finish(self) -> None:
         self.close()
@@ -161,70 +211,132 @@ def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
 
 
 def threshold(values: np.ndarray) -> float:
-    """Where two clusters part: the middle of their means, moved until it rests."""
+    """Where two clusters part: the middle of their means, moved until it rests; 0 where they lie close together."""
     at = float(values.mean())
+    low, high = values[values < at], values[values >= at]
     for _ in range(30):
-        low, high = values[values < at], values[values >= at]
         if not len(low) or not len(high):
-            break
+            return 0.0
         moved = float(low.mean() + high.mean()) / 2
         if abs(moved - at) < 1e-9:
             break
         at = moved
-    return at
+        low, high = values[values < at], values[values >= at]
+    return at if not len(low) or not len(high) or high.mean() >= APART * low.mean() else 0.0
+
 
+def _dense(lines: list[tuple[str, int, int, int]], skip: list[bool]) -> list[int]:
+    """The lines of the upper cluster, and all as dense as prose is, that are neither skipped nor mostly links; all not skipped if there is none.
 
-def _dense(lines: list[tuple[str, int, int]], skip: list[bool]) -> list[int]:
-    """The lines of the upper cluster and all prose that are not skipped; all such lines if there is none."""
-    ratios = smoothed(np.array([0.0 if off else len(text) / tags for (text, tags, _), off in zip(lines, skip, strict=True)]))
-    upper = ratios >= threshold(ratios)
-    found = [i for i, (text, tags, _) in enumerate(lines) if not skip[i] and (upper[i] or (len(text) >= PROSE and len(text) >= PROSE_RATIO * tags))]
+    A run of the cluster starts and ends with a line that is as dense without smoothing; others only lie in between.
+    """
+    ratios = np.array([0.0 if off else max(0, len(text) - linked) / tags for (text, tags, _, linked), off in zip(lines, skip, strict=True)])
+    smooth = smoothed(ratios)
+    at = threshold(smooth)
+    upper = smooth >= at
+    n, order = len(lines), np.arange(len(lines))
+    own = upper & (ratios >= at)
+    before = np.maximum.accumulate(np.where(own, order, -1))  # the nearest such line before and after, and lines out of the cluster
+    after = np.minimum.accumulate(np.where(own, order, n)[::-1])[::-1]
+    gap_before = np.maximum.accumulate(np.where(upper, -1, order))
+    gap_after = np.minimum.accumulate(np.where(upper, n, order)[::-1])[::-1]
+    upper &= (before > gap_before) & (after < gap_after)
+    able = [not off and 2 * linked <= len(text) for (text, _, _, linked), off in zip(lines, skip, strict=True)]
+    found = [i for i, (text, tags, _, _) in enumerate(lines) if able[i] and (upper[i] or (len(text) >= PROSE and len(text) >= PROSE_RATIO * tags))]
     return found or [i for i, off in enumerate(skip) if not off]
 
 
-def _weights(lines: list[tuple[str, int, int]], above: list[list[int]], which: list[int]) -> dict[int, int]:
-    """Characters of the lines ``which`` below each node."""
-    out: dict[int, int] = {}
+def _below(page: _Lines, which: list[int], value) -> list[int]:
+    """For each node the sum of ``value`` over the lines ``which`` below it; a node's parent comes before it."""
+    out = [0] * len(page.parent)
     for i in which:
-        for node in above[i]:
-            out[node] = out.get(node, 0) + len(lines[i][0])
+        out[page.lines[i][2]] += value(i)
+    for n in range(len(out) - 1, 0, -1):
+        out[page.parent[n]] += out[n]
     return out
 
 
-def _skipped(page: _Lines, above: list[list[int]]) -> list[bool]:
+def _downward(page: _Lines, marks) -> list[bool]:
+    """Which nodes are among the marked ones or below one."""
+    out = [False] * len(page.parent)
+    for n in range(len(out)):
+        out[n] = n in marks or (n > 0 and out[page.parent[n]])
+    return out
+
+
+def _skipped(page: _Lines) -> list[bool]:
     """Which lines are boilerplate.
 
-    A node that is so by its class, id or as a form alone is none after all if it holds an article or
-    main with half of the dense text in such, or, on pages where no other article or main is left, 70 %
-    of the dense text; if nothing is left, any that holds an article or main, and then any.
+    A node that is so by its class, id or as a form alone is none after all if it holds half of the
+    dense text that stands in an article or main, or, where no other article or main is left, 70 % of the
+    dense text; if nothing is left, any that holds an article or main, and then any. One with a name that
+    articles bear too is none if any of its lines is dense.
     """
-    sure = [any(page.kind[n] == SURE for n in chain) for chain in above]
+    lines = page.lines
+    sure = [page.kind[x[2]] == SURE for x in lines]
     marked = {n for n, k in enumerate(page.kind) if k == MARKED}
-    if not marked or all(sure):
+    maybe = {n for n, k in enumerate(page.kind) if k == MAYBE}
+    if not (marked or maybe) or all(sure):
         return sure
-    weight = _weights(page.lines, above, dense := _dense(page.lines, sure))
-    told = sum(len(page.lines[i][0]) for i in dense if any(page.semantic[n] for n in above[i]))
-    holds = set()
-    for n, w in weight.items():
-        if page.semantic[n] and 2 * w >= told:
-            while n >= 0:
-                holds.add(n)
-                n = page.parent[n]
-    semantic = {m for i in dense for k, n in enumerate(above[i]) if page.semantic[n] for m in above[i][k:]}
-    plain = any(not off and marked.isdisjoint(chain) and any(page.semantic[n] for n in chain) for off, chain in zip(sure, above, strict=True))
-    most = set() if plain else {n for n, w in weight.items() if 10 * w >= 7 * weight[0]}
+    dense = _dense(lines, sure)
+    weight = _below(page, dense, lambda i: len(lines[i][0]))
+    told = _below(page, dense, lambda i: len(lines[i][0]) if page.inside[lines[i][2]] else 0)
+    holds = {n for n in marked if told[0] and 2 * told[n] >= told[0] and not page.inside[n]}
+    within = _downward(page, marked)
+    plain = any(not off and not within[x[2]] and page.inside[x[2]] for off, x in zip(sure, lines, strict=True))
+    most = set() if plain else {n for n in marked if 10 * weight[n] >= 7 * weight[0]}
+    semantic = {n for n in marked if told[n]}
     out = sure
-    for freed in (holds | most, semantic, marked):
-        left = marked - freed
-        out = [off or not left.isdisjoint(chain) for off, chain in zip(sure, above, strict=True)]
+    for freed in (holds | most, semantic | holds | most, marked):
+        left = _downward(page, marked - freed)
+        out = [off or left[x[2]] for off, x in zip(sure, lines, strict=True)]
         if not all(out):
             break
+    if maybe:
+        weight = _below(page, _dense(lines, out), lambda i: 1)
+        left = _downward(page, {n for n in maybe if not weight[n]})
+        out = [off or left[x[2]] for off, x in zip(out, lines, strict=True)]
     return out
 
 
-def _within(page: _Lines, weight: dict[int, int], of: list[int]) -> int:
-    """The deepest container of ``of`` that holds nearly all (95 %) of the weight below the outermost."""
-    return max(n for n in of if 20 * weight[n] >= 19 * max(weight[m] for m in of))
+def _rounded(page: _Lines, skip: list[bool], region: int, content: list[int]) -> tuple[int, int]:
+    """The region made whole: its first line and the one after its last.
+
+    It grows to the article it lies in; else to each container around it whose other lines are headings,
+    paragraphs, items and the like of its own, not mostly links; and by such lines right beside it.
+    """
+    lines, n = page.lines, len(page.lines)
+    holder = [0] * len(page.parent)
+    article = [-1] * len(page.parent)
+    for k in range(1, len(holder)):
+        up = page.parent[k]
+        holder[k] = holder[up] if page.name[k] in GROUPS else k
+        article[k] = k if page.name[k] == "article" else article[up]
+    flows = [not skip[i] and page.name[x[2]] in PARTS and 2 * x[3] < len(x[0]) for i, x in enumerate(lines)]
+    left = [i for i in range(n) if not skip[i]]
+    every = _below(page, left, lambda i: 1)
+    own = [0] * len(holder)
+    for i in left:
+        own[holder[lines[i][2]]] += flows[i]
+    if article[region] >= 0:
+        region = article[region]
+    else:
+        while region and page.name[region] not in ROOTS and not (page.inside[region] and not page.inside[page.parent[region]]):
+            up = holder[page.parent[region]]
+            if page.name[up] in ROOTS or every[up] - every[region] != own[up]:
+                break
+            region = up
+    inside = _downward(page, {region})
+    if page.name[region] in ROOTS:
+        first, last, beside = content[0], content[-1] + 1, {holder[lines[i][2]] for i in (content[0], content[-1])}
+    else:
+        within = [i for i in left if inside[lines[i][2]]]
+        first, last, beside = within[0], within[-1] + 1, set() if page.inside[region] else {holder[page.parent[region]]}
+    while first and flows[first - 1] and (holder[lines[first - 1][2]] in beside or (beside and page.name[lines[first - 1][2]] in HEADINGS)):
+        first -= 1
+    while last < n and flows[last] and holder[lines[last][2]] in beside:
+        last += 1
+    return first, last
 
 
 def blocks(html: str) -> list[str]:
@@ -233,40 +345,15 @@ def blocks(html: str) -> list[str]:
     page.feed(html)
     page.finish()
     lines = page.lines
-    above: list[list[int]] = []
-    for _, _, node in lines:
-        chain = []
-        while node >= 0:
-            chain.append(node)
-            node = page.parent[node]
-        above.append(chain)
-    skip = _skipped(page, above)
+    skip = _skipped(page)
     if all(skip):
         return []
     content = _dense(lines, skip)
-    weight = _weights(lines, above, content)
-    total = weight[0]
-    told = [i for i in content if any(page.semantic[n] for n in above[i])]
-    if told and 2 * sum(len(lines[i][0]) for i in told) >= total:
-        # each outermost article or main, or the one in it that holds nearly all of its text
-        outer = {next(n for n in reversed(above[i]) if page.semantic[n]) for i in told}
-        regions = {_within(page, weight, [n for n in weight if page.semantic[n] and _under(page, n, top)]) for top in outer}
-        return [x[0] for x, chain, off in zip(lines, above, skip, strict=True) if not off and not regions.isdisjoint(chain)]
-    region = _within(page, weight, [n for n in weight if page.name[n] not in PARTS])
-    first, last = 0, len(lines)
-    if page.name[region] in ("", "html", "body"):  # no element holds the article alone: from its heading to its last dense line and what goes on beside it
-        first, last = content[0], content[-1] + 1
-        while first and page.name[lines[first - 1][2]] in HEADINGS:
-            first -= 1
-        while last < len(lines) and page.name[lines[last][2]] in PARTS and page.parent[lines[last][2]] == page.parent[lines[content[-1]][2]]:
-            last += 1
-    return [lines[i][0] for i in range(first, last) if region in above[i] and not skip[i]]
-
-
-def _under(page: _Lines, node: int, top: int) -> bool:
-    while node > top:
-        node = page.parent[node]
-    return node == top
+    weight = _below(page, content, lambda i: len(lines[i][0]) * (TOLD if page.inside[lines[i][2]] else 1))
+    need = weight[0] * NEARLY if any(page.inside[lines[i][2]] for i in content) else weight[0]
+    region = max(n for n, w in enumerate(weight) if w >= need and page.name[n] not in PARTS)
+    first, last = _rounded(page, skip, region, content)
+    return [lines[i][0] for i in range(first, last) if not skip[i]]
 
 
 def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text") -> DataFrame:

@@ -1,3 +1,5 @@
+import time
+
 from tarn.llm import html_text as H
 
 LONG = "A sentence of the article that is long enough to carry weight. " * 4
@@ -45,6 +47,59 @@ def test_marked_wrappers():
     assert H.blocks(f"<div><p>{LONG}</p><p>{LONG}</p></div><div class='cookie-banner'><p>{LONG}</p></div>") == [LONG.strip()] * 2
 
 
+SHORT = "A short one."
+
+
+def test_titles_and_short_paragraphs_outside_the_densest_container():
+    """Without an article element nothing of the article goes: what is beside the dense container stays."""
+    body = f"<p>{LONG}</p><p>{SHORT}</p><p>{LONG}</p>"
+    want = [LONG.strip(), SHORT, LONG.strip()]
+    menu = "<div><ul><li><a href='/'>Home</a><li><a href='/a'>About us all</a></ul></div>"
+    assert H.blocks(f"<body>{menu}<div><h1>T</h1><div>{body}</div></div></body>") == ["T", *want]
+    assert H.blocks(f"<body>{menu}<h1>T</h1><p>{SHORT}</p><div>{body}</div><p>{SHORT}</p><p>{SHORT}</p>{menu}</body>") == ["T", SHORT, *want, SHORT, SHORT]
+    assert H.blocks(f"<body>{menu}<p>{SHORT}</p>{body}<p>{SHORT}</p><p>{SHORT}</p></body>") == [SHORT, *want, SHORT, SHORT]
+    assert H.blocks(f"<body>{menu}<div><p>{SHORT}</p><div>{body}</div><ul><li>One</li><li>Two</li></ul></div></body>") == [SHORT, *want, "One", "Two"]
+    assert H.blocks(f"<body>{menu}<div>{menu}<div><h2>T</h2>{body}</div>{menu}</div></body>") == ["T", *want]
+    assert H.blocks(f"<main><div class='post-header'><h1>T</h1></div><div>{body}</div></main>")[-3:] == want
+
+
+def test_doubtful_names():
+    """Class words that articles bear too do not drop their text."""
+    assert H.blocks(f"<main><div class='post-header'><h1>T</h1></div><p>{LONG}</p></main>") == ["T", LONG.strip()]
+    assert H.blocks(f"<article><h1>T</h1><section class='legal-analysis'><p>{LONG}</p></section><section class='legal'><p>{LONG}</p></section></article>") == ["T", LONG.strip(), LONG.strip()]
+    assert H.blocks(f"<article><p>{LONG}</p><div class='related'><a href='/x'>More</a></div><p>{LONG}</p></article>") == [LONG.strip()] * 2
+    assert H.blocks(f"<div class='content with-sidebar'><h1>T</h1><p>{LONG}</p></div>") == ["T", LONG.strip()]
+
+
+SOUP = "<body><div><a href='/'>Home</a> <a href='/n'>News</a> <a href='/s'>Shop</a></div><div>Call <b>us</b> <i>now</i> <a href='/t'>x</a></div><div><div>{}</div><div>{}</div></div><div><span>a</span><span>b</span><span>c</span> d</div></body>"
+
+
+def test_the_clusters_choose(monkeypatch):
+    """On pages without telling elements or names the smoothed ratios alone tell the article: without them menus stay."""
+    html = SOUP.format(LONG, LONG)
+    assert H.blocks(html) == [LONG.strip()] * 2
+    with monkeypatch.context() as m:
+        m.setattr(H, "smoothed", lambda ratios, sigma=1.0: ratios * 0 + 1)
+        assert len(H.blocks(html)) > 2
+    with monkeypatch.context() as m:
+        m.setattr(H, "threshold", lambda values: 0.0)
+        assert len(H.blocks(html)) > 2
+    # a short line between dense ones is lifted by its neighbours
+    html = f"<div><p>{LONG}</p><div><b>Note</b></div><p>{LONG}</p></div>"
+    assert "Note" in H.blocks(html)
+
+
+def test_deep_pages_take_time_in_proportion():
+    for make in (
+        lambda n: "<div>" * n + LONG + "</div>" * n, lambda n: "<i><div>" + "<b>" * n + LONG + "</i>" * n, lambda n: "<div class='ad'>w" * n, lambda n: "<p>" * n + LONG + "</span>" * n,
+        lambda n: "".join(f"<div><p>line {i} of text</p>" for i in range(n)),
+    ):
+        start = time.perf_counter()
+        H.blocks(make(100_000))
+        assert time.perf_counter() - start < 30
+    assert len(H.blocks("".join(f"<div><p>line {i} of text</p>" for i in range(4000)))) == 4000
+
+
 def test_frame(spark):
     rows = [(1, "u", page("article"), "old"), (1, "u", page("article"), "old"), (2, None, None, None), (3, "v", "", ""), (4, "w", "<p>" + "word " * 50_000, "")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")

@@ -1,12 +1,19 @@
-"""Statements at work on Spark: databases and tables are folders of Parquet, changes are rewrites.
+"""Statements at work on Spark: tables are lists of Parquet folders that are never changed.
 
-A ``Warehouse`` keeps what Spark's catalog has no place for (declared columns, sort keys, views that
-are materialized, dictionaries, functions, roles, grants, named collections) beside the data. Data of
-a table lies in a fresh folder for each version, so that readers of the old one are not disturbed.
+A ``Warehouse`` keeps what Spark's catalog has no place for (declared columns, sort keys, which folders
+make up a table, views that are materialized, dictionaries, functions, roles, grants, named
+collections) as one file of statements beside the data, so that the next process finds it.
+
+Each insert writes one folder, or one for each partition; partitions are dropped, moved, replaced,
+attached and frozen by moving names of folders about, and columns are added and dropped on reading.
+Only changes of rows, types and names of columns write data anew, in fresh folders, so that readers of
+the old ones are not disturbed.
 """
 
 from __future__ import annotations
 
+import json
+import urllib.parse
 import uuid
 from dataclasses import dataclass, field, replace
 
@@ -15,62 +22,151 @@ from pyspark.sql import functions as F
 
 from tarn.catalog import SchemaError, flattened, full_name
 from tarn.compile import Session
-from tarn.operators.merge_tree import latest, summed
+from tarn.operators.merge_tree import Merging, latest
+from tarn.sources import engines
 from tarn.sqlfront import ast as A
 from tarn.sqlfront.ast import Stmt
-from tarn.sqlfront.ddl import parse
+from tarn.sqlfront.ddl import parse, write
 from tarn.types import spark_type, struct_of
 
+#: The column that names a row's partition in the folders of a partitioned table.
+PART = "_part"
+
 
 @dataclass
 class Stored:
-    """One table: its declaration and where its rows are."""
+    """One table: its declaration and where its rows are, as (partition, folder)."""
 
     declared: Stmt
-    path: str
+    parts: list[tuple[str, str]] = field(default_factory=list)
     attached: bool = True
-    detached_parts: dict[str, str] = field(default_factory=dict)
+    detached: dict[str, list[str]] = field(default_factory=dict)
+    #: Columns dropped from the declaration that folders still hold.
+    dropped: set[str] = field(default_factory=set)
+
+
+class Shelf:
+    """Small text files under a root that driver and executors' storage shares, by Spark's own file access."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.jvm, self.root = spark._jvm, root.rstrip("/")
+        self.fs = self.jvm.org.apache.hadoop.fs.Path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _path(self, name: str):
+        return self.jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if "://" not in name and not name.startswith("/") else name)
+
+    def write(self, name: str, text: str) -> None:
+        """The file's whole content, in place at once."""
+        fresh = self._path(f"{name}.{uuid.uuid4().hex}")
+        out = self.fs.create(fresh, True)
+        out.write(bytearray(text.encode()))
+        out.close()
+        self.fs.delete(self._path(name), False)
+        if not self.fs.rename(fresh, self._path(name)):
+            raise OSError(f"cannot write {self.root}/{name}")
+
+    def read(self, name: str) -> str | None:
+        path = self._path(name)
+        if not self.fs.exists(path):
+            return None
+        stream = self.fs.open(path)
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
+    def folders(self, path: str) -> list[str]:
+        return [f.getPath().toString() for f in self.fs.listStatus(self._path(path)) if f.isDirectory()]
+
+    def drop(self, path: str) -> None:
+        self.fs.delete(self._path(path), True)
 
 
 @dataclass
 class Warehouse:
-    """Databases, tables and all else that statements declare, under a root folder."""
+    """Databases, tables and all else that statements declare, under a root folder; in memory alone without one."""
 
     spark: SparkSession
-    root: str
+    root: str = ""
     databases: dict[str, dict] = field(default_factory=dict)
     tables: dict[str, Stored] = field(default_factory=dict)
     views: dict[str, Stmt] = field(default_factory=dict)
     dictionaries: dict[str, Stmt] = field(default_factory=dict)
     functions: dict[str, A.Lambda] = field(default_factory=dict)
-    collections: dict[str, dict] = field(default_factory=dict)
+    collections: dict[str, Stmt] = field(default_factory=dict)
     roles: dict[str, dict] = field(default_factory=dict)
     grants: set[tuple] = field(default_factory=set)
     session_roles: dict[str, tuple] = field(default_factory=dict)
-    frozen: dict[str, str] = field(default_factory=dict)
+    frozen: dict[str, list] = field(default_factory=dict)
+    aside: dict[str, Stmt] = field(default_factory=dict)
+    shelf: Shelf | None = None
+
+    STATE = "declared.json"
+
+    def __post_init__(self) -> None:
+        if self.root and self.shelf is None:
+            self.shelf = Shelf(self.spark, self.root)
+            if (text := self.shelf.read(self.STATE)) is not None:
+                self._load(json.loads(text))
 
     def run_script(self, text: str) -> list[DataFrame]:
         """All statements in turn; the frames of its queries."""
         return [x for x in (self.run(s) for s in parse(text)) if x is not None]
 
     def run(self, s: Stmt) -> DataFrame | None:
+        """One statement; what it declares is on the shelf when it returns."""
         if s.kind == "SELECT":
             return self.session().run(s.get("select"))
-        name = "_" + s.kind.lower().replace(" ", "_")
-        if s.kind.startswith(("ATTACH ", "DETACH ")):
-            return self._attachment(s)
-        own = getattr(self, name, None)
+        own = self._attachment if s.kind.startswith(("ATTACH ", "DETACH ")) else getattr(self, "_" + s.kind.lower().replace(" ", "_"), None)
         if own is None:
             raise NotImplementedError(s.kind)
-        return own(s)
+        try:
+            return own(s)
+        finally:
+            self.save()
+
+    # What is kept between processes
+
+    def save(self) -> None:
+        if self.shelf is None:
+            return
+        functions = [write(A.stmt("CREATE FUNCTION", (n,), body=f)) for n, f in self.functions.items()]
+        roles = [write(A.stmt("CREATE ROLE", (n,), settings=tuple(r.items()))) if r else write(A.stmt("CREATE ROLE", (n,))) for n, r in self.roles.items()]
+        state = {
+            "databases": {n: {**d, "engine": None if d["engine"] is None else write(A.stmt("CREATE DATABASE", (n,), engine=d["engine"]))} for n, d in self.databases.items()},
+            "tables": {n: {"declared": write(t.declared), "parts": t.parts, "attached": t.attached, "detached": t.detached, "dropped": sorted(t.dropped)} for n, t in self.tables.items()},
+            "views": {n: write(x) for n, x in self.views.items()}, "dictionaries": {n: write(x) for n, x in self.dictionaries.items()},
+            "functions": functions, "collections": {n: write(x) for n, x in self.collections.items()}, "roles": roles,
+            "grants": sorted(self.grants, key=repr), "session_roles": self.session_roles, "frozen": self.frozen, "aside": {n: write(x) for n, x in self.aside.items()},
+        }
+        self.shelf.write(self.STATE, json.dumps(state, ensure_ascii=False, indent=1))
+
+    def _load(self, state: dict) -> None:
+        def one(text: str) -> Stmt:
+            return parse(text)[0]
+
+        def tuples(x):
+            return tuple(map(tuples, x)) if isinstance(x, list) else x
+
+        self.databases = {n: {**d, "engine": None if d["engine"] is None else one(d["engine"]).get("engine")} for n, d in state["databases"].items()}
+        self.tables = {n: Stored(one(t["declared"]), [tuple(p) for p in t["parts"]], t["attached"], t["detached"], set(t["dropped"])) for n, t in state["tables"].items()}
+        self.views = {n: one(x) for n, x in state["views"].items()}
+        self.dictionaries = {n: one(x) for n, x in state["dictionaries"].items()}
+        self.functions = {f.name[0]: f.get("body") for f in map(one, state["functions"])}
+        self.collections = {n: one(x) for n, x in state["collections"].items()}
+        self.roles = {r.name[0]: dict(r.get("settings", ())) for r in map(one, state["roles"])}
+        self.grants = set(tuples(state["grants"]))
+        self.session_roles = {n: tuples(r) for n, r in state["session_roles"].items()}
+        self.frozen = state["frozen"]
+        self.aside = {n: one(x) for n, x in state["aside"].items()}
 
     # Reading
 
     def session(self) -> Session:
         out = Session(self.spark, functions=self.functions)
         out.table = self._lookup  # names are resolved when a query needs them
-        for n, t in self.tables.items():
-            out.keys[n] = self._merge_keys(t)
+        out.merging = lambda parts: self.merging(full_name(parts))
+        out.names = lambda: [*self.tables, *self.views, *self.dictionaries]
         return out
 
     def _lookup(self, parts: tuple[str, ...]) -> DataFrame:
@@ -78,16 +174,53 @@ class Warehouse:
         if name in self.tables:
             return self.read(name)
         if name in self.views:
-            return self.session().run(self.views[name].get("select"))
+            view = self.views[name]
+            return self.materialized(name, final=False) if view.get("materialized") else self.session().run(view.get("select"))
         if name in self.dictionaries:
             return self.dictionary(name)
         return self.spark.table(".".join(f"`{p}`" for p in parts))
 
-    def _merge_keys(self, t: Stored) -> tuple[list[str], str | None]:
+    def merging(self, name: str) -> Merging:
+        """How a table's engine merges rows: prefix and path of replicas left out."""
+        t = self.tables[name]
         engine = t.declared.get("engine")
-        keys = _key_columns(t.declared.get("order_by"))
-        version = engine.args[0].parts[-1] if engine is not None and engine.name.endswith("ReplacingMergeTree") and engine.args and isinstance(engine.args[-1], A.Name) else None
-        return keys, version
+        if engine is None:
+            return Merging("MergeTree", [])
+        args = [x for x in engine.args or () if not (isinstance(x, A.Lit) and x.kind == "string")]
+        names = [n.parts[-1] for x in args for n in (x.items if isinstance(x, A.Tuple) else [x]) if isinstance(n, A.Name)]
+        states = {}
+        for c in _columns(t.declared):
+            if c.type is not None and c.type.name in ("AggregateFunction", "SimpleAggregateFunction"):
+                states[c.name] = c.type.args[0].name if isinstance(c.type.args[0], A.Type) else c.type.args[0].parts[-1]
+        return Merging(engine.name.removeprefix("Replicated").removeprefix("Shared"), _key_columns(t.declared.get("order_by")), names, states)
+
+    def stored_columns(self, name: str) -> list[A.Column]:
+        return [c for c in _columns(self.tables[name].declared) if c.kind not in ("ALIAS", "EPHEMERAL")]
+
+    def raw(self, name: str, parts: list[tuple[str, str]] | None = None) -> DataFrame:
+        """The stored columns of a table, or of some of its folders; columns that a folder does not have get their defaults."""
+        t, columns = self.tables[name], self.stored_columns(name)
+        schema = struct_of(columns)
+        for f in schema.fields:
+            f.nullable = True
+        paths = [p for _, p in (t.parts if parts is None else parts)]
+        if not paths:
+            return self.spark.createDataFrame([], schema)
+        df = self.spark.read.schema(schema).parquet(*paths)
+        filled = []
+        for c in columns:
+            x = F.col(f"`{c.name}`")
+            if c.type.name != "Nullable" and (value := self._default(c)) is not None:
+                x = F.coalesce(x, value)
+            filled.append(x.alias(c.name))
+        return df.select(*filled)
+
+    def _default(self, c: A.Column) -> Column | None:
+        """What stands where a column was not given; None where nothing can."""
+        kind = spark_type(c.type)
+        if c.expr is not None:
+            return self._expr(c.expr).cast(kind)
+        return F.lit(None).cast(kind) if c.type.name == "Nullable" else _zero(kind).cast(kind)
 
     def read(self, name: str, final: bool = False) -> DataFrame:
         """A table's rows: computed columns added, rows past their lifetime left out; ``final`` merges by key."""
@@ -95,21 +228,19 @@ class Warehouse:
         if t is None or not t.attached:
             raise SchemaError(f"table {name} does not exist")
         columns = _columns(t.declared)
-        df = self.spark.read.schema(struct_of([c for c in columns if c.kind != "ALIAS" and c.kind != "EPHEMERAL"])).parquet(t.path)
+        source = engines.of(self, name)
+        df = self.raw(name) if source is None else source.read()
         for c in columns:
             if c.kind == "ALIAS":
                 df = df.withColumn(c.name, self._expr(c.expr).cast(spark_type(c.type)) if c.type else self._expr(c.expr))
-        for x in t.declared.get("ttl", ()):
+        for x in t.declared.get("ttl", None) or ():
             if x.get("action", "") in ("", "DELETE"):
                 gone = self._expr(x.get("expr")) <= F.localtimestamp()
                 if x.get("where") is not None:
                     gone = gone & self._expr(x.get("where"))
                 df = df.where(~F.coalesce(gone, F.lit(False)))
-        if final:
-            keys, version = self._merge_keys(t)
-            engine = t.declared.get("engine").name
-            df = summed(df, keys) if engine.endswith("SummingMergeTree") else latest(df, keys, version)
-        return df.select(*[F.col(f"`{c.name}`") for c in columns if c.kind != "EPHEMERAL"])
+        df = df.select(*[F.col(f"`{c.name}`") for c in columns if c.kind != "EPHEMERAL"])
+        return self.merging(name)(df) if final else df
 
     def _expr(self, e: A.Node) -> Column:
         return F.expr(self.text(e))
@@ -122,7 +253,10 @@ class Warehouse:
     # Writing
 
     def insert(self, name: str, df: DataFrame, overwrite: bool = False) -> None:
-        """Appends rows: defaults and computed columns are filled in, constraints checked, rows clustered by partition and sorted."""
+        """Appends rows: defaults and computed columns are filled in, rows clustered by partition and sorted, constraints checked.
+
+        The plan of ``df`` runs once: constraints and views see the rows as they were written.
+        """
         t = self.tables[name]
         columns, given = _columns(t.declared), set(df.columns)
         for c in columns:
@@ -130,19 +264,80 @@ class Warehouse:
             if c.kind == "MATERIALIZED":
                 df = df.withColumn(c.name, self._expr(c.expr).cast(kind) if kind else self._expr(c.expr))
             elif c.name not in given and c.kind != "ALIAS":
-                value = self._expr(c.expr) if c.expr is not None else F.lit(None) if c.type.name == "Nullable" else _zero(kind)
-                df = df.withColumn(c.name, value.cast(kind))
-        for x in t.declared.get("constraints", ()):
-            if not df.where(~F.coalesce(self._expr(x.get("check")), F.lit(False))).isEmpty():
-                raise SchemaError(f"{name}: rows against constraint {x.name[0]}")
-        kept = [c for c in columns if c.kind not in ("ALIAS", "EPHEMERAL")]
+                df = df.withColumn(c.name, self._default(c))
+        kept = self.stored_columns(name)
         rows = df.select(*[F.col(f"`{c.name}`").cast(spark_type(c.type)).alias(c.name) if c.type is not None else F.col(f"`{c.name}`") for c in kept])
-        keys = [k for k in _key_columns(t.declared.get("order_by")) if k in rows.columns]
-        if keys:
-            rows = rows.sortWithinPartitions(*keys)
-        rows.write.mode("overwrite" if overwrite else "append").parquet(t.path)
+        source = engines.of(self, name)
+        if source is not None:
+            source.write(rows, overwrite)
+            return
+        if not self.root:
+            raise SchemaError("a warehouse without a root folder holds no rows")
+        new = self._written(name, rows)
+        stored = self.raw(name, new)
+        for x in t.declared.get("constraints", None) or ():
+            if not stored.where(~F.coalesce(self._expr(x.get("check")), F.lit(False))).isEmpty():
+                for path in {p for _, p in new}:
+                    self.shelf.drop(path)
+                raise SchemaError(f"{name}: rows against constraint {x.name[0]}")
+        t.parts = new if overwrite else [*t.parts, *new]
+        self.save()
         if not overwrite:
-            self._feed(name, rows)
+            self._feed(name, stored)
+
+    def _written(self, name: str, rows: DataFrame) -> list[tuple[str, str]]:
+        """The rows in a fresh folder: (partition, folder) of each partition."""
+        t, path = self.tables[name], self._fresh(name)
+        keys = [k for k in _key_columns(t.declared.get("order_by")) if k in rows.columns]
+        by = self._partition_key(t)
+        if by is None:
+            (rows.sortWithinPartitions(*keys) if keys else rows).write.parquet(path)
+            return [("", path)]
+        rows = rows.withColumn(PART, by).hint("rebalance", F.col(PART)).sortWithinPartitions(PART, *keys)  # large partitions are split
+        rows.write.partitionBy(PART).parquet(path)
+        found = [f for f in self.shelf.folders(path) if f.rpartition("/")[2].startswith(f"{PART}=")]
+        return sorted((urllib.parse.unquote(f.rpartition("=")[2]), f) for f in found)
+
+    def _partition_key(self, t: Stored) -> Column | None:
+        """The text that names a row's partition: the values of its key with dashes between them."""
+        by = t.declared.get("partition_by")
+        if not by:
+            return None
+        items = by[0].items if len(by) == 1 and isinstance(by[0], A.Tuple) else by
+        return self._named([self._expr(x) for x in items]) if items else None
+
+    @staticmethod
+    def _named(values: list[Column]) -> Column:
+        def one(x: Column) -> Column:
+            text = F.coalesce(x.cast("string"), F.lit("NULL"))
+            return F.when(text == "", "''").otherwise(text)
+
+        return F.concat_ws("-", *map(one, values))
+
+    def _key_of(self, t: Stored, value: A.Node | None) -> str:
+        """The partition that a statement names."""
+        if isinstance(value, A.Call) and value.name.upper() == "ID":
+            return str(value.args[0].value)
+        by = t.declared.get("partition_by")
+        items = value.items if isinstance(value, A.Tuple) else (value,)
+        keys = (by[0].items if isinstance(by[0], A.Tuple) else by) if by else ()
+        if not keys or not items or value is None:
+            return ""
+        # a key that is a column takes the column's type, so that a date is written like one
+        kinds = {c.name: spark_type(c.type) for c in self.stored_columns(full_name(t.declared.name)) if c.type is not None} if full_name(t.declared.name) in self.tables else {}
+        values = [self._expr(x).cast(kinds[k.parts[-1]]) if isinstance(k, A.Name) and k.parts[-1] in kinds else self._expr(x) for k, x in zip(keys, items, strict=True)]
+        return self.spark.range(1).select(self._named(values).alias("k")).first()["k"]
+
+    def partitions(self, name: str) -> DataFrame:
+        """(partition, folders) of a table."""
+        found: dict[str, int] = {}
+        for k, _ in self.tables[name].parts:
+            found[k] = found.get(k, 0) + 1
+        return self.spark.createDataFrame(sorted(found.items()), "partition string, folders int")
+
+    def read_partition(self, name: str, partition: str) -> DataFrame:
+        """The rows of one partition: only its folders are listed and read."""
+        return self.raw(name, [p for p in self.tables[name].parts if p[0] == partition])
 
     def _feed(self, name: str, rows: DataFrame) -> None:
         """Materialized views that read the table get what their query makes of the new rows."""
@@ -151,21 +346,28 @@ class Warehouse:
                 inner = self.session()
                 outer = inner.table
                 inner.table = lambda parts, outer=outer: rows if full_name(parts) == name else outer(parts)
-                self.insert(self._view_target(view), inner.run(view.get("select")))
+                self._into_view(view, inner.run(view.get("select")))
+
+    def _into_view(self, view: Stmt, rows: DataFrame, overwrite: bool = False) -> None:
+        """A view's rows to where it keeps them: a table of its own, a named one, or what a table function writes to."""
+        to = view.get("to")
+        if isinstance(to, A.TableFunction):
+            engines.function_sink(self, to).write(rows, overwrite)
+        else:
+            self.insert(self._view_target(view), rows, overwrite)
 
     def _view_target(self, view: Stmt) -> str:
         return full_name(view.get("to").parts) if isinstance(view.get("to"), A.Table) else f"{full_name(view.name)}.inner"
 
     def _rewrite(self, name: str, df: DataFrame) -> None:
-        """The table's rows from now on: a new folder, so that the old one can be read meanwhile."""
+        """The table's rows from now on, in fresh folders."""
         t = self.tables[name]
-        path = self._fresh(name)
-        stored = [c.name for c in _columns(t.declared) if c.kind not in ("ALIAS", "EPHEMERAL")]
-        df.select(*[F.col(f"`{c}`") for c in stored if c in df.columns]).write.parquet(path)
-        t.path = path
+        stored = [c.name for c in self.stored_columns(name)]
+        t.parts = self._written(name, df.select(*[F.col(f"`{c}`") for c in stored if c in df.columns]))
+        t.dropped = set()
 
     def _fresh(self, name: str) -> str:
-        return f"{self.root}/{name.replace('.', '/')}/{uuid.uuid4().hex}"
+        return f"{self.root}/{urllib.parse.quote(name.replace('.', '/'))}/{uuid.uuid4().hex}"
 
     # Databases
 
@@ -211,10 +413,10 @@ class Warehouse:
         else:
             held = self.views if kind == "VIEW" else self.dictionaries
             aside = f"{kind}:{name}"
-            if on and aside in self.collections:
-                held[name] = self.collections.pop(aside)["statement"]
+            if on and aside in self.aside:
+                held[name] = self.aside.pop(aside)
             elif not on and name in held:
-                self.collections[aside] = {"statement": held.pop(name)}
+                self.aside[aside] = held.pop(name)
 
     # Tables
 
@@ -234,12 +436,11 @@ class Warehouse:
         elif isinstance(source, A.TableFunction):
             from tarn.compile import _constant
 
-            rows = self.session().table_functions[source.name.lower()](self.session(), *[_constant(x) for x in source.args]).limit(0)
+            rows = self.session().table_functions[source.name.lower()](self.session(), *[_constant(x) for x in source.args])
+            s = s.having(as_source=source)
         if rows is not None and not s.get("columns"):
             s = s.having(columns=tuple(A.Column(f.name, _declared(f.dataType, f.nullable)) for f in rows.schema.fields))
-        self.tables[name] = Stored(s, self._fresh(name))
-        columns = [c for c in _columns(s) if c.kind not in ("ALIAS", "EPHEMERAL")]
-        self.spark.createDataFrame([], struct_of([replace(c, type=c.type or A.Type("String")) for c in columns])).write.parquet(self.tables[name].path)
+        self.tables[name] = Stored(s)
         if rows is not None and s.get("select") is not None:
             self.insert(name, rows)
 
@@ -286,20 +487,18 @@ class Warehouse:
                 if o.get("if_not_exists"):
                     return
                 raise SchemaError(f"{name}: column {c.name} exists")
-            rows = self.spark.read.parquet(t.path)
-            kind = spark_type(c.type)
-            value = self._expr(c.expr) if c.expr is not None else F.lit(None) if c.type.name == "Nullable" else _zero(kind)
+            if c.name in t.dropped:  # folders still hold the rows of the one before
+                self._rewrite(name, self.raw(name))
             placed(c, columns)
-            if c.kind not in ("ALIAS", "EPHEMERAL"):
-                self._rewrite(name, rows.withColumn(c.name, value.cast(kind)))
+            if c.expr is not None and c.type.name == "Nullable" and c.kind not in ("ALIAS", "EPHEMERAL") and t.parts:
+                self._rewrite(name, self.raw(name).withColumn(c.name, self._default(c)))  # a null that was not given cannot be told from one that was
         elif k == "DROP COLUMN":
             if o.name[0] not in at:
                 if o.get("if_exists"):
                     return
                 raise SchemaError(f"{name}: no column {o.name[0]}")
-            rows = self.spark.read.parquet(t.path)
             declare(columns=tuple(c for c in columns if c.name != o.name[0]))
-            self._rewrite(name, rows.drop(o.name[0]))
+            t.dropped.add(o.name[0])
         elif k == "MODIFY COLUMN":
             c = o.get("column")
             if c.name not in at:
@@ -313,7 +512,7 @@ class Warehouse:
                 new = replace(new, kind="", expr=None)
             elif removed:
                 new = replace(new, **{removed.lower(): () if removed == "CODEC" else None})
-            rows = self.spark.read.parquet(t.path)
+            rows = self.raw(name)
             others = [x for x in columns if x.name != c.name]
             placed(new, others)
             if new.type != old.type and new.kind not in ("ALIAS", "EPHEMERAL"):
@@ -321,31 +520,27 @@ class Warehouse:
         elif k == "RENAME COLUMN":
             if o.name[0] not in at and o.get("if_exists"):
                 return
-            rows = self.spark.read.parquet(t.path)
+            rows = self.raw(name)
             declare(columns=tuple(replace(c, name=o.get("to")) if c.name == o.name[0] else c for c in columns))
             self._rewrite(name, rows.withColumnRenamed(o.name[0], o.get("to")))
         elif k == "COMMENT COLUMN":
             declare(columns=tuple(replace(c, comment=o.get("comment")) if c.name == o.name[0] else c for c in columns))
         elif k == "CLEAR COLUMN":
-            c = columns[at[o.name[0]]]
-            value = (self._expr(c.expr) if c.expr is not None else _zero(spark_type(c.type))).cast(spark_type(c.type))
-            rows = self.spark.read.parquet(t.path)
-            self._rewrite(name, rows.withColumn(c.name, F.when(self._in_partition(t, o), value).otherwise(F.col(f"`{c.name}`"))))
+            key = self._key_of(t, o.get("partition")) if o.get("partition") is not None else None
+            inside = [p for p in t.parts if key is None or p[0] == key]
+            if inside:
+                cleared = self.raw(name, inside).withColumn(o.name[0], self._default(columns[at[o.name[0]]]))
+                t.parts = [p for p in t.parts if p not in inside] + self._written(name, cleared)
         elif k == "UPDATE":
-            c, rows = columns[at[o.name[0]]], self.spark.read.parquet(t.path)
+            c, rows = columns[at[o.name[0]]], self.raw(name)
             new = self._expr(o.get("value")).cast(spark_type(c.type))
             hit = F.coalesce(self._expr(o.get("where")), F.lit(False)) if o.get("where") is not None else F.lit(True)
             self._rewrite(name, rows.withColumn(c.name, F.when(hit, new).otherwise(F.col(f"`{c.name}`"))))
         elif k == "DELETE":
-            rows = self.spark.read.parquet(t.path)
-            self._rewrite(name, rows.where(~F.coalesce(self._expr(o.get("where")), F.lit(False))))
+            self._rewrite(name, self.raw(name).where(~F.coalesce(self._expr(o.get("where")), F.lit(False))))
         elif k == "FREEZE":
-            rows = self.spark.read.parquet(t.path)
-            if o.get("partition") is not None:
-                rows = rows.where(self._in_partition(t, o))
-            path = self._fresh(f"frozen/{name}")
-            rows.write.parquet(path)
-            self.frozen[o.get("with_name") or uuid.uuid4().hex] = path
+            key = self._key_of(t, o.get("partition")) if o.get("partition") is not None else None
+            self.frozen[o.get("with_name") or uuid.uuid4().hex] = [list(p) for p in t.parts if key is None or p[0] == key]
         elif k.endswith(" PARTITION"):
             self._partition(name, o, k.split(" ")[0])
         elif k == "MODIFY TTL":
@@ -374,47 +569,31 @@ class Warehouse:
         else:
             raise NotImplementedError(k)
 
-    def _in_partition(self, t: Stored, o: Stmt) -> Column:
-        by = t.declared.get("partition_by")
-        value = o.get("partition")
-        if not by:
-            return F.lit(True)
-        key, wanted = by[0], value
-        if isinstance(key, A.Tuple) and isinstance(wanted, A.Tuple):
-            out = F.lit(True)
-            for a, b in zip(key.items, wanted.items, strict=True):
-                out = out & (self._expr(a).cast("string") == self._expr(b).cast("string"))
-            return F.coalesce(out, F.lit(False))
-        if isinstance(wanted, A.Call) and wanted.name == "ID":
-            wanted = wanted.args[0]
-        return F.coalesce(self._expr(key).cast("string") == self._expr(wanted).cast("string"), F.lit(False))
-
     def _partition(self, name: str, o: Stmt, verb: str) -> None:
+        """Folders of one partition change hands; no row is read or written."""
         t = self.tables[name]
-        rows = self.spark.read.parquet(t.path)
-        inside = self._in_partition(t, o)
-        key = self.text(o.get("partition"))
-        if verb == "DROP":
-            self._rewrite(name, rows.where(~inside))
+        key = self._key_of(t, o.get("partition"))
+        mine, others = [p for p in t.parts if p[0] == key], [p for p in t.parts if p[0] != key]
+        source = o.get("source")
+        if verb in ("ATTACH", "REPLACE") and source:
+            given = [p for p in self.tables[full_name(source)].parts if p[0] == key]
+            t.parts = (others if verb == "REPLACE" else t.parts) + given
+        elif verb == "DROP":
+            t.parts = others
         elif verb == "DETACH":
-            path = self._fresh(f"detached/{name}")
-            rows.where(inside).write.parquet(path)
-            t.detached_parts[key] = path
-            self._rewrite(name, rows.where(~inside))
+            t.detached[key], t.parts = [*t.detached.get(key, []), *[p for _, p in mine]], others
         elif verb == "ATTACH":
-            other = self.spark.read.parquet(self.tables[full_name(o.get("source"))].path).where(inside) if o.get("source") else self.spark.read.parquet(t.detached_parts.pop(key))
-            self._rewrite(name, rows.unionByName(other))
-        elif verb == "REPLACE":
-            other = self.spark.read.parquet(self.tables[full_name(o.get("source"))].path).where(inside)
-            self._rewrite(name, rows.where(~inside).unionByName(other))
+            if key not in t.detached:
+                raise SchemaError(f"{name}: no detached partition {key}")
+            t.parts = t.parts + [(key, p) for p in t.detached.pop(key)]
+        elif verb == "FETCH":  # from where another warehouse, or a backup, keeps the partition's folder
+            t.detached.setdefault(key, []).append(source[0])
         elif verb == "MOVE":
             if o.get("medium") == "TABLE":
-                to = full_name(o.get("to"))
-                both = self.spark.read.parquet(self.tables[to].path).unionByName(rows.where(inside))
-                self._rewrite(to, both)
-                self._rewrite(name, rows.where(~inside))
+                self.tables[full_name(o.get("to"))].parts += mine
+                t.parts = others
         else:
-            raise NotImplementedError(f"{verb} PARTITION: there is no other server to fetch from")
+            raise NotImplementedError(f"{verb} PARTITION")
 
     # Views
 
@@ -430,9 +609,8 @@ class Warehouse:
             columns = s.get("columns") or tuple(A.Column(f.name, _declared(f.dataType, f.nullable)) for f in rows.schema.fields)
             inner = A.stmt("CREATE TABLE", (*s.name, "inner"), columns=columns, engine=s.get("engine"), order_by=s.get("order_by"), partition_by=s.get("partition_by"))
             self.run(inner)
-            if s.get("populate"):
-                self.insert(f"{name}.inner", rows)
-            self.views[name] = s
+        if s.get("materialized") and s.get("populate"):
+            self._into_view(s, self.session().run(s.get("select")))
 
     def _drop_view(self, s: Stmt) -> None:
         if self.views.pop(full_name(s.name), None) is None and not s.get("if_exists"):
@@ -440,15 +618,15 @@ class Warehouse:
         self.tables.pop(f"{full_name(s.name)}.inner", None)
 
     def materialized(self, name: str, final: bool = True) -> DataFrame:
-        """What a materialized view holds, merged by its engine's key."""
+        """What a materialized view holds, merged as its engine does; rows of an engine that does not merge all stay."""
         view = self.views[name]
-        target = self._view_target(view)
-        merges = final and self.tables[target].declared.get("engine") is not None and self.tables[target].declared.get("order_by")
-        return self.read(target, final=bool(merges) and "Merge" in self.tables[target].declared.get("engine").name and self.tables[target].declared.get("engine").name != "MergeTree")
+        if isinstance(view.get("to"), A.TableFunction):
+            return engines.function_sink(self, view.get("to")).read()
+        return self.read(self._view_target(view), final=final)
 
     def refresh(self, name: str) -> None:
         """The view's query over all that its tables hold now, in place of what it held."""
-        self.insert(self._view_target(self.views[name]), self.session().run(self.views[name].get("select")), overwrite=True)
+        self._into_view(self.views[name], self.session().run(self.views[name].get("select")), overwrite=True)
 
     # Dictionaries
 
@@ -520,13 +698,22 @@ class Warehouse:
     def _create_named_collection(self, s: Stmt) -> None:
         if s.name[0] in self.collections and s.get("if_not_exists"):
             return
-        self.collections[s.name[0]] = {k: v for k, v, _ in s.get("items")}
+        self.collections[s.name[0]] = A.stmt("CREATE NAMED COLLECTION", s.name, items=s.get("items"))
 
     def _alter_named_collection(self, s: Stmt) -> None:
-        held = self.collections[s.name[0]]
-        held.update({k: v for k, v, _ in s.get("sets", ())})
+        if s.name[0] not in self.collections:
+            if s.get("if_exists"):
+                return
+            raise SchemaError(f"named collection {s.name[0]} does not exist")
+        held = {x[0]: x for x in self.collections[s.name[0]].get("items")}
+        held.update({x[0]: x for x in s.get("sets", ())})
         for k in s.get("deletes", ()):
             held.pop(k, None)
+        self.collections[s.name[0]] = self.collections[s.name[0]].having(items=tuple(held.values()))
+
+    def named(self, name: str) -> dict:
+        """The values of a named collection."""
+        return {k: v.value if isinstance(v, A.Lit) else v for k, v, *_ in self.collections[name].get("items")}
 
     def _drop_named_collection(self, s: Stmt) -> None:
         if self.collections.pop(s.name[0], None) is None and not s.get("if_exists"):

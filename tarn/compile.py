@@ -132,7 +132,9 @@ class Session:
         self.spark = spark
         self.tables = dict(tables or {})
         self.functions = dict(functions or {})
-        self.keys: dict[str, tuple[list[str], str | None]] = {}
+        #: How FINAL merges a table's rows, by its name.
+        self.merging: Callable[[tuple[str, ...]], Callable[[DataFrame], DataFrame]] = lambda parts: lambda df: df
+        self.names: Callable[[], list[str]] = lambda: list(self.tables)
         self.table_functions: dict[str, Callable[..., DataFrame]] = dict(TABLE_FUNCTIONS)
         self.views: list[str] = []
 
@@ -177,10 +179,7 @@ class _Query:
         if isinstance(t, A.Table):
             df = self.named[t.parts[0]] if len(t.parts) == 1 and t.parts[0] in self.named else self.session.table(t.parts)
             if t.final:
-                from tarn.operators.merge_tree import latest
-
-                keys, version = self.session.keys[".".join(t.parts)]
-                df = latest(df, keys, version)
+                df = self.session.merging(t.parts)(df)
             alias = t.alias or t.parts[-1]
         elif isinstance(t, A.SubSelect):
             df, alias = _Query(self.session, self.named).frame(t.select), t.alias or f"_sub_{next(_NUMBER)}"
@@ -216,20 +215,27 @@ class _Query:
     def frame(self, s: A.Select) -> DataFrame:
         for name, query in s.with_:
             self.named[name] = _Query(self.session, self.named).frame(query)
-        for k, _ in s.settings:
-            warnings.warn(f"setting {k} has no counterpart here and is ignored", stacklevel=3)
+        s = self.settled(s)
         s = replace(s, with_=(), settings=())
         s, relation, known = self.relation(s)
         s = self.where_aliases(s, known)
         s = self.subqueries(s)
-        if any(o.fill is not None for o in s.order):
-            return self.filled(s, relation)
-        if s.limit_by:
-            return self.limited_by(s, relation)
-        if s.group is not None and s.group.mode == "TOTALS":
-            return self.totalled(s, relation)
+        if s.limit_by or any(o.fill is not None for o in s.order) or (s.group is not None and s.group.mode == "TOTALS"):
+            return self.staged(s, relation)
         return self.session.spark.sql(self.body(s, relation))
 
+    def settled(self, s: A.Select) -> A.Select:
+        """SETTINGS of a query that bear on its rows: limit and offset; others have no counterpart here."""
+        for k, v in s.settings:
+            value = int(v.value) if isinstance(v, A.Lit) and v.kind == "number" and v.value.isdigit() else int(v) if isinstance(v, int | str) and str(v).isdigit() else None
+            if k == "limit" and value:
+                s = replace(s, limit=value if s.limit is None else min(value, s.limit))
+            elif k == "offset" and value is not None:
+                s = replace(s, offset=value + (s.offset or 0))
+            else:
+                warnings.warn(f"setting {k} has no counterpart here and is ignored", stacklevel=4)
+        return s
+
     def body(self, s: A.Select, relation: str) -> str:
         """The query's text without rewrites that need more than one step."""
         parts = [f"SELECT {'DISTINCT ' * s.distinct}{', '.join(self.item(x, a) for x, a in s.items)}"]
@@ -368,37 +374,49 @@ class _Query:
             named = {a: A.rebuilt(x, lambda n: named.get(n.parts[0]) if isinstance(n, A.Name) and len(n.parts) == 1 and n.parts[0] != a else None) for a, x in named.items()}  # noqa: B023
         return replace(s, where=A.rebuilt(s.where, lambda n: named.get(n.parts[0]) if isinstance(n, A.Name) and len(n.parts) == 1 else None))
 
-    def limited_by(self, s: A.Select, relation: str) -> DataFrame:
-        """LIMIT n BY: row numbers within the groups, in the query's order."""
-        n, skip, by = s.limit_by
-        aliases = {a: x for x, a in s.items if a}
-        inner = replace(s, order=(), limit=None, offset=None, limit_by=None)
-        extra = [(self.named_expr(x, aliases), f"_by_{i}") for i, x in enumerate(by)] + [(self.named_expr(o.expr, aliases), f"_o_{i}") for i, o in enumerate(s.order)]
-        base = self.view(self.session.spark.sql(self.body(replace(inner, items=(*s.items, *extra)), relation)))
-        order = ", ".join(self.text(replace(o, expr=A.Name((f"_o_{i}",)))) for i, o in enumerate(s.order)) or "1"
-        keys = ", ".join(f"`_by_{i}`" for i in range(len(by)))
-        tail = (f" ORDER BY {order}" if s.order else "") + (f" LIMIT {s.limit}" if s.limit is not None else "") + (f" OFFSET {s.offset}" if s.offset is not None else "")
-        ranked = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY {order}) AS _n FROM {base}) WHERE _n > {skip} AND _n <= {skip + n}{tail}"
-        return self.session.spark.sql(ranked).drop("_n", *[a for _, a in extra])
-
-    def totalled(self, s: A.Select, relation: str) -> DataFrame:
-        """GROUP BY ... WITH TOTALS: one more row over all rows, after the others; LIMIT does not count it."""
+    def staged(self, s: A.Select, relation: str) -> DataFrame:
+        """What one text cannot say, step by step: rows, DISTINCT, LIMIT BY, WITH FILL, order and limits, the totals row.
+
+        Sort and group keys that are not in the result stand in hidden columns until they are used. Of equal
+        rows, DISTINCT keeps the first in the query's order. The totals row is in none of the steps.
+        """
+        spark, totals = self.session.spark, s.group is not None and s.group.mode == "TOTALS"
         aliases = {a: x for x, a in s.items if a}
-        extra = [(A.Call("grouping_id"), "_total"), *[(self.named_expr(o.expr, aliases), f"_o_{i}") for i, o in enumerate(s.order)]]
-        base = self.view(self.session.spark.sql(self.body(replace(s, items=(*s.items, *extra), order=(), limit=None, offset=None), relation)))
-        order = ", ".join(["_total", *[self.text(replace(o, expr=A.Name((f"_o_{i}",)))) for i, o in enumerate(s.order)]])
-        out = f"SELECT * FROM {base} ORDER BY {order}"
-        if s.limit is not None or s.offset is not None:
-            groups = f"SELECT * FROM {base} WHERE _total = 0 ORDER BY {order}" + (f" LIMIT {s.limit}" if s.limit is not None else "") + (f" OFFSET {s.offset}" if s.offset is not None else "")
-            out = f"SELECT * FROM (({groups}) UNION ALL SELECT * FROM {base} WHERE _total > 0) ORDER BY {order}"
-        return self.session.spark.sql(out).drop(*[a for _, a in extra])
+        n, skip, by = s.limit_by or (0, 0, ())
+        hidden = [(A.Call("grouping_id"), "_total")] if totals else []
+        hidden += [(self.named_expr(x, aliases), f"_by_{i}") for i, x in enumerate(by)]
+        hidden += [(self.named_expr(o.expr, aliases), f"_o_{i}") for i, o in enumerate(s.order)]
+        plain = replace(s, items=(*s.items, *hidden), distinct=False, order=(), limit=None, offset=None, limit_by=None, interpolate=None)
+        base = spark.sql(self.body(plain, relation))
+        extra = [a for _, a in hidden]
+        seen = [c for c in base.columns if c not in extra]
+        order = ", ".join(self.text(replace(o, expr=A.Name((f"_o_{i}",)), fill=None)) for i, o in enumerate(s.order))
+        rows = base.where("_total = 0") if totals else base
+        if s.distinct:
+            rows = self.first_of(rows, seen, order, 0, 1) if extra else rows.distinct()
+        if by:
+            rows = self.first_of(rows, [f"_by_{i}" for i in range(len(by))], order, skip, n)
+        if any(o.fill is not None for o in s.order):
+            rows, order = self.filled(s, rows.select(*[f"`{c}`" for c in seen]))
+        limits = (f" LIMIT {s.limit}" if s.limit is not None else "") + (f" OFFSET {s.offset}" if s.offset is not None else "")
+        text = f"SELECT * FROM {self.view(rows)}" + (f" ORDER BY {order}" if order else "") + limits
+        if totals:
+            last = base.where("_total > 0").select(*[c for c in base.columns if c in rows.columns])
+            both = spark.sql(text).drop("_total").selectExpr("*", "0 AS _total").unionByName(last.drop("_total").selectExpr("*", "1 AS _total"))
+            text = f"SELECT * FROM {self.view(both)} ORDER BY {', '.join(x for x in ('_total', order) if x)}"
+        return spark.sql(text).drop(*extra)
+
+    def first_of(self, rows: DataFrame, keys: list[str], order: str, skip: int, n: int) -> DataFrame:
+        """Rows ``skip`` + 1 to ``skip`` + ``n`` of each group, in an order."""
+        among = ", ".join(f"`{k}`" for k in keys)
+        ranked = f"SELECT *, row_number() OVER (PARTITION BY {among} ORDER BY {order or '1'}) AS _n FROM {self.view(rows)}"
+        return self.session.spark.sql(f"SELECT * FROM ({ranked}) WHERE _n > {skip} AND _n <= {skip + n}").drop("_n")
 
     def named_expr(self, x: A.Node, aliases: dict[str, A.Node]) -> A.Node:
         return aliases.get(x.parts[0], x) if isinstance(x, A.Name) and len(x.parts) == 1 else x
 
-    def filled(self, s: A.Select, relation: str) -> DataFrame:
-        """ORDER BY ... WITH FILL: the query without order, then filled, then sorted."""
-        base = self.session.spark.sql(self.body(replace(s, order=(), limit=None, offset=None, limit_by=None, interpolate=None), relation))
+    def filled(self, s: A.Select, base: DataFrame) -> tuple[DataFrame, str]:
+        """ORDER BY ... WITH FILL: the rows filled, and their order by columns of the result."""
         by_text = {x: a or (x.parts[-1] if isinstance(x, A.Name) else "") for x, a in s.items}
         order, fills = [], []
         for o in s.order:
@@ -413,10 +431,8 @@ class _Query:
             free = [c for c in base.columns if c not in {k for k, _ in order}]
             chosen = s.interpolate or tuple((c, None) for c in free)
             carried = {c: None if x is None else self.text(A.rebuilt(x, lambda n, c=c: A.Name(("acc",)) if isinstance(n, A.Name) and n.parts[-1] == c else None)) for c, x in chosen}
-        out = self.view(with_fill(base, order, fills, carried).select(*base.columns))
-        tail = ", ".join(self.text(replace(o, expr=A.Name((k,)), fill=None)) for o, (k, _) in zip(s.order, order, strict=True))
-        limits = (f" LIMIT {s.limit}" if s.limit is not None else "") + (f" OFFSET {s.offset}" if s.offset is not None else "")
-        return self.session.spark.sql(f"SELECT * FROM {out} ORDER BY {tail}{limits}")
+        out = with_fill(base, order, fills, carried).select(*[f"`{c}`" for c in base.columns])
+        return out, ", ".join(self.text(replace(o, expr=A.Name((k,)), fill=None)) for o, (k, _) in zip(s.order, order, strict=True))
 
 
 def _conjuncts(e: A.Node | None) -> list[A.Node]:

@@ -108,6 +108,10 @@ def _count(*a: str) -> str:
     return f"count({a[0]})" if a and a[0] != "*" else "count(1)"
 
 
+#: Accuracy of approximate quantiles: ranks are right to one part in this many.
+RANKS = 10_000
+
+
 def _quantile(params: tuple[str, ...], x: str) -> str:
     return f"percentile({x}, {params[0] if params else '0.5'})"
 
@@ -116,11 +120,21 @@ def _quantiles(params: tuple[str, ...], x: str) -> str:
     return f"percentile({x}, array({', '.join(params)}))"
 
 
+def _sketched(params: tuple[str, ...], x: str) -> str:
+    """A quantile of bounded memory; the exact ones keep every distinct value of a group."""
+    return f"percentile_approx({x}, {params[0] if params else '0.5'}, {RANKS})"
+
+
+def _sketched_all(params: tuple[str, ...], x: str) -> str:
+    return f"percentile_approx({x}, array({', '.join(params)}), {RANKS})"
+
+
 #: Aggregates: the text for parameters and arguments.
 AGGREGATE: dict[str, Callable] = {k.lower(): v for k, v in {
     "count": lambda p, *a: _count(*a), "sum": lambda p, x: f"sum({x})", "avg": lambda p, x: f"avg({x})", "min": lambda p, x: f"min({x})", "max": lambda p, x: f"max({x})", "any": lambda p, x: f"any_value({x}, true)", "anyLast": lambda p, x: f"last_value({x}, true)",
     "uniq": lambda p, x: f"approx_count_distinct({x}, 0.02)", "uniqCombined": lambda p, x: f"approx_count_distinct({x})", "uniqHLL12": lambda p, x: f"approx_count_distinct({x})", "uniqExact": lambda p, *x: f"count(DISTINCT {', '.join(x)})",
-    "argMax": lambda p, x, v: f"max_by({x}, {v})", "argMin": lambda p, x, v: f"min_by({x}, {v})", "quantile": _quantile, "quantileExact": _quantile, "quantiles": _quantiles, "quantilesExact": _quantiles, "median": lambda p, x: f"percentile({x}, 0.5)",
+    "argMax": lambda p, x, v: f"max_by({x}, {v})", "argMin": lambda p, x, v: f"min_by({x}, {v})", "quantile": _sketched, "quantiles": _sketched_all, "median": _sketched,
+    "quantileExact": _quantile, "quantileExactInclusive": _quantile, "quantilesExact": _quantiles, "quantilesExactInclusive": _quantiles, "medianExact": _quantile, "medianExactInclusive": _quantile,
     "quantileApprox": lambda p, x: f"percentile_approx({x}, {p[0] if p else '0.5'})", "groupArray": lambda p, x: f"collect_list({x})" if not p else f"slice(collect_list({x}), 1, {p[0]})", "groupUniqArray": lambda p, x: f"collect_set({x})",
     "topK": lambda p, x: f"transform(approx_top_k({x}, {p[0] if p else '10'}), t -> t.item)", "varPop": lambda p, x: f"var_pop({x})", "varSamp": lambda p, x: f"var_samp({x})", "stddevPop": lambda p, x: f"stddev_pop({x})", "stddevSamp": lambda p, x: f"stddev_samp({x})", "corr": lambda p, x, y: f"corr({x}, {y})",
     "countState": lambda p, *a: _count(*a), "sumState": lambda p, x: f"sum({x})", "minState": lambda p, x: f"min({x})", "maxState": lambda p, x: f"max({x})", "uniqState": lambda p, x: f"hll_sketch_agg({x})",

@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # File formats of the dialect by Spark's names.
-FORMATS = {"parquet": "parquet", "csv": "csv", "csvwithnames": "csv", "tsv": "csv", "tabseparated": "csv", "jsoneachrow": "json", "json": "json", "orc": "orc", "lineasstring": "text", "text": "text", "avro": "avro"}
+FORMATS = {"parquet": "parquet", "csv": "csv", "csvwithnames": "csv", "tsv": "csv", "tabseparated": "csv", "tsvwithnames": "csv", "tabseparatedwithnames": "csv", "jsoneachrow": "json", "json": "json", "orc": "orc", "lineasstring": "text", "text": "text", "avro": "avro"}
 # Engines by what stands behind them.
-STREAM_ENGINES = {"Kafka": "kafka", "RabbitMQ": "rabbitmq"}
 JDBC_ENGINES = {"MySQL": "mysql", "PostgreSQL": "postgresql"}
 FILE_ENGINES = frozenset(["S3", "HDFS", "URL", "File"])
 
@@ -20,19 +19,29 @@ def numbers(session, *bounds: int) -> DataFrame:
 
 
 def remote(session, address: str, *name: str) -> DataFrame:
-    """Another server's table: here the table of that name, as all data is one cluster's."""
+    """Another server's table. All servers of a cluster are this one cluster here, so only addresses of it can be read."""
+    known = getattr(session, "addresses", None)
+    if known is not None and address not in known:
+        raise ValueError(f"{address} is not an address of this cluster; read its tables by postgresql, mysql, s3 or file")
     return session.table(tuple(".".join(name).split(".")))
 
 
+def csv_options(kind: str) -> dict[str, str]:
+    """Spark's options for the dialect's formats of separated values; none for other formats."""
+    low = kind.lower()
+    if FORMATS.get(low) != "csv":
+        return {}
+    return {"header": str(low.endswith("withnames")).lower(), "sep": "\t" if low.startswith(("tsv", "tabseparated")) else ","}
+
+
 def files(session, path: str, kind: str = "Parquet", structure: str | None = None, *_) -> DataFrame:
     """Files of a format under a path, or a pattern of paths."""
     name = FORMATS.get(kind.lower())
     if name is None:
         raise ValueError(f"unknown file format {kind}")
-    reader = session.spark.read.format(name)
+    reader = session.spark.read.format(name).options(**csv_options(kind))
     if name == "csv":
-        reader = reader.option("header", kind.lower() == "csvwithnames").option("inferSchema", structure is None)
-        reader = reader.option("sep", "\t") if kind.lower() in ("tsv", "tabseparated") else reader
+        reader = reader.option("inferSchema", structure is None)
     if structure:
         from tarn.sqlfront.ddl import parse_structure
         from tarn.types import struct_of
@@ -49,15 +58,16 @@ def jdbc(kind: str):
 
 
 def merged(session, database: str, pattern: str) -> DataFrame:
-    """merge(db, pattern): the union of all known tables whose names fit."""
+    """merge(db, pattern): the union of all known tables of a database whose names fit."""
     import re
 
-    found = [df for name, df in sorted(session.tables.items()) if re.search(pattern, name.rpartition(".")[2])]
+    found = [n for n in sorted(session.names()) if re.search(pattern, n.rpartition(".")[2]) and n.rpartition(".")[0] in (database, "")]
     if not found:
         raise ValueError(f"no table fits {pattern}")
-    out = found[0]
-    for df in found[1:]:
-        out = out.unionByName(df, allowMissingColumns=True)
+    out = None
+    for name in found:
+        df = session.table(tuple(name.split(".")))
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     return out
 
 
@@ -65,11 +75,3 @@ TABLE_FUNCTIONS = {
     "numbers": numbers, "numbers_mt": numbers, "remote": remote, "remotesecure": remote, "cluster": lambda session, name, *rest: remote(session, name, *rest), "clusterallreplicas": lambda session, name, *rest: remote(session, name, *rest),
     "file": files, "s3": files, "s3table": files, "hdfs": files, "url": files, "postgresql": jdbc("postgresql"), "mysql": jdbc("mysql"), "merge": merged,
 }
-
-
-def stream(session, engine: str, options: dict[str, str]) -> DataFrame:
-    """A stream from a message queue engine; Kafka is read by Spark's own source."""
-    if engine != "Kafka":
-        raise NotImplementedError(f"Spark has no source for {engine}")
-    renamed = {"kafka_broker_list": "kafka.bootstrap.servers", "kafka_topic_list": "subscribe", "kafka_group_name": "kafka.group.id"}
-    return session.spark.readStream.format("kafka").options(**{renamed.get(k, k): v for k, v in options.items()}).load()

@@ -9,8 +9,8 @@ verdict the centre is too. So a group of any size has its own estimate, and a sm
 language's. Documents beyond a quantile of the chi-square distribution are rejected by their
 Mahalanobis distance.
 
-Each step is one aggregation: distances are counted in cells of fixed width with the sums of their
-rows, and the nearest cells that make up the share are added up. Statistics are whole multiples of
+Each step is one aggregation: roots of distances are counted in cells of fixed width with the sums of
+their rows, and the nearest cells that make up the share are added up. Statistics are whole multiples of
 1 / ``GRID`` and sums are those of whole numbers, so the outcome does not hang on partitions or order.
 """
 
@@ -35,8 +35,8 @@ FLOORS = {"word_length": 0.06, "symbols": 0.5, "dup_lines": 0.12, "repeats": 0.1
 P = len(FLOORS)
 #: Share of a group that an estimate rests on; probability of rejecting a sound document.
 HELD, REJECTED = 0.75, 1e-7
-#: Rows that the wider estimate counts for; steps of a statistic; cells of a distance of 1.
-PRIOR, GRID, CELLS = 100, 1024, 64
+#: Rows that the wider estimate counts for; steps of a statistic, and of those of the first medians; cells of a distance of 1.
+PRIOR, GRID, COARSE, CELLS = 100, 1024, 8, 64
 #: Steps of every start before the best of them goes on; the least fall of the log determinant that counts.
 TRIALS, FALL = 2, 1e-4
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -187,7 +187,7 @@ def _closest(rows: DataFrame, params: DataFrame) -> DataFrame:
 
     Rows of the cell in which the share is reached weigh alike, so that together they make it up.
     """
-    cell = F.floor(F.sqrt(squared()) * CELLS).alias("cell")
+    cell = F.floor(F.sqrt(F.sqrt(squared())) * CELLS).alias("cell")
     cells = rows.join(params.select("_g", "start", "mu", "inv"), "_g").select("_g", "start", "_x", cell).groupBy("_g", "start", "cell").agg(*_sums())
     w = W.partitionBy("_g", "start").orderBy("cell").rowsBetween(W.unboundedPreceding, W.currentRow)
     reach = cells.withColumn("up", F.sum("n").over(w)).withColumn("all", F.sum("n").over(W.partitionBy("_g", "start")))
@@ -203,7 +203,8 @@ def _starts(rows: DataFrame, wider: DataFrame | None) -> DataFrame:
     """First estimates of each group: 0 mean and covariance of all its rows, 1 medians and quartiles, 2 the wider estimate."""
     target = F.lit(None).cast("array<double>").alias("target")
     every = _packed(rows.groupBy("_g").agg(*_sums())).select("_g", F.lit(0).alias("start"), F.col("n").cast("double").alias("h"), "s", "ss", target)
-    values = rows.select("_g", F.posexplode("_x").alias("i", "v")).groupBy("_g", "i", "v").agg(F.count(F.lit(1)).alias("n"))
+    coarse = F.transform("_x", lambda v: F.floor(v / COARSE) * COARSE)
+    values = rows.select("_g", F.posexplode(coarse).alias("i", "v")).groupBy("_g", "i", "v").agg(F.count(F.lit(1)).alias("n"))
     w = W.partitionBy("_g", "i").orderBy("v").rowsBetween(W.unboundedPreceding, W.currentRow)
     ranked = values.withColumn("up", F.sum("n").over(w)).withColumn("all", F.sum("n").over(W.partitionBy("_g", "i")))
     cut = [F.min(F.when(F.col("up") * 4 >= F.col("all") * q, F.col("v"))).alias(f"q{q}") for q in (1, 2, 3)]
@@ -248,12 +249,12 @@ def widened(rows: DataFrame, found: DataFrame, wider: DataFrame | None) -> DataF
 
     The median distance from a group's own centre shows how much wider than normal its rows are spread.
     """
-    cell = F.floor(F.sqrt(squared()) * CELLS).alias("cell")
+    cell = F.floor(F.sqrt(F.sqrt(squared())) * CELLS).alias("cell")
     cells = rows.join(found.select("_g", "mu", "inv"), "_g").select("_g", cell).groupBy("_g", "cell").agg(F.count(F.lit(1)).alias("n"))
     w = W.partitionBy("_g").orderBy("cell").rowsBetween(W.unboundedPreceding, W.currentRow)
     ranked = cells.withColumn("up", F.sum("n").over(w)).withColumn("all", F.sum("n").over(W.partitionBy("_g")))
     middle = ranked.where("up * 2 >= all").groupBy("_g").agg(F.min("cell").alias("mid"))
-    scale = F.greatest(F.lit(1.0), F.pow((F.col("mid") + 0.5) / CELLS, F.lit(2)) / chi2_quantile(0.5, P))
+    scale = F.greatest(F.lit(1.0), F.pow((F.col("mid") + 0.5) / CELLS, F.lit(4)) / chi2_quantile(0.5, P))
     out = found.join(middle, "_g").withColumn("scale", scale)
     mu = F.col("mu")
     if wider is not None:

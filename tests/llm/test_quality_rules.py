@@ -32,7 +32,7 @@ def squares(x, mu, inv):
 
 def closest(x, mu, inv):
     """Weights of the rows: the closest cells, the last of them in part, make up the share held."""
-    cells = np.floor(np.sqrt(squares(x, mu, inv)) * Q.CELLS)
+    cells = np.floor(np.sqrt(np.sqrt(squares(x, mu, inv))) * Q.CELLS)
     h, weight, left = math.ceil(len(x) * 75 / 100), np.zeros(len(x)), 0.0
     left = h
     for c in np.unique(cells):
@@ -58,7 +58,7 @@ def mix(cov, h, target):
 
 def estimate(x, wider):
     target = None if wider is None else wider[1]
-    q = np.array([[np.sort(x[:, i])[math.ceil(len(x) * k / 4) - 1] for k in (1, 2, 3)] for i in range(Q.P)])
+    q = np.array([[np.floor(np.sort(x[:, i])[math.ceil(len(x) * k / 4) - 1] * Q.GRID / Q.COARSE) * Q.COARSE / Q.GRID for k in (1, 2, 3)] for i in range(Q.P)])
     mu, cov, _ = settle(x, np.ones(len(x)), None)
     starts = [(mu, np.linalg.inv(cov)), (q[:, 1], np.diag(1 / (((q[:, 2] - q[:, 0]) / 1.349) ** 2 + np.array(list(Q.FLOORS.values())) ** 2)))]
     if wider is not None:
@@ -80,9 +80,9 @@ def estimate(x, wider):
 
 
 def widen(x, mu, cov, h, to):
-    d = np.floor(np.sqrt(squares(x, mu, np.linalg.inv(cov))) * Q.CELLS)
+    d = np.floor(np.sqrt(np.sqrt(squares(x, mu, np.linalg.inv(cov)))) * Q.CELLS)
     mid = np.sort(d)[math.ceil(len(d) / 2) - 1]
-    scale = max(1.0, ((mid + 0.5) / Q.CELLS) ** 2 / Q.chi2_quantile(0.5, Q.P))
+    scale = max(1.0, ((mid + 0.5) / Q.CELLS) ** 4 / Q.chi2_quantile(0.5, Q.P))
     if to is not None:
         mu = mu * h / (h + Q.PRIOR) + to * Q.PRIOR / (h + Q.PRIOR)
     return mu, cov * scale

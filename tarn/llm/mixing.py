@@ -1,16 +1,20 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Tokens are summed by cell of source, language and topic. The cells' weights are raked in turn to the
-target share of every source, language and topic. A document is then taken with a probability in
-proportion to its cell's weight over its cell's tokens, so that the expected tokens of the sample
-stand in the raked proportions; the largest probability is 1. Draws are a hash of the id.
+target share of every source, language and topic, until all marginal shares stand within a tolerance of
+their targets. A document is then taken with a probability in proportion to its cell's weight over its
+cell's tokens, so that the expected tokens of the sample stand in the raked proportions. Draws are a
+hash of the id.
 
+The sample's size is a stated number of tokens, or as large as it can be with no probability above 1.
 Where one tiny cell would so leave less than a stated share of the documents, that share sets the
-sample's size instead: probabilities are raised alike, and what is over 1 goes to the other cells.
+size instead: probabilities are raised alike, and what is over 1 goes to the other cells.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -19,7 +23,8 @@ from tarn.llm.common import WHITE, table, text_of, written
 
 #: A value's target share goes as its share of the corpus to this power: rare values are raised.
 POWER = 0.7
-SWEEPS = 6
+#: Sweeps over the three dimensions at most; the gap between a marginal share and its target at which they end.
+SWEEPS, TOLERANCE = 12, 1e-12
 #: Share of the documents that a sample is expected to hold at least.
 LEAST_SHARE = 0.25
 DIMS = ("source", "lang", "topic")
@@ -42,51 +47,70 @@ def draw(id_col: Column) -> Column:
     return F.conv(digits, 16, 10).cast("long") / F.lit(float(16**13))
 
 
-def raked(cells: DataFrame, power: float = POWER, sweeps: int = SWEEPS) -> DataFrame:
-    """Cells (source, lang, topic, tokens) with ``weight``, raked to shares that go as ``power`` of the corpus's.
+def raked(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, power: float = POWER, sweeps: int = SWEEPS, tolerance: float = TOLERANCE) -> DataFrame:
+    """Cells (source, lang, topic, tokens) with ``weight``, raked to the targets.
 
-    Marginal targets are sums over all cells; each step is a window over one dimension's values.
-    Weights sum to 1 after each step. Cells are far fewer than documents, but need not fit anywhere.
-    Other columns are kept.
+    ``targets`` gives a dimension's values their target weights, in any unit; values that it does not
+    name have none and get no weight, and what it names but no cell has is left out of the shares. A
+    dimension without targets goes as ``power`` of its values' shares of the corpus. Each step is a
+    window over one dimension's values; weights sum to 1 after each. Cells are far fewer than documents,
+    but need not fit anywhere. Targets that contradict each other end at the last sweep. Other columns are kept.
     """
+    targets = targets or {}
+    if unknown := set(targets) - set(DIMS):
+        raise ValueError(f"no dimension {sorted(unknown)}")
     total = cells.agg(F.sum("tokens").alias("s")).first()["s"] or 1
     out = cells.withColumn("weight", F.col("tokens") / F.lit(float(total)))
     for d in DIMS:
         shares = out.groupBy(d).agg(F.pow(F.sum("tokens") / F.lit(float(total)), F.lit(power)).alias("p"))
+        if d in targets:
+            given = F.create_map(*[F.lit(x) for k, v in targets[d].items() for x in (k, float(v))])
+            shares = shares.select(d, F.coalesce(F.try_element_at(given, F.col(d)), F.lit(0.0)).alias("p"))
         scale = shares.agg(F.sum("p").alias("s")).first()["s"] or 1.0
         out = out.join(shares.select(d, (F.col("p") / F.lit(scale)).alias(f"to_{d}")), d)
     for _ in range(sweeps):
         for d in DIMS:
-            out = out.withColumn("weight", F.col("weight") * F.col(f"to_{d}") / F.sum("weight").over(W.partitionBy(d)))
-        out = written(out, "raked")
+            have = F.sum("weight").over(W.partitionBy(d))
+            out = out.withColumn("weight", F.when(have > 0, F.col("weight") * F.col(f"to_{d}") / have).otherwise(F.lit(0.0)))
+        gaps = [F.abs(F.sum("weight").over(W.partitionBy(d)) - F.col(f"to_{d}")) for d in DIMS]
+        out = written(out.withColumn("gap", F.greatest(*gaps)), "raked")
+        widest = out.agg(F.max("gap").alias("g")).first()["g"]
+        out = out.drop("gap")
+        if widest is None or widest <= tolerance:
+            break
     return out.drop(*[f"to_{d}" for d in DIMS])
 
 
-def unit(cells: DataFrame, least: float = LEAST_SHARE) -> float:
+def unit(cells: DataFrame, least: float = LEAST_SHARE, budget: float | None = None) -> float:
     """The weight per token that is drawn with probability 1; cells (docs, tokens, weight) above it are taken whole.
 
-    It is the largest of any cell, unless fewer than ``least`` of the documents are then expected. Each
-    round takes the cells above the unit whole and spreads the rest; they only grow in number.
+    With a ``budget`` that many tokens are expected, or all where there are fewer. Without, it is the
+    largest of any cell, unless fewer than ``least`` of the documents are then expected. Each round
+    takes the cells above the unit whole and spreads the rest; they only grow in number.
     """
-    rate = F.col("weight") / F.col("tokens")
-    first = cells.agg(F.max(rate).alias("most"), F.sum("docs").alias("n"), F.sum(F.col("docs") * rate).alias("drawn")).first()
-    if not first["n"]:
+    rate, size = F.col("weight") / F.col("tokens"), "docs" if budget is None else "tokens"
+    first = cells.agg(F.max(rate).alias("most"), F.sum(size).alias("n"), F.sum(F.col(size) * rate).alias("drawn")).first()
+    if not first["n"] or not first["most"]:
         return 1.0
-    at, wanted, whole = first["most"], least * first["n"], 0
-    if first["drawn"] / at >= wanted:
-        return at
+    at, wanted, whole = first["most"], least * first["n"] if budget is None else min(budget, first["n"]), 0
+    if budget is None and first["drawn"] / at >= wanted or not wanted:
+        return at if wanted else math.inf
     at = first["drawn"] / wanted
     while True:
         over = rate >= F.lit(at)
-        row = cells.agg(F.count(F.when(over, 1)).alias("k"), F.sum(F.when(over, F.col("docs")).otherwise(0)).alias("n"), F.sum(F.when(over, 0.0).otherwise(F.col("docs") * rate)).alias("drawn")).first()
-        if row["k"] <= whole or row["n"] >= wanted:
+        row = cells.agg(F.count(F.when(over, 1)).alias("k"), F.sum(F.when(over, F.col(size)).otherwise(0)).alias("n"), F.sum(F.when(over, 0.0).otherwise(F.col(size) * rate)).alias("drawn")).first()
+        if row["k"] <= whole or row["n"] >= wanted or not row["drawn"]:
             return at
         whole, at = row["k"], row["drawn"] / (wanted - row["n"])
 
 
-def mixed(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", topic: Column | None = None) -> DataFrame:
+def mixed(
+    docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", topic: Column | None = None, targets: dict[str, dict[str, float]] | None = None, budget: float | None = None
+) -> DataFrame:
     """The documents with n_tokens, topic, weight (of their cell), probability and kept.
 
+    ``targets`` are target weights by dimension (source, lang, topic) and value, ``budget`` the tokens
+    that the sample is expected to hold; see ``raked`` and ``unit`` for what stands in without them.
     ``topic`` is an expression over the documents; without it the length band stands in. Null source,
     language or topic counts as an empty one; an empty text weighs as one token, so that it can be
     drawn. Repeated rows weigh each; rows of one id are drawn together. Input columns of the added
@@ -97,8 +121,8 @@ def mixed(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", topic
     base = docs.withColumns(named | {"n_tokens": words})
     base = base.withColumn("topic", F.coalesce(topic, F.lit("")) if topic is not None else length_topic(F.col("n_tokens")))
     cells = base.groupBy(F.col("_source").alias("source"), F.col("_lang").alias("lang"), "topic").agg(F.sum(F.greatest("n_tokens", F.lit(1))).alias("tokens"), F.count(F.lit(1)).alias("docs"))
-    fitted = raked(written(cells, "cells"))
-    probability = F.least(F.lit(1.0), F.col("weight") / F.col("tokens") / F.lit(unit(fitted)))
+    fitted = raked(written(cells, "cells"), targets)
+    probability = F.least(F.lit(1.0), F.col("weight") / F.col("tokens") / F.lit(unit(fitted, budget=budget)))
     keyed = written(fitted.select(F.col("source").alias("_source"), F.col("lang").alias("_lang"), "topic", "weight", probability.alias("probability")), "mix")
     out = base.drop("weight", "probability", "kept").join(keyed, ["_source", "_lang", "topic"]).drop("_source", "_lang")
     return out.withColumn("kept", draw(F.col(id_col)) < F.col("probability"))

@@ -3,6 +3,7 @@ import hashlib
 import random
 import re
 import textwrap
+import time
 from collections import Counter
 
 import pytest
@@ -35,7 +36,7 @@ def test_line_dedup(docs):
     rows = corpus()
     cut = [(r[0], (r[1] or "").split("\n")) for r in rows]
     key = lambda x: x.strip(WHITE).translate(TO_LOWER)
-    count = Counter(k for _, ls in cut for k in {key(x) for x in ls} if k)
+    count = Counter(k for _, k in {(d, key(x)) for d, ls in cut for x in ls} if k)
     want = []
     for d, ls in cut:
         left = [x for x in ls if not key(x) or count[key(x)] < 10]
@@ -46,6 +47,24 @@ def test_line_dedup(docs):
     assert line_dedup.drop_common_lines(docs.limit(0)).count() == 0
 
 
+def test_line_dedup_counts_documents(spark):
+    """Rows of one id are one document, also with other texts; rows without id are told apart by their texts."""
+    rows = [(1, "same\na"), (1, "b\nsame"), (1, "same\na"), (2, "x\nsame"), (None, "z\nother"), (None, "z\nother"), (3, "y\nother")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r.doc_id, r.text) for r in line_dedup.drop_common_lines(docs, min_docs=2).collect())
+    assert got == Counter([(1, "a"), (1, "b"), (1, "a"), (2, "x"), (None, "z"), (None, "z"), (3, "y")])
+    assert all(r.n_dropped == 0 for r in line_dedup.drop_common_lines(docs, min_docs=3).collect())
+
+
+def test_line_dedup_of_long_documents(spark):
+    """Many common lines in one document cost no more than their number."""
+    text = "\n".join(f"common {i}" for i in range(60_000))
+    docs = spark.createDataFrame([(i, text + f"\nown {i}") for i in range(3)], "doc_id long, text string")
+    start = time.perf_counter()
+    assert sorted(r.text for r in line_dedup.drop_common_lines(docs, min_docs=3).collect()) == [f"own {i}" for i in range(3)]
+    assert time.perf_counter() - start < 60
+
+
 def test_exact_dedup(spark, docs):
     rows = corpus()
     size = Counter(r[1] or "" for r in rows)

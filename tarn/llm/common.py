@@ -8,7 +8,6 @@ import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,14 +46,6 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def held(df: DataFrame) -> DataFrame:
-    """The same rows, kept on the executors' disks from their first use on; those of lost executors are made again.
-
-    For what is one step from its source and read more than once: it writes no files to the shared folder.
-    """
-    return df.persist(StorageLevel.DISK_ONLY)
-
-
 #: Rows of an Arrow batch between the JVM and a Python worker, where the session keeps Spark's own default.
 BATCH_ROWS = 4000
 

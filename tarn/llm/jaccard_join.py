@@ -7,20 +7,24 @@ unit, and of a group of frequent shingles each but the first is one, since two o
 Rare shingles are indexed alone, frequent ones as pairs within their group.
 
 1.  Every set's shingles under ``SHARE`` of the hash range are dealt out by shingle and counted. Those
-    in more than ``RARE`` sets are frequent; the others yield candidate pairs.
+    in more than ``RARE`` sets are frequent; the others yield candidate pairs. Where a task finds more
+    than ``RARE`` sets of a shingle by itself, it sends out only as many as show it to be frequent, so
+    that a shingle of a large share of all documents is no load on one task.
 2.  Sets whose rare shingles in that range fall short of the units needed are extended: all their
     shingles are classed, further rare ones are indexed, and where they still do not suffice, pairs of
     frequent ones. Similar sets differ in size by a quarter at most, so groups are cut for two
     neighbouring levels of size each, one of which a similar set shares.
 3.  An index entry of many sets is not expanded into all its pairs: its most central set (fewest rare
     shingles) is compared with all others, and only sets that are not connected then go on to further
-    comparisons: they meet all others of the entry in blocks, where histograms of their shared shingles
-    bound each pair's overlap and rule nearly all pairs out without a look at the sets.
-4.  Candidates that bounds on the overlap cannot exclude are verified on the whole sets.
+    comparisons: they meet all others of the entry of like size in blocks, where histograms of their
+    shared shingles bound each pair's overlap and rule nearly all pairs out without a look at the sets.
+4.  Candidates that bounds on the overlap cannot exclude are verified on the whole sets; a set with
+    many candidates is dealt out as several copies.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Callable, Iterator
 
@@ -31,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarn.llm import bitfilter
-from tarn.llm.common import held, lean, modest, table, written
+from tarn.llm.common import lean, modest, table, written
 from tarn.llm.components import components
 
 #: Words of a shingle; similarity as PER / OUT_OF; 1 in SLACK shingles at most may be missing.
@@ -45,6 +49,10 @@ LEAST_PAIRED = 40
 #: Cells of a histogram; members and outsiders in a block.
 CELLS, MEMBERS, OUTSIDERS = 128, 500, 250
 CACHED = 100_000
+#: Rows of shingles that a task looks through at once; bits of a count that is sent with a key below 0.
+ROOM, COUNT_BITS = 1 << 20, 22
+#: Candidates of a set for each copy of it; keys that the number of copies is looked up under.
+PER_COPY, SPREAD = 256, 64
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
@@ -79,10 +87,13 @@ def shingles(text: str | None, hashes: dict) -> np.ndarray:
     return np.unique((h >> np.uint64(1)).astype(np.int64))
 
 
-def _each(docs: DataFrame, id_col: str, text_col: str, schema: str, make: Callable, only: Callable | None = None) -> DataFrame:
-    """mapInArrow over (id, text): ``make(ids, sets)`` returns the columns of a batch. ``only`` picks ids first."""
+def _each(docs: DataFrame, id_col: str, text_col: str, schema: str, make: Callable, only: Callable | None = None, then: Callable = iter) -> DataFrame:
+    """mapInArrow over (id, text) of rows with an id: ``make(ids, sets)`` returns the columns of a batch. ``only`` picks ids first; ``then`` gets the batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from then(made(batches))
+
+    def made(batches):
         hashes = _Hashes()
         for batch in batches:
             batch = batch.filter(batch.column(0).is_valid())
@@ -118,6 +129,36 @@ def _rows(below: int | None):
     return make
 
 
+def thinned(batches, most: int) -> Iterator[pa.RecordBatch]:
+    """(t, doc) batches with no more rows of a key from each ``ROOM`` rows than show that it has more than ``most``.
+
+    What the left out rows say, that a document stood under so many such keys, goes as one row with a
+    key below 0 that holds the count.
+    """
+
+    def settle(k, d):
+        order = np.argsort(k, kind="stable")
+        k, d = k[order], d[order]
+        starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        nth = np.arange(len(k)) - np.repeat(starts, np.diff(np.append(starts, len(k))))
+        over = nth > most
+        docs, times = np.unique(d[over], return_counts=True)
+        spread = (mixed(docs.astype(np.uint64)) >> np.uint64(44)).astype(np.int64)
+        counts = -1 - ((spread << COUNT_BITS) | times)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([k[~over], counts])), pa.array(np.concatenate([d[~over], docs]))], names=["t", "doc"])
+
+    ks, ds, n = [], [], 0
+    for batch in batches:
+        ks.append(batch.column(0).to_numpy(zero_copy_only=False))
+        ds.append(batch.column(1).to_numpy(zero_copy_only=False))
+        n += batch.num_rows
+        if n >= ROOM:
+            yield settle(np.concatenate(ks), np.concatenate(ds))
+            ks, ds, n = [], [], 0
+    if n:
+        yield settle(np.concatenate(ks), np.concatenate(ds))
+
+
 def _whole(ids, sets):
     offsets = np.cumsum([0, *map(len, sets)], dtype=np.int32)
     return {"doc": ids, "s": pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*sets, np.zeros(0, np.int64)])))}
@@ -131,7 +172,7 @@ def of_ids(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, schema:
 
 
 def meet(rows: DataFrame, key: str, most: int) -> DataFrame:
-    """What meets under a key, from (key, doc): a table of (kind, a, b, c), read in key order by bounded memory.
+    """What meets under a key, from (key, doc), thinned or not: a table of (kind, a, b, c), read in key order by bounded memory.
 
     kind 0: a pair of a key of up to ``most`` documents, c times; 1: a document that stood c times
     under keys of more; 2: such a key (a).
@@ -153,8 +194,11 @@ def meet(rows: DataFrame, key: str, most: int) -> DataFrame:
         held_k, held_d = np.zeros(0, np.int64), np.zeros(0, np.int64)
         big = None  # the key that is known to be of many, whose documents are passed on as they come
         for batch in batches:
-            k = np.concatenate([held_k, batch.column(0).to_numpy(zero_copy_only=False)])
-            d = np.concatenate([held_d, batch.column(1).to_numpy(zero_copy_only=False)])
+            k, d = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+            if (sent := k < 0).any():
+                yield out(1, d[sent], d[sent], (-1 - k[sent]) & ((1 << COUNT_BITS) - 1))
+                k, d = k[~sent], d[~sent]
+            k, d = np.concatenate([held_k, k]), np.concatenate([held_d, d])
             if not len(k):
                 continue
             starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
@@ -245,13 +289,16 @@ def _histograms(rows: DataFrame) -> DataFrame:
 def _across(hubs: DataFrame, histograms: DataFrame) -> DataFrame:
     """Pairs (a, b) of a hub's documents (main, doc, g, n) in different components, one of them outside the
     main one, that the histograms allow to be similar: two sets share at most the sum of the smaller counts
-    of all cells. Members and outsiders of a hub are dealt into blocks of bounded size, all blocks against all."""
-    sizes = written(hubs.groupBy("main").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("nb"), F.ceil(F.count_if(F.col("g") != F.col("main")) / OUTSIDERS).cast("int").alias("nc")), "hub-sizes")
-    both = written(hubs.join(histograms, "doc"), "hub-histograms").join(sizes, "main")
+    of all cells. Members of a level of size and outsiders of that level and its neighbours are dealt into
+    blocks of bounded size, all blocks against all."""
+    both = written(hubs.withColumn("l", F.floor(F.log("n") / np.log(OUT_OF / PER) + 1e-9).cast("long")).join(histograms, "doc"), "hub-histograms")
+    outside = both.where("g <> main").withColumn("l", F.explode(F.array(F.col("l") - 1, F.col("l"), F.col("l") + 1)))
+    members = both.groupBy("main", "l").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("nb"))
+    sizes = written(members.join(outside.groupBy("main", "l").agg(F.ceil(F.count(F.lit(1)) / OUTSIDERS).cast("int").alias("nc")), ["main", "l"]), "hub-sizes")
     spread = F.xxhash64("doc")
-    members = both.withColumn("i", F.pmod(spread, "nb")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nc") - 1))).withColumn("out", F.lit(False))
-    outsiders = both.where("g <> main").withColumn("j", F.pmod(spread, "nc")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).withColumn("out", F.lit(True))
-    columns = ["main", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "out", "doc", "g", "n", "h"]
+    members = both.join(sizes, ["main", "l"]).withColumn("i", F.pmod(spread, "nb")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nc") - 1))).withColumn("out", F.lit(False))
+    outsiders = outside.join(sizes, ["main", "l"]).withColumn("j", F.pmod(spread, "nc")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).withColumn("out", F.lit(True))
+    columns = ["main", "l", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "out", "doc", "g", "n", "h"]
 
     def block(t: pa.Table) -> pa.Table:
         out = t.column("out").to_numpy(zero_copy_only=False)
@@ -271,37 +318,58 @@ def _across(hubs: DataFrame, histograms: DataFrame) -> DataFrame:
             b.append(np.maximum(own[ok], doc[x]))
         return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
 
-    return members.select(columns).unionByName(outsiders.select(columns)).groupBy("main", "i", "j").applyInArrow(block, "a long, b long")
+    return members.select(columns).unionByName(outsiders.select(columns)).groupBy("main", "l", "i", "j").applyInArrow(block, "a long, b long")
+
+
+def _copied(pairs: DataFrame, rows: DataFrame, side: str, other: str) -> tuple[DataFrame, DataFrame]:
+    """``rows`` of the pairs with ``copy_<side>``, the copy of that set that each is compared with, and (doc, n): sets of more than one copy.
+
+    A set has one copy for each ``PER_COPY`` of its pairs. Their number is looked up under several keys, so
+    that this too is spread.
+    """
+    many = written(pairs.groupBy(F.col(side).alias("doc")).agg(F.ceil(F.count(F.lit(1)) / PER_COPY).alias("n")).where("n > 1"), "many-candidates")
+    spread = F.xxhash64(other)
+    keyed = many.select(F.col("doc").alias("_d"), "n", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("_z"))
+    found = rows.withColumn("_s", F.pmod(spread, F.lit(SPREAD)).cast("int")).join(keyed, (F.col(side) == F.col("_d")) & (F.col("_s") == F.col("_z")), "left")
+    return found.withColumn(f"copy_{side}", F.pmod(F.shiftright(spread, 8), F.coalesce("n", F.lit(1)))).drop("_d", "_s", "_z", "n"), many
 
 
 def similar(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) whose whole sets reach the similarity."""
+    """The pairs (a, b), a written table, whose whole sets reach the similarity."""
     ids = written(pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct(), "candidate-ids")
-    # Both joins read plain shuffles, so that those of a set with many candidates can be split.
-    sets = held(of_ids(docs, ids, id_col, text_col, "doc long, s array<long>", _whole).dropDuplicates(["doc"]))
-    one = pairs.join(sets.select(F.col("doc").alias("b"), F.col("s").alias("sb")), "b")
-    two = one.join(sets.select(F.col("doc").alias("a"), F.col("s").alias("sa")), "a")
+    sets = written(of_ids(docs, ids, id_col, text_col, "doc long, s array<long>", _whole).dropDuplicates(["doc"]), "candidate-sets")
+
+    def copies(many: DataFrame, side: str) -> DataFrame:
+        numbers = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("n", F.lit(1)) - 1)).alias(f"copy_{side}")
+        return sets.join(many, "doc", "left").select(F.col("doc").alias(side), F.col("s").alias(f"s{side}"), numbers)
+
+    rows, many_b = _copied(pairs, pairs, "b", "a")
+    rows, many_a = _copied(pairs, rows, "a", "b")
+    both = rows.join(copies(many_b, "b"), ["b", "copy_b"]).join(copies(many_a, "a"), ["a", "copy_a"])
     common = F.size(F.array_intersect("sa", "sb"))
-    found = two.select("a", "b", common.alias("i"), (F.size("sa") + F.size("sb")).alias("both"))
+    found = both.select("a", "b", common.alias("i"), (F.size("sa") + F.size("sb")).alias("both"))
     return found.where(F.col("i") * OUT_OF >= (F.col("both") - F.col("i")) * PER).select("a", "b")
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare: int = RARE) -> DataFrame:
     """(doc, n, component): every document's set size and the smallest id reachable by links.
 
-    Ids identify documents; rows that repeat an id give a row each. A null id gives no row here.
-    Null, empty and word-free texts have no shingles, link with nothing and are their own component.
+    Ids identify documents; rows that repeat an id give a row each. Rows without id link with nothing,
+    since no link could name them: they have a set size and no component. Null, empty and word-free
+    texts have no shingles, link with nothing and are their own component. An empty table gives an empty table.
     """
-    heads = held(_each(docs, id_col, text_col, "doc long, n long, w long, d1 long, d2 long", _heads))
+    heads = written(_each(docs, id_col, text_col, "doc long, n long, w long, d1 long, d2 long", _heads), "heads")
     classes = written(heads.where("n > 0").groupBy("d1", "d2").agg(F.min("doc").alias("rep"), F.first("n").alias("n"), F.first("w").alias("w"), F.count(F.lit(1)).alias("size")), "classes")
     of_class = heads.join(classes.select("d1", "d2", "rep"), ["d1", "d2"], "left")
 
     # 1. Shingles of low hash. Documents that may repeat a class go through a join, all others not.
     spare = written(of_class.where("rep <> doc").select("doc"), "copies")
     copy = bitfilter.build(spare.withColumn("h", F.col("doc")), "h")
-    plain = _each(docs, id_col, text_col, "t long, doc long", _rows(LIMIT), lambda x: ~copy(x))
+    thin = functools.partial(thinned, most=rare)
+    plain = _each(docs, id_col, text_col, "t long, doc long", _rows(LIMIT), lambda x: ~copy(x), thin)
     doubted = _each(docs, id_col, text_col, "t long, doc long", _rows(LIMIT), copy).join(classes.select(F.col("rep").alias("doc")), "doc", "left_semi")
-    met = held(meet(plain.unionByName(doubted), "t", rare))
+    doubted = doubted.select("t", "doc").mapInArrow(lean(thin), "t long, doc long")
+    met = written(meet(plain.unionByName(doubted), "t", rare), "met")
 
     # 2. Sets short of rare shingles.
     frequent_in = met.where("kind = 1").groupBy("a").agg(F.sum("c").alias("f"))
@@ -348,7 +416,10 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare
             new = _across(hubs, _histograms(inner)).distinct().join(found, ["a", "b"], "left_anti")
             links = links.union(written(similar(docs, written(new, "candidates"), id_col, text_col), "similar"))
     of = components(links).select(F.col("node").alias("rep"), "component")
-    return of_class.join(of, "rep", "left").select("doc", "n", F.coalesce("component", "rep", "doc").alias("component"))
+    found = of_class.join(of, "rep", "left").select("doc", "n", F.coalesce("component", "rep", "doc").alias("component"))
+    nameless = docs.where(F.col(id_col).isNull()).select(F.lit(0).cast("long").alias(id_col), F.col(text_col).alias(text_col))
+    nameless = _each(nameless, id_col, text_col, "doc long, n long, w long, d1 long, d2 long", _heads)
+    return found.unionByName(nameless.select(F.lit(None).cast("long").alias("doc"), "n", F.lit(None).cast("long").alias("component")))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

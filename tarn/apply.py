@@ -20,7 +20,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.catalog import SchemaError, flattened, full_name
+from tarn.catalog import SchemaError, flattened, full_name, resolved
 from tarn.compile import Session
 from tarn.operators.merge_tree import Merging, latest
 from tarn.sources import engines
@@ -428,8 +428,8 @@ class Warehouse:
             raise SchemaError(f"table {name} exists")
         source = s.get("as_source")
         if isinstance(source, A.Table):
-            base = self.tables[full_name(source.parts)].declared
-            s = s.having(columns=s.get("columns") or base.get("columns"), engine=s.get("engine") or base.get("engine"), order_by=s.get("order_by") or base.get("order_by"))
+            base = resolved({full_name(source.parts): self.tables[full_name(source.parts)].declared, name: s})
+            s = base[name].having(as_source=None)
         rows = None
         if s.get("select") is not None:
             rows = self.session().run(s.get("select"))
@@ -497,6 +497,9 @@ class Warehouse:
                 if o.get("if_exists"):
                     return
                 raise SchemaError(f"{name}: no column {o.name[0]}")
+            keys = [x for c in ("order_by", "partition_by", "primary_key", "sample_by") for x in _listed(t.declared.get(c))]
+            if any(isinstance(n, A.Name) and n.parts[-1] == o.name[0] for x in keys for n in A.walk(x)):
+                raise SchemaError(f"{name}: column {o.name[0]} is part of a key")
             declare(columns=tuple(c for c in columns if c.name != o.name[0]))
             t.dropped.add(o.name[0])
         elif k == "MODIFY COLUMN":
@@ -776,6 +779,10 @@ def _key_columns(keys: tuple | None) -> list[str]:
     return [x.parts[-1] for x in items if isinstance(x, A.Name)]
 
 
+def _listed(keys) -> tuple:
+    return () if keys is None else keys if isinstance(keys, tuple) else (keys,)
+
+
 def _zero(kind) -> Column:
     """What a column that is not nullable holds where nothing is given."""
     name = kind.simpleString() if kind is not None else "string"

@@ -1,4 +1,4 @@
-"""Command line: init, fmt, diff, schema compile and dump, migrate, status, snapshot, rehash, bootstrap.
+"""Command line: init, fmt, diff, schema compile and dump, migrate, status, snapshot, rehash, bootstrap, image, dev.
 
 A project is a folder with db/main.sql (which may import other files), db/migrations and a log of
 revisions; data lies in a warehouse folder.
@@ -19,8 +19,11 @@ MAIN, MIGRATIONS, REVISIONS, SUM = "db/main.sql", "db/migrations", "db/revisions
 
 
 def _spark():
+    import pyspark
     from pyspark.sql import SparkSession
 
+    if not M.version_at_least(pyspark.__version__, 4, 0):
+        raise SystemExit(f"Spark 4.0 or later is needed, this is {pyspark.__version__}")
     return SparkSession.builder.appName("tarn").config("spark.sql.session.timeZone", "UTC").getOrCreate()
 
 
@@ -40,7 +43,7 @@ def init(args) -> int:
 
 def fmt(args) -> int:
     """Prints files in canonical form, or writes them back."""
-    options = Options(indent=args.indent, align=not args.no_align)
+    options = Options(indent=args.indent, align=not args.no_align, uppercase=not args.lowercase, multiline_queries=not args.one_line_queries, blank_lines=args.blank_lines)
     for path in args.files:
         with open(path, encoding="utf-8") as f:
             text = format_script(f.read(), options)
@@ -81,8 +84,14 @@ def diff(args) -> int:
     from tarn.diff import NoDifference, migration
 
     target = M.compiled(_path(args, MAIN))
+    current = _current(_verified(args))
+    if args.cluster:
+        from tarn.catalog import with_cluster
+
+        target = write_script(with_cluster(parse(target), args.cluster, args.own))
+        current = with_cluster(current, args.cluster, args.own)
     try:
-        text = migration(_spark(), write_script(_current(_verified(args))), target)
+        text = migration(_spark(), write_script(current), target)
     except NoDifference:
         print("no difference")
         return 1
@@ -97,6 +106,10 @@ def diff(args) -> int:
 def schema(args) -> int:
     """Prints the compiled schema file, or what the migrations amount to."""
     statements = parse(M.compiled(_path(args, MAIN))) if args.what == "compile" else _current(_verified(args))
+    if args.cluster:
+        from tarn.catalog import with_cluster
+
+        statements = with_cluster(statements, args.cluster, args.own)
     sys.stdout.write(write_script(statements))
     return 0
 
@@ -137,7 +150,15 @@ def snapshot(args) -> int:
     """Puts one script in place of all so far."""
     migrations = _verified(args)
     name = datetime.now(UTC).strftime("%Y%m%d%H%M%S") + "_snapshot"
-    made = M.make_snapshot(name, migrations, args.description)
+    if args.bootstrap:  # the schema as it stands, for a project whose data is older than its scripts
+        made = M.make_snapshot(name, [M.read_migration("0", M.compiled(_path(args, MAIN)))], args.description)
+    else:
+        made = M.make_snapshot(name, migrations, args.description)
+        spark = _spark()
+        log = M.Log(spark, _path(args, REVISIONS))
+        log.bootstrap()
+        if missing := M.missing_of(spark, made, {r["version"] for r in M.executed_versions(log.rows()).collect()} | {r["version"] for r in M.latest_revisions(log.rows()).where("kind = 'snapshot'").collect()}):
+            raise SystemExit(f"not completed yet: {', '.join(missing)}")
     with open(_path(args, MIGRATIONS, f"{name}.sql"), "w", encoding="utf-8") as f:
         f.write(made.text)
     for m in migrations:
@@ -147,28 +168,64 @@ def snapshot(args) -> int:
 
 
 def image(args) -> int:
-    """Writes the schema that the migrations amount to as files, one per object."""
-    from tarn.project import write_image
-
-    for path in write_image(_path(args, "db"), _current(_verified(args))):
+    """Writes the schema that the migrations amount to, or that a server's dump declares, as files, one per object."""
+    from tarn.project import cleaned, write_image
+
+    if args.dump:
+        with open(args.dump, encoding="utf-8") as f:
+            statements = parse(cleaned(f.read()))
+    else:
+        statements = _current(_verified(args))
+    for path in write_image(_path(args, "db"), statements):
         print(path)
     return 0
 
 
+def dev(args) -> int:
+    """Runs the compiled schema file in a new warehouse that goes with the process, and the query given."""
+    import tempfile
+
+    from tarn.apply import Warehouse
+
+    warehouse = Warehouse(_spark(), tempfile.mkdtemp(prefix="tarn-dev-"))
+    warehouse.run_script(M.compiled(_path(args, MAIN)))
+    for name in [*warehouse.tables, *warehouse.views]:
+        print(name)
+    for query in args.query:
+        for frame in warehouse.run_script(query):
+            frame.show(truncate=False)
+    return 0
+
+
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="tarn", description=__doc__)
     p.add_argument("--project", default=".")
     sub = p.add_subparsers(dest="command", required=True)
-    for f in (init, rehash, bootstrap, image):
+    for f in (init, rehash, bootstrap):
         sub.add_parser(f.__name__, help=f.__doc__).set_defaults(run=f)
+    q = sub.add_parser("image", help=image.__doc__)
+    q.add_argument("--dump", default="")
+    q.set_defaults(run=image)
+    q = sub.add_parser("dev", help=dev.__doc__)
+    q.add_argument("query", nargs="*")
+    q.set_defaults(run=dev)
+
+    def clustered(q) -> None:
+        q.add_argument("--cluster", default="", help="declare every object ON CLUSTER of this name")
+        q.add_argument("--own", default="", help="the tool's own database, which is left as it is")
+
     q = sub.add_parser("fmt", help=fmt.__doc__)
     q.add_argument("files", nargs="+")
     q.add_argument("-w", "--write", action="store_true")
     q.add_argument("--indent", type=int, default=4)
     q.add_argument("--no-align", action="store_true")
+    q.add_argument("--lowercase", action="store_true")
+    q.add_argument("--one-line-queries", action="store_true")
+    q.add_argument("--blank-lines", type=int, default=1)
     q.set_defaults(run=fmt)
     q = sub.add_parser("diff", help=diff.__doc__)
     q.add_argument("--name", default="")
+    clustered(q)
     q.set_defaults(run=diff)
     for name in ("migrate", "apply"):
         q = sub.add_parser(name, help=migrate.__doc__)
@@ -179,9 +236,11 @@ def main(argv: list[str] | None = None) -> int:
     q.set_defaults(run=status)
     q = sub.add_parser("snapshot", help=snapshot.__doc__)
     q.add_argument("--description", default="")
+    q.add_argument("--bootstrap", action="store_true")
     q.set_defaults(run=snapshot)
     q = sub.add_parser("schema", help=schema.__doc__)
     q.add_argument("what", choices=["compile", "dump"])
+    clustered(q)
     q.set_defaults(run=schema)
     args = p.parse_args(argv)
     return args.run(args)

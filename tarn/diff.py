@@ -281,16 +281,3 @@ def migration(spark: SparkSession, current: str, target: str, undo: bool = False
     rows = _views_last(rows, _depths(one) | _depths(two))
     texts = [r["down" if undo else "up"] for r in (reversed(rows) if undo else rows)]
     return "".join(f"{t};\n\n" for t in texts).rstrip("\n") + "\n"
-
-
-def propagated(statements: list[Stmt], alters: list[Stmt]) -> list[Stmt]:
-    """ALTERs of tables that others were declared AS, repeated on those, in order of name."""
-    out = list(alters)
-    children: dict[tuple, list[Stmt]] = {}
-    for s in statements:
-        if s.kind == "CREATE TABLE" and isinstance(s.get("as_source"), A.Table):
-            children.setdefault(s.get("as_source").parts, []).append(s)
-    for a in out:
-        for child in sorted(children.get(a.name, []), key=lambda s: s.name):
-            out.append(Stmt(a.kind, child.name, a.clauses))
-    return out

@@ -26,6 +26,8 @@ from tarn.sqlfront.ddl import parse, write, write_script
 REVISIONS = "version string, executed_at timestamp, execution_time_ms bigint, kind string, error string, applied int, total int, hash string, partial_hashes array<string>, tool_version string"
 TOOL_VERSION = "0.1"
 MARKER = "-- snapshot"
+#: A snapshot's first line, with or without the name of the tool that wrote it.
+MARKED = re.compile(r"^--\s*(?:\w+:)?snapshot\s*$", re.IGNORECASE)
 IMPORT = re.compile(r"^--\s*\w+:import\s+(\S+)\s*$")
 
 
@@ -72,10 +74,10 @@ class Migration:
 def read_migration(version: str, text: str) -> Migration:
     """A script; one that begins with the snapshot's marker also has a header of ``-- key: value`` lines."""
     lines, header = text.split("\n"), None
-    if lines and lines[0].strip().lower() == MARKER:
+    if lines and MARKED.match(lines[0].strip()):
         header = {}
         for line in lines[1:]:
-            m = re.match(r"^--\s*([\w-]+):\s*(.*)$", line)
+            m = re.match(r"^--\s*([\w-]+):\s*(.*)$", re.sub(r"^--\s*\w+:(?=[\w-]+:)", "-- ", line))
             if not m:
                 break
             header[m[1].lower()] = m[2].strip()
@@ -256,6 +258,12 @@ def changed_prefix(revisions: DataFrame, statements: DataFrame) -> DataFrame:
     return held.join(now, ["version", "ordinal"], "left").where("now is null or now <> stored").select("version", "ordinal")
 
 
+def missing_of(spark: SparkSession, snapshot: Migration, done: set[str]) -> list[str]:
+    """Versions that a snapshot includes and that are not completed."""
+    one = spark.createDataFrame([(v,) for v in snapshot.included], "version string")
+    return sorted(r["version"] for r in snapshot_gaps(one, spark.createDataFrame([(v,) for v in done], "version string")).collect())
+
+
 class MigrationError(RuntimeError):
     """A run that stopped."""
 
@@ -269,6 +277,11 @@ def execute(migrations: list[Migration], log: Log, run: Callable[[Stmt], None],
     """
     log.bootstrap()
     known = {r["version"]: r for r in latest_revisions(log.rows()).collect()}
+    if newer := sorted(v for v, r in known.items() if not version_at_least(TOOL_VERSION, *_version(r["tool_version"]))):
+        raise MigrationError(f"{newer[0]}: recorded by a later version of the tool, {known[newer[0]]['tool_version']}")
+    texts = [(m.version, i, write(s)) for m in migrations if m.version in known for i, s in enumerate(m.statements)]
+    changed = {r["version"] for r in changed_prefix(log.rows(), log.spark.createDataFrame(texts, "version string, ordinal int, text string")).collect()} if texts else set()
+    done_before = {r["version"] for r in executed_versions(log.rows()).collect()}
     out = []
     for m in migrations:
         r = known.get(m.version)
@@ -279,13 +292,13 @@ def execute(migrations: list[Migration], log: Log, run: Callable[[Stmt], None],
             continue
         hashes = [statement_hash(write(s)) for s in m.statements]
         start = 0
-        if m.snapshot is not None and all(v in known and known[v]["error"] is None for v in m.included):
+        if m.snapshot is not None and (not m.included or not missing_of(log.spark, m, done_before)):
             if not dry:
                 log.append((m.version, datetime.now(UTC), 0, "snapshot", None, total, total, migration_hash(m.statements), hashes, TOOL_VERSION))
             out.append((m.version, "recorded"))
             continue
         if r is not None and 0 < r["applied"] < r["total"]:
-            if r["total"] != total or list(r["partial_hashes"])[: r["applied"]] != hashes[: r["applied"]]:
+            if r["total"] != total or m.version in changed:
                 raise MigrationError(f"{m.version}: statements that were applied have changed")
             start = r["applied"]
         if dry:
@@ -307,9 +320,15 @@ def execute(migrations: list[Migration], log: Log, run: Callable[[Stmt], None],
     return out
 
 
+def _version(text: str) -> tuple[int, int, int]:
+    m = re.match(r"^v?(\d+)(?:\.(\d+))?(?:\.(\d+))?", text or "")
+    if not m:
+        raise ValueError(f"not a version: {text}")
+    return int(m[1]), int(m[2] or 0), int(m[3] or 0)
+
+
 def version_at_least(version: str, major: int, minor: int, patch: int = 0) -> bool:
     """Whether ``major.minor[.patch]`` is that or later."""
-    m = re.match(r"^v?(\d+)\.(\d+)(?:\.(\d+))?", version)
-    if not m:
+    if not re.match(r"^v?\d+\.\d+", version):
         raise ValueError(f"not a version: {version}")
-    return tuple(int(x or 0) for x in m.groups()) >= (major, minor, patch)
+    return _version(version) >= (major, minor, patch)

@@ -1,7 +1,6 @@
 """Registered queries of the engine: dialect text, run by our compiler, and DuckDB text for the same rows.
 
-Every query reads its whole tables but fill_interval and fill_prefix, whose texts filter users by a
-modulo, so that days without events are left to fill. Sums of doubles are rounded, since their last digits hang on the
+Every query reads its whole tables. Sums of doubles are rounded, since their last digits hang on the
 order of adding up.
 """
 
@@ -15,7 +14,7 @@ from pyspark.sql import functions as F
 from tarn.compile import Session
 from tarn.operators.asof import asof_join
 from tarn.operators.merge_tree import latest, summed
-from tarn.plans import schema_queries
+from tarn.plans import schema_queries, statement_queries
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "embeddings")
 
@@ -85,10 +84,11 @@ SQL: dict[str, tuple[str, str] | str] = {
     "totals": ("SELECT o_orderstatus, count() AS n FROM orders GROUP BY o_orderstatus WITH TOTALS HAVING n > 10 ORDER BY n", "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus), ())"),
     "agg_count_if": ("SELECT o_orderstatus, countIf(o_totalprice > 100000) AS big, round(sumIf(o_totalprice, o_orderpriority = '1-URGENT'), 2) AS urgent FROM orders GROUP BY o_orderstatus", "SELECT o_orderstatus, count_if(o_totalprice > 100000) AS big, round(sum(o_totalprice) FILTER (o_orderpriority = '1-URGENT'), 2) AS urgent FROM orders GROUP BY o_orderstatus"),
     "agg_arg_max": ("SELECT o_orderstatus, argMax(o_orderkey, o_orderkey * 7 % 1009 * 100000 + o_orderkey) AS top, argMin(o_custkey, o_orderkey) AS first FROM orders GROUP BY o_orderstatus", "SELECT o_orderstatus, arg_max(o_orderkey, o_orderkey * 7 % 1009 * 100000 + o_orderkey) AS top, arg_min(o_custkey, o_orderkey) AS first FROM orders GROUP BY o_orderstatus"),
-    "agg_quantiles": ("SELECT o_orderstatus, round(quantile(0.9)(o_totalprice), 4) AS p90, round(median(o_totalprice), 4) AS mid FROM orders GROUP BY o_orderstatus", "SELECT o_orderstatus, round(quantile_cont(o_totalprice, 0.9), 4) AS p90, round(quantile_cont(o_totalprice, 0.5), 4) AS mid FROM orders GROUP BY o_orderstatus"),
+    "agg_quantiles": ("SELECT o_orderstatus, round(quantileExactInclusive(0.9)(o_totalprice), 4) AS p90, round(medianExactInclusive(o_totalprice), 4) AS mid FROM orders GROUP BY o_orderstatus", "SELECT o_orderstatus, round(quantile_cont(o_totalprice, 0.9), 4) AS p90, round(quantile_cont(o_totalprice, 0.5), 4) AS mid FROM orders GROUP BY o_orderstatus"),
     "agg_uniq_exact": ("SELECT event_type, uniqExact(user_id) AS users FROM events GROUP BY event_type", "SELECT event_type, count(DISTINCT user_id) AS users FROM events GROUP BY event_type"),
-    "agg_uniq_approx": ("SELECT event_type, uniq(user_id) AS users FROM events GROUP BY event_type", ""),
-    "agg_top_k": ("SELECT topK(3)(o_orderpriority) AS most FROM orders", ""),
+    "agg_uniq_approx": ("SELECT event_type, abs(uniq(user_id) - uniqExact(user_id)) <= 0.08 * uniqExact(user_id) AS close FROM events GROUP BY event_type", "SELECT event_type, true AS close FROM events GROUP BY 1"),
+    "agg_uniq_state": ("SELECT abs(uniqMerge(u) - max(e)) <= 0.08 * max(e) AS close FROM (SELECT user_id % 3 AS part, uniqState(event_id) AS u, 0 AS z FROM events GROUP BY part) CROSS JOIN (SELECT uniqExact(event_id) AS e FROM events)", "SELECT true AS close"),
+    "agg_top_k": ("SELECT o_orderstatus, arrayStringConcat(topK(3)(o_orderpriority), '|') AS most FROM orders GROUP BY o_orderstatus", "SELECT o_orderstatus, string_agg(o_orderpriority, '|' ORDER BY n DESC) AS most FROM (SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY o_orderstatus ORDER BY n DESC) <= 3) GROUP BY 1"),
     "agg_state_merge": ("SELECT s, round(sumMerge(a), 2) AS total, round(avgMerge(b), 4) AS mean, countMerge(c) AS n FROM (SELECT o_orderstatus AS s, o_custkey % 7 AS part, sumState(o_totalprice) AS a, avgState(o_totalprice) AS b, countState() AS c FROM orders GROUP BY s, part) GROUP BY s", "SELECT o_orderstatus AS s, round(sum(o_totalprice), 2) AS total, round(avg(o_totalprice), 4) AS mean, count(*) AS n FROM orders GROUP BY o_orderstatus"),
     "agg_group_array": ("SELECT o_custkey, length(arrayStringConcat(groupArray(o_orderstatus))) AS n FROM orders GROUP BY o_custkey", "SELECT o_custkey, length(string_agg(o_orderstatus, ''))::INT AS n FROM orders GROUP BY o_custkey"),
     "win_row_number": "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS n FROM orders",
@@ -104,13 +104,42 @@ SQL: dict[str, tuple[str, str] | str] = {
     "limit_by": ("SELECT o_custkey, o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 2 BY o_custkey", "SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 2"),
     "fill_range": ("SELECT o_custkey % 50 * 3 AS k, count() AS n FROM orders GROUP BY k ORDER BY k WITH FILL FROM 0 TO 160 STEP 1", "SELECT g.k::BIGINT AS k, n FROM (SELECT unnest(range(0, 160)) AS k) g FULL JOIN (SELECT o_custkey % 50 * 3 AS k, count(*) AS n FROM orders GROUP BY 1) t USING (k)"),
     "fill_interval": (
-        "SELECT toDate(ts) AS d, count() AS n FROM events WHERE user_id % 40 = 3 AND event_type = 'error' GROUP BY d ORDER BY d WITH FILL FROM toDate('2024-01-01') TO toDate('2024-02-05') STEP INTERVAL 1 DAY",
-        "SELECT g.d AS d, n FROM (SELECT unnest(generate_series(DATE '2024-01-01', DATE '2024-02-04', INTERVAL 1 DAY))::DATE AS d) g LEFT JOIN (SELECT ts::DATE AS d, count(*) AS n FROM events WHERE user_id % 40 = 3 AND event_type = 'error' GROUP BY 1) t USING (d)",
+        "SELECT toStartOfHour(ts) AS h, count() AS n FROM events WHERE event_type = 'error' GROUP BY h ORDER BY h WITH FILL FROM toDateTime('2024-01-01 00:00:00') TO toDateTime('2024-02-05 00:00:00') STEP INTERVAL 1 HOUR",
+        "SELECT g.h AS h, n FROM (SELECT unnest(generate_series(TIMESTAMP '2024-01-01 00:00:00', TIMESTAMP '2024-02-04 23:00:00', INTERVAL 1 HOUR)) AS h) g LEFT JOIN (SELECT date_trunc('hour', ts) AS h, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1) t USING (h)",
     ),
     "fill_prefix": (
-        "SELECT event_type, toDate(ts) AS d, count() AS n FROM events WHERE user_id % 10 = 1 GROUP BY event_type, d ORDER BY event_type, d WITH FILL STEP INTERVAL 1 DAY",
-        "WITH t AS (SELECT event_type, ts::DATE AS d, count(*) AS n FROM events WHERE user_id % 10 = 1 GROUP BY ALL), g AS (SELECT event_type, unnest(generate_series(min(d), max(d), INTERVAL 1 DAY))::DATE AS d FROM t GROUP BY 1) SELECT g.event_type AS event_type, g.d AS d, n FROM g LEFT JOIN t ON g.event_type = t.event_type AND g.d = t.d",
+        "SELECT user_id, toDate(ts) AS d, count() AS n FROM events GROUP BY user_id, d ORDER BY user_id, d WITH FILL STEP INTERVAL 1 DAY",
+        "WITH t AS (SELECT user_id, ts::DATE AS d, count(*) AS n FROM events GROUP BY ALL), g AS (SELECT user_id, unnest(generate_series(min(d), max(d), INTERVAL 1 DAY))::DATE AS d FROM t GROUP BY 1) SELECT g.user_id AS user_id, g.d AS d, n FROM g LEFT JOIN t ON g.user_id = t.user_id AND g.d = t.d",
     ),
+    "limit_by_fill": (
+        "SELECT o_custkey % 20 * 5 AS k, o_orderstatus AS s, count() AS n FROM orders GROUP BY k, s ORDER BY k WITH FILL FROM 0 TO 100, s LIMIT 1 BY k",
+        "WITH t AS (SELECT o_custkey % 20 * 5 AS k, o_orderstatus AS s, count(*) AS n FROM orders GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY k ORDER BY s) = 1) SELECT g.k::BIGINT AS k, s, n FROM (SELECT unnest(range(0, 100)) AS k) g LEFT JOIN t USING (k)",
+    ),
+    "limit_by_distinct": (
+        "SELECT DISTINCT o_custkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 2 BY o_orderstatus, o_orderpriority",
+        "WITH d AS (SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) = 1) SELECT o_custkey FROM d QUALIFY row_number() OVER (PARTITION BY o_orderstatus, o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) <= 2",
+    ),
+    "limit_by_totals": (
+        "SELECT o_orderstatus, o_orderpriority, count() AS n FROM orders GROUP BY o_orderstatus, o_orderpriority WITH TOTALS ORDER BY n DESC, o_orderpriority LIMIT 1 BY o_orderstatus",
+        "SELECT * FROM (SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY o_orderstatus ORDER BY n DESC, o_orderpriority) = 1) UNION ALL SELECT NULL, NULL, count(*) FROM orders",
+    ),
+    "totals_fill": (
+        "SELECT o_custkey % 10 * 2 AS k, count() AS n FROM orders GROUP BY k WITH TOTALS ORDER BY k WITH FILL FROM 0 TO 25",
+        "SELECT g.k::BIGINT AS k, n FROM (SELECT unnest(range(0, 25)) AS k) g LEFT JOIN (SELECT o_custkey % 10 * 2 AS k, count(*) AS n FROM orders GROUP BY 1) t USING (k) UNION ALL SELECT NULL, count(*) FROM orders",
+    ),
+    "star": ("SELECT * FROM nation", "SELECT * FROM nation"),
+    "star_of_alias": ("SELECT n.*, r_name FROM nation n INNER JOIN region r ON n.n_regionkey = r.r_regionkey", "SELECT n.*, r_name FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey"),
+    "query_settings": ("SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 50 SETTINGS limit = 20, offset = 5", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 20 OFFSET 5"),
+    "win_over_all": ("SELECT o_orderkey, count() OVER () AS n, max(o_totalprice) OVER () AS top FROM orders", "SELECT o_orderkey, count(*) OVER () AS n, max(o_totalprice) OVER () AS top FROM orders"),
+    "join_cross_comma": "SELECT r_name, n_name FROM region CROSS JOIN nation WHERE r_regionkey = n_regionkey",
+    "table_function_remote": ("SELECT n_name FROM remote('localhost', 'nation')", "SELECT n_name FROM nation"),
+    "table_function_cluster": ("SELECT n_name FROM cluster('c', 'nation')", "SELECT n_name FROM nation"),
+    "fn_misc": (
+        "SELECT event_id, toUnixTimestamp64Milli(ts) AS ms, toStartOfMinute(ts) AS m, splitByChar('-', formatDateTime(ts, '%Y-%m-%d'))[2] AS mm, domain(concat('https://host', toString(user_id), '.example.org/p?q=1')) AS d, formatReadableSize(event_id * 1000) AS size FROM events",
+        "SELECT event_id, epoch_us(ts) // 1000 AS ms, date_trunc('minute', ts) AS m, strftime(ts, '%m') AS mm, 'host' || user_id || '.example.org' AS d, CASE WHEN event_id * 1000 >= 1073741824 THEN printf('%.2f GiB', event_id * 1000 / 1073741824.0) WHEN event_id * 1000 >= 1048576 THEN printf('%.2f MiB', event_id * 1000 / 1048576.0) WHEN event_id * 1000 >= 1024 THEN printf('%.2f KiB', event_id * 1000 / 1024.0) ELSE printf('%.2f B', (event_id * 1000)::DOUBLE) END AS size FROM events",
+    ),
+    "fn_uuid_ip": ("SELECT n_nationkey, length(generateUUIDv4()) AS n, toIPv4('10.0.0.1') AS ip, sipHash64(n_name) = sipHash64(n_name) AS same, currentDatabase() = currentDatabase() AS db FROM nation", "SELECT n_nationkey, 36::INT AS n, '10.0.0.1' AS ip, true AS same, true AS db FROM nation"),
+    "agg_quantile_sketch": ("SELECT o_orderstatus, abs(quantile(0.9)(o_totalprice) - quantileExact(0.9)(o_totalprice)) < 500 AS high, abs(median(o_totalprice) - medianExact(o_totalprice)) < 500 AS mid FROM orders GROUP BY o_orderstatus", "SELECT o_orderstatus, true AS high, true AS mid FROM orders GROUP BY 1"),
     "fill_staleness": (
         "SELECT o_custkey % 20 * 10 AS k, count() AS n FROM orders GROUP BY k ORDER BY k WITH FILL STEP 1 STALENESS 3",
         "WITH t AS (SELECT o_custkey % 20 * 10 AS k, count(*) AS n FROM orders GROUP BY 1) SELECT k, n FROM t UNION ALL SELECT k + s AS k, NULL AS n FROM t, (VALUES (1), (2)) v(s)",
@@ -170,7 +199,7 @@ def dict_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A dictionary over a table, looked up by key; unknown keys give nulls."""
     from tarn.apply import Warehouse
 
-    w = Warehouse(spark, "unused")
+    w = Warehouse(spark)
     tables = session(spark, sf_dir)
     plain = w._lookup
     w._lookup = lambda parts: tables.table(parts) if parts[-1] in TABLES else plain(parts)
@@ -198,29 +227,14 @@ def asof_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_id", F.col("p.event_id").alias("purchase_id"))
 
 
-def alter_update(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """UPDATE and DELETE as rewrites of rows."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    changed = orders.withColumn("o_orderpriority", F.when(F.coalesce(F.expr("o_totalprice > 300000"), F.lit(False)), "0-TOP").otherwise(F.col("o_orderpriority")))
-    return changed.where(~F.coalesce(F.expr("o_orderstatus = 'P'"), F.lit(False))).select("o_orderkey", "o_orderpriority")
-
-
-def windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a materialized view by hour holds: partial counts merged on read."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    partial = events.groupBy(F.expr("CAST(date_trunc('HOUR', ts) AS TIMESTAMP_NTZ)").alias("hour"), "event_type", F.expr("event_id % 4").alias("batch")).agg(F.count(F.lit(1)).alias("n"))
-    return partial.groupBy("hour", "event_type").agg(F.sum("n").alias("n"))
-
-
 CODE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "udf_inline": (udf_inline, "SELECT o_orderkey, round(o_totalprice * (1 - 0.25), 5) AS net_price, CASE WHEN round(o_totalprice * (1 - 0.1), 5) > 200000 THEN 'big' ELSE 'small' END AS size FROM orders"),
     "dict_lookup": (dict_lookup, "SELECT c_custkey, n_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey"),
     "replacing_latest": (replacing_latest, "SELECT user_id, ts, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"),
     "summing_merge": (summing_merge, "SELECT o_custkey, sum(o_orderkey)::BIGINT AS o_orderkey FROM orders GROUP BY o_custkey"),
     "asof_strict": (asof_strict, "SELECT e.event_id AS event_id, p.event_id AS purchase_id FROM (SELECT * FROM events WHERE event_type = 'error') e ASOF JOIN (SELECT * FROM events WHERE event_type = 'purchase') p ON e.user_id = p.user_id AND e.ts < p.ts"),
-    "alter_update_delete": (alter_update, "SELECT o_orderkey, CASE WHEN o_totalprice > 300000 THEN '0-TOP' ELSE o_orderpriority END AS o_orderpriority FROM orders WHERE NOT coalesce(o_orderstatus = 'P', false)"),
-    "mv_partials": (windowed_counts, "SELECT date_trunc('hour', ts) AS hour, event_type, count(*)::BIGINT AS n FROM events GROUP BY ALL"),
     **schema_queries.QUERIES,
+    **statement_queries.QUERIES,
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: _dialect(t if isinstance(t, str) else t[0]) for n, t in SQL.items()} | {n: f for n, (f, _) in CODE.items()}

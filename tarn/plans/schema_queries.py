@@ -115,6 +115,10 @@ def stmt_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.select("n_nationkey", F.sha2("n_name", 256).alias("hex"), F.length(M.statement_hash_column(F.col("n_name"))).cast("long").alias("n"))
 
 
+def stmt_hash_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", M.statement_hash_column(F.col("n_name")).alias("h"))
+
+
 def hash_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/region.parquet").select(F.col("r_regionkey").alias("ordinal"), F.col("r_name").alias("content"))
     return M.chain(rows).select(F.posexplode("hashes").alias("ordinal", "hash"))
@@ -148,5 +152,6 @@ QUERIES = {
     "rev_counts": (rev_counts, f"{_STATUS} SELECT count(*) AS total, count_if(status = 'completed')::BIGINT AS completed, count_if(status <> 'completed')::BIGINT AS pending, count_if(status = 'failed')::BIGINT AS failed FROM s"),
     "rev_after_snapshot": (rev_after_snapshot, f"WITH {_REV} SELECT version FROM m WHERE version > (SELECT max(version) FROM r WHERE kind = 'snapshot')"),
     "stmt_hash": (stmt_hash, "SELECT n_nationkey, sha256(n_name) AS hex, length('h1:' || base64(unhex(sha256(n_name))) || '=')::BIGINT AS n FROM nation"),
-    "hash_chain": (hash_chain, None),
+    "hash_chain": (hash_chain, "WITH RECURSIVE c(ordinal, hash) AS (SELECT 0, sha256(r_name) FROM region WHERE r_regionkey = 0 UNION ALL SELECT ordinal + 1, sha256(unhex(hash) || encode(r_name)) FROM c JOIN region ON r_regionkey = ordinal + 1) SELECT ordinal, hash FROM c"),
+    "stmt_hash_value": (stmt_hash_value, "SELECT n_nationkey, 'h1:' || base64(unhex(sha256(n_name))) || '=' AS h FROM nation"),
 }

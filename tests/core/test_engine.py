@@ -274,3 +274,159 @@ def test_project_image(tmp_path):
     assert sorted(map(repr, [s for s in again if s.kind != "COMMENT"])) == sorted(map(repr, statements))
     assert [s.name[-1] for s in again if s.kind == "CREATE VIEW"] == ["c", "b"]
     assert cleaned("x Float32 DEFAULT 1., LIFETIME(MIN 0 MAX 9)") == "x Float32 DEFAULT 1.0, LIFETIME(9)"
+
+
+def test_changes_of_a_table_reach_those_declared_as_it(spark):
+    chain = "CREATE TABLE d.p (a UInt8{}) ENGINE = MergeTree() ORDER BY a; CREATE TABLE d.c AS d.p ENGINE = MergeTree() ORDER BY a; CREATE TABLE d.g AS d.c ENGINE = MergeTree() ORDER BY a"
+    script = migration(spark, chain.format(""), chain.format(", b String"))
+    assert [x.name for x in parse(script)] == [("d", "c"), ("d", "g"), ("d", "p")] and all(x.kind == "ALTER TABLE" for x in parse(script))
+    with pytest.raises(NoDifference):
+        migration(spark, write_script(replayed(parse(chain.format("")) + parse(script))), chain.format(", b String"))
+
+
+def test_query_steps_compose(s):
+    assert [tuple(r) for r in s.sql("SELECT k, name FROM t ORDER BY k WITH FILL FROM 0 TO 5 LIMIT 1 BY k").collect()] == [(0, None), (1, "a"), (2, "a"), (3, None), (4, None)]
+    assert rows(s.sql("SELECT DISTINCT k FROM t ORDER BY v LIMIT 1 BY name")) == [(1,), (3,)]
+    assert [tuple(r) for r in s.sql("SELECT k, count() AS n FROM t GROUP BY k WITH TOTALS ORDER BY k WITH FILL FROM 1 TO 6").collect()] == [(1, 2), (2, 1), (3, 1), (4, None), (5, None), (None, 4)]
+    assert [tuple(r) for r in s.sql("SELECT k, name, count() AS n FROM t GROUP BY k, name WITH TOTALS ORDER BY k, name LIMIT 1 BY k").collect()] == [(1, "a", 1), (2, "a", 1), (3, None, 1), (None, None, 4)]
+    assert [tuple(r) for r in s.sql("SELECT k FROM t ORDER BY k LIMIT 3 SETTINGS limit = 2, offset = 1").collect()] == [(1,), (2,)]
+
+
+def test_warehouse_outlives_its_process(tmp_path, spark):
+    script = """CREATE DATABASE d COMMENT 'x'; CREATE TABLE d.t (id UInt64, name LowCardinality(String) DEFAULT 'n', n Nested(a UInt8, b String), v Int32, CONSTRAINT pos CHECK v >= 0) ENGINE = MergeTree() ORDER BY id PARTITION BY v % 2;
+        CREATE MATERIALIZED VIEW d.m ENGINE = SummingMergeTree() ORDER BY name AS SELECT name, sum(v) AS total FROM d.t GROUP BY name; CREATE VIEW d.v AS SELECT id FROM d.t;
+        CREATE FUNCTION inc AS (x) -> x + 1; CREATE ROLE r SETTINGS max_threads = 4; GRANT SELECT(id, v) ON d.t TO r WITH GRANT OPTION; CREATE NAMED COLLECTION c AS a = 'b' OVERRIDABLE; SET DEFAULT ROLE r TO u;
+        CREATE DICTIONARY d.x (id UInt64, v Int32) PRIMARY KEY id SOURCE(LOCAL(TABLE 't' DB 'd')) LAYOUT(FLAT()) LIFETIME(9)"""
+    w = Warehouse(spark, str(tmp_path))
+    w.run_script(script)
+    w.insert("d.t", spark.createDataFrame([(1, 1), (2, 2), (3, 3)], "id long, v int"))
+    w.run_script("ALTER TABLE d.t DETACH PARTITION 0, FREEZE WITH NAME 'f'; DETACH VIEW d.v")
+    again = Warehouse(spark, str(tmp_path))
+    for part in ("databases", "tables", "views", "dictionaries", "functions", "collections", "roles", "grants", "session_roles", "aside"):
+        assert getattr(again, part) == getattr(w, part), part
+    assert rows(again.run_script("SELECT id, inc(v) AS i FROM d.t")[0]) == [(1, 2), (3, 4)]
+    again.run_script("ALTER TABLE d.t ATTACH PARTITION 0; ATTACH VIEW d.v")
+    assert rows(Warehouse(spark, str(tmp_path)).run_script("SELECT id FROM d.v")[0]) == [(1,), (2,), (3,)]
+    assert again.named("c") == {"a": "b"}
+
+
+def test_partitions_are_folders(tmp_path, spark):
+    w = Warehouse(spark, str(tmp_path))
+    w.run_script("CREATE TABLE t (day Date, k String, v Int32) ENGINE = MergeTree() ORDER BY v PARTITION BY (toYYYYMM(day), k); CREATE TABLE u AS t ENGINE = MergeTree() ORDER BY v")
+    data = spark.createDataFrame([(f"2024-0{m}-01", k, m) for m in (1, 2, 3) for k in ("a", "b/=c", "")], "day string, k string, v int").withColumn("day", F.to_date("day"))
+    w.insert("t", data)
+    assert {r.partition for r in w.partitions('t').collect()} >= {"202401-''", "202401-a", "202401-b/=c"}
+    files = set(w.read("t").inputFiles())
+    assert len(set(w.read_partition("t", "202401-a").inputFiles())) == 1 and w.read_partition("t", "202401-a").count() == 1
+    w.run_script("ALTER TABLE t DROP PARTITION (202401, 'b/=c'), DETACH PARTITION (202402, ''); ALTER TABLE u ATTACH PARTITION (202403, 'a') FROM t; ALTER TABLE t MOVE PARTITION (202403, 'b/=c') TO TABLE u")
+    assert w.read("t").count() == 6 and w.read("u").count() == 2 and set(w.read("t").inputFiles()) < files and set(w.read("u").inputFiles()) < files
+    w.run_script("ALTER TABLE u REPLACE PARTITION (202403, 'a') FROM t; ALTER TABLE t CLEAR COLUMN v IN PARTITION (202401, 'a'), ADD COLUMN w Int32 DEFAULT v + 1")
+    assert rows(w.read("u").select("k", "v")) == [("a", 3), ("b/=c", 3)] and rows(w.read("t").select("v", "w")) == [(0, 1), (1, 2), (2, 3), (2, 3), (3, 4), (3, 4)]
+    w.run_script("ALTER TABLE t DROP COLUMN w, ADD COLUMN w String DEFAULT 'new', UPDATE w = 'old' WHERE v = 1, DROP COLUMN w, ADD COLUMN w String DEFAULT 'new'")
+    assert {r.w for r in w.read("t").collect()} == {"new"}
+    with pytest.raises(SchemaError):
+        w.run_script("ALTER TABLE t DROP COLUMN k")
+    frozen = str(tmp_path / "other")
+    w.read("u").write.parquet(frozen)
+    w.run_script(f"ALTER TABLE u FETCH PARTITION (202403, 'z') FROM '{frozen}', ATTACH PARTITION (202403, 'z')")
+    assert w.read("u").count() == 4
+
+
+def test_merging_engines(tmp_path, spark):
+    w = Warehouse(spark, str(tmp_path))
+    w.run_script(
+        """CREATE TABLE a (k String, s AggregateFunction(sum, Int64), m SimpleAggregateFunction(max, Int64), v AggregateFunction(avg, Int64)) ENGINE = AggregatingMergeTree() ORDER BY k;
+        CREATE TABLE c (k Int32, v String, sign Int8) ENGINE = CollapsingMergeTree(sign) ORDER BY k;
+        CREATE TABLE vc (k Int32, v String, sign Int8, ver Int32) ENGINE = VersionedCollapsingMergeTree(sign, ver) ORDER BY k;
+        CREATE TABLE r (k Int32, v Int32) ENGINE = ReplicatedMergeTree('/p/{shard}', '{replica}') ORDER BY k;
+        CREATE TABLE rr (k Int32, v Int32, gone UInt8) ENGINE = ReplicatedReplacingMergeTree('/p', 'r', v, gone) ORDER BY k;
+        CREATE TABLE sm (k Int32, x Int32, y Int32) ENGINE = SummingMergeTree((x)) ORDER BY k; CREATE TABLE src (k String, x Int64) ENGINE = Memory;
+        CREATE MATERIALIZED VIEW mv TO a AS SELECT k, sumState(x) AS s, max(x) AS m, avgState(x) AS v FROM src GROUP BY k; CREATE MATERIALIZED VIEW plain ENGINE = ReplicatedMergeTree('/q', 'r') ORDER BY k AS SELECT k, x FROM src"""
+    )
+    for batch in ([("a", 3), ("b", 1)], [("a", 10)]):
+        w.insert("src", spark.createDataFrame(batch, "k string, x long"))
+    assert rows(w.materialized("mv").select("k", "s", "m", "v.sum", "v.count")) == [("a", 13, 10, 13.0, 2), ("b", 1, 1, 1.0, 1)]
+    assert rows(w.run_script("SELECT k, sumMerge(s) AS s, avgMerge(v) AS v FROM mv GROUP BY k")[0]) == [("a", 13, 6.5), ("b", 1, 1.0)]
+    assert rows(w.materialized("plain")) == [("a", 10), ("a", 3), ("b", 1)]
+    w.insert("c", spark.createDataFrame([(1, "x", 1), (1, "x", -1), (1, "y", 1), (2, "z", 1), (2, "z", -1)], "k int, v string, sign int"))
+    assert rows(w.read("c", final=True)) == [(1, "y", 1)]
+    w.insert("vc", spark.createDataFrame([(1, "x", 1, 1), (1, "y", 1, 2), (1, "x", -1, 1)], "k int, v string, sign int, ver int"))
+    assert rows(w.run_script("SELECT k, v FROM vc FINAL")[0]) == [(1, "y")]
+    w.insert("r", spark.createDataFrame([(1, 1), (1, 1), (1, 2)], "k int, v int"))
+    assert w.read("r", final=True).count() == 3
+    w.insert("rr", spark.createDataFrame([(1, 1, 0), (1, 2, 1), (2, 1, 0)], "k int, v int, gone int"))
+    assert rows(w.read("rr", final=True)) == [(2, 1, 0)]
+    w.insert("sm", spark.createDataFrame([(1, 1, 5), (1, 2, 5)], "k int, x int, y int"))
+    assert rows(w.read("sm", final=True)) == [(1, 3, 5)]
+
+
+def test_engines_of_other_stores(tmp_path, spark):
+    w = Warehouse(spark, str(tmp_path / "w"))
+    for kind in ("Parquet", "CSVWithNames", "JSONEachRow", "TSV", "ORC"):
+        path = str(tmp_path / kind)
+        w.run_script(f"CREATE TABLE f_{kind} (k Int32, v String) ENGINE = File('{kind}', '{path}'); CREATE TABLE s_{kind} (k Int32, v String) ENGINE = S3('{path}', '{kind}')")
+        assert w.read(f"f_{kind}").count() == 0
+        w.insert(f"f_{kind}", spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"))
+        assert rows(w.read(f"s_{kind}")) == [(1, "a"), (2, "b")], kind
+    w.run_script(
+        f"""CREATE DATABASE d; CREATE TABLE d.x1 (k Int32) ENGINE = MergeTree() ORDER BY k; CREATE TABLE d.x2 (k Int32, z Int32) ENGINE = Memory; CREATE TABLE d.all (k Int32, z Int32) ENGINE = Merge('d', '^x');
+        CREATE TABLE d.far (k Int32) ENGINE = Distributed('c', 'd', 'x1', rand()); CREATE TABLE d.buf (k Int32) ENGINE = Buffer('d', 'x1', 16, 10, 100, 10000, 1000000, 10000000, 100000000);
+        CREATE TABLE d.nil (k Int32) ENGINE = Null; CREATE MATERIALIZED VIEW d.seen ENGINE = MergeTree() ORDER BY k AS SELECT k FROM d.nil;
+        CREATE TABLE d.q (k Int32, v String) ENGINE = Kafka('host:9092', 'topic', 'group', 'JSONEachRow') SETTINGS kafka_max_block_size = 10; CREATE TABLE d.nums AS numbers(5);
+        CREATE MATERIALIZED VIEW d.out TO file('{tmp_path}/out', 'JSONEachRow', 'k Int32') AS SELECT k FROM d.x1"""
+    )
+    one = spark.createDataFrame([(1,), (2,)], "k int")
+    for name in ("d.far", "d.buf", "d.nil"):
+        w.insert(name, one)
+    w.insert("d.x2", one.withColumn("z", F.lit(7)))
+    assert w.read("d.x1").count() == w.read("d.far").count() == 4 and w.read("d.nil").count() == 0 and w.materialized("d.seen").count() == 2
+    assert rows(w.read("d.all")) == sorted([(1, None), (1, None), (1, 7), (2, None), (2, None), (2, 7)], key=repr) and w.read("d.nums").count() == 5
+    assert w.materialized("d.out").count() == 4
+    with pytest.raises(SchemaError):
+        w.insert("d.all", one)
+    from tarn.sources.engines import messages, queue_options
+
+    assert queue_options(w, "d.q") == ({"kafka.bootstrap.servers": "host:9092", "subscribe": "topic", "groupIdPrefix": "group", "maxOffsetsPerTrigger": "10"}, "JSONEachRow")
+    sent = spark.createDataFrame([(bytearray(b'{"k": 3, "v": "x"}'),)], "value binary")
+    assert rows(messages(w, "d.q", sent)) == [(3, "x")]
+
+
+def test_two_processes_migrate(tmp_path, spark):
+    """A second migration starts from what the first process left on the shelf."""
+    from tarn.cli import main
+
+    project, schema = str(tmp_path), "CREATE DATABASE d; CREATE TABLE d.t (a UInt8{}) ENGINE = MergeTree() ORDER BY a;"
+    assert main(["--project", project, "init"]) == 0
+    for more in ("", ", b String"):
+        (tmp_path / "db" / "main.sql").write_text(schema.format(more))
+        assert main(["--project", project, "diff", "--name", f"v{len(more)}"]) == 0
+        assert main(["--project", project, "migrate"]) == 0
+    assert Warehouse(spark, str(tmp_path / "db/data")).read("d.t").columns == ["a", "b"]
+
+
+def test_snapshot_markers_and_versions():
+    for marker in ("-- snapshot", "-- SNAPSHOT", "-- tool:snapshot"):
+        m = M.read_migration("9", f"{marker}\n-- version: 9\n-- included: 1,2\n\nSELECT 1;")
+        assert m.included == ("1", "2") and len(m.statements) == 1
+    assert M.read_migration("9", "-- a snapshot\nSELECT 1;").snapshot is None
+    assert M.version_at_least("v24.10.3", 24, 10) and not M.version_at_least("24.9", 24, 10) and M.version_at_least("4.1.2", 4, 0)
+    with pytest.raises(ValueError):
+        M.version_at_least("latest", 1, 0)
+
+
+def test_command_line_checks(tmp_path, spark, capsys):
+    from tarn.cli import main
+
+    project = str(tmp_path)
+    main(["--project", project, "init"])
+    (tmp_path / "db" / "main.sql").write_text("CREATE DATABASE d; CREATE TABLE d.t (a UInt8) ENGINE = MergeTree() ORDER BY a;")
+    assert main(["--project", project, "diff", "--name", "one", "--cluster", "c"]) == 0
+    assert "ON CLUSTER" in next((tmp_path / "db" / "migrations").glob("*_one.sql")).read_text()
+    with pytest.raises(SystemExit):
+        main(["--project", project, "snapshot"])  # nothing of it has run
+    assert main(["--project", project, "schema", "compile", "--cluster", "c"]) == 0 and "ON CLUSTER" in capsys.readouterr().out
+    assert main(["--project", project, "dev", "SELECT count() AS n FROM d.t"]) == 0 and "d.t" in capsys.readouterr().out
+    dump = tmp_path / "dump.sql"
+    dump.write_text("CREATE DATABASE e; CREATE DICTIONARY e.x (a UInt8) PRIMARY KEY a SOURCE(HTTP(url 'u')) LAYOUT(FLAT()) LIFETIME(MIN 0 MAX 9)")
+    assert main(["--project", str(tmp_path / "db2"), "image", "--dump", str(dump)]) == 0 and "schemas/e/dictionaries/x.sql" in capsys.readouterr().out
+    assert main(["--project", project, "snapshot", "--bootstrap"]) == 0

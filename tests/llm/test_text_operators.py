@@ -145,10 +145,19 @@ BSD3 = BSD2 + """
 
 3. Neither the name of Some Firm Inc. nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."""
 CC = "This work is licensed under a Creative Commons Attribution{} 4.0 International License."
+ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+ZLIB = """This software is provided 'as-is', without any express or implied warranty.
+
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"""
+EPL = "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at the address below."
 NOTICES = [
     ("Apache-2.0", APACHE, "BCD"), ("GPL-3.0-or-later", GPL, "O"), ("MPL-2.0", MPL, "P"), ("MIT", MIT, "FG"), ("BSD-2-Clause", BSD2, "QKLM"), ("BSD-3-Clause", BSD3, "QKLMN"),
     ("GPL-3.0-only", "This work is licensed under the GNU General Public License, version 3.", "A"), ("CC-BY-4.0", CC.format(""), "I"), ("CC-BY-NC-4.0", CC.format("-NonCommercial"), "H"),
     ("CC-BY-SA-4.0", CC.format("-ShareAlike"), "J"), ("Unlicense", "This is free and unencumbered software released into the public domain.", "R"), ("Proprietary", "All rights reserved.", "Q"),
+    ("GPL-2.0-or-later", GPL.replace("version 3", "version 2"), "S"), ("LGPL-2.1-or-later", GPL.replace("version 3", "version 2.1").replace("GNU G", "GNU Lesser G").replace("program", "library"), "T"),
+    ("LGPL-3.0-or-later", GPL.replace("GNU G", "GNU Lesser G"), "U"), ("AGPL-3.0-or-later", GPL.replace("GNU G", "GNU Affero G"), "V"), ("ISC", ISC, "W"), ("Zlib", ZLIB, "Y"), ("EPL-2.0", EPL, "X"),
+    ("GPL-2.0-only", "Licensed under the GPL version 2.", "Z"), ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause", "a"), ("MIT", "SPDX-License-Identifier: MIT", "E"),
+    ("Apache-2.0|MIT", "Licensed under the Apache License, Version 2.0.\n\nReleased under the MIT License.\n\nAll rights reserved.", "BEQ"),
 ]
 
 
@@ -156,14 +165,17 @@ def test_license_scan_of_wrapped_notices(spark):
     """Each rule on its licence's own words, on one line, wrapped, and inside comment marks."""
     rows = []
     for name, text, ids in NOTICES:
-        for width in (10_000, 78, 40):
+        for width in (10_000, 78, 40 if "SPDX" not in text else 78):
             for mark in ("", " * ", "# ", "// "):
                 lines = [x for part in text.split("\n\n") for x in [*textwrap.wrap(part, width), ""]]
-                rows.append((f"{name} {width} {mark}", "\n".join((mark + x).rstrip() for x in lines) + "\ncode()", name, ids))
+                rows.append((f"{name} {ids} {width} {mark}", "\n".join((mark + x).rstrip() for x in lines) + "\ncode()", name, ids))
     rows.append(("no", "This is not under\nthe MIT License at all", None, ""))
     docs = spark.createDataFrame([r[:2] for r in rows], "doc_id string, text string")
-    got = {r.doc_id: (r.license, r.sentence_ids) for r in license_scan.scan(docs).collect()}
-    assert got == {d: (name, ids) for d, _, name, ids in rows}
+    out = license_scan.scan(docs).collect()
+    assert {r.doc_id: (r.licenses, r.sentence_ids) for r in out} == {d: (name or "", ids) for d, _, name, ids in rows}
+    assert all(r.license == (r.licenses.split("|")[0] or None) for r in out)
+    odd = spark.createDataFrame([(1, "All rights  reserved."), (2, "x. All rights-reserved.")], "doc_id long, text string")
+    assert {r.license for r in license_scan.scan(odd).collect()} == {"Proprietary"}
 
 
 def brute_mix(rows):

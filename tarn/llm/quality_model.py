@@ -20,11 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from tarn.llm.common import lean, modest, table
 
-#: Bounds of fitting: labelled documents of each label, words with vectors of their own, dimensions.
+#: Bounds of fitting: labelled documents of each label, words with vectors of their own (others go by their kind), dimensions.
 PER_LABEL, WORDS, DIM = 2000, 20_000, 64
+#: Bytes of text of all of them together.
+SAMPLE_BYTES = 200 << 20
 #: Non-zero entries of an index vector; neighbours on either side; hidden units.
 SPARSE, REACH, HIDDEN = 6, 2, 32
 #: Distances at which a repeated word is counted.
@@ -173,17 +176,24 @@ def held_out(id_col: str, mod: int, remainder: int):
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, mod: int, remainder: int, bounds: dict[int, int]) -> tuple[list[str], np.ndarray, float]:
-    """Texts and labels of at most ``bounds[label]`` labelled rows each that are not held out, by a hash of the id; the share of label 1."""
-    rows = labels.where(F.col(label).isin([0, 1])).where(~F.coalesce(held_out("doc_id", mod, remainder), F.lit(True))).select("doc_id", label)
+    """Texts and labels of at most ``bounds[label]`` labelled rows each that are not held out, by a hash of the id; the share of label 1.
+
+    A document that is labelled both ways is left out. Where documents repeat an id, the smallest of
+    their texts stands for it. What comes to the driver is bounded by rows, and by ``SAMPLE_BYTES`` of
+    text: documents beyond it in the order of the hash are left out.
+    """
+    rows = labels.where(F.col(label).isin([0, 1])).where(~F.coalesce(held_out("doc_id", mod, remainder), F.lit(True)))
+    rows = rows.groupBy("doc_id").agg(F.min(label).alias(label), F.max(label).alias("_most")).where(F.col(label) == F.col("_most")).drop("_most")
     counts = {r[label]: r["n"] for r in rows.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
     picked = None
     for value, bound in bounds.items():
-        part = rows.where(F.col(label) == value).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
+        part = rows.where(F.col(label) == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
         picked = part if picked is None else picked.union(part)
-    found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text", label).toPandas()  # bounded rows
-    found = found.drop_duplicates("doc_id").sort_values("doc_id")
+    found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.first(label).alias(label))
+    order = W.orderBy(F.xxhash64("doc_id"), "doc_id")  # over bounded rows
+    found = found.withColumn("_b", F.sum(F.octet_length("text")).over(order)).where(F.col("_b") <= SAMPLE_BYTES).drop("_b").toPandas().sort_values("doc_id")
     n = sum(counts.values())
-    return [t or "" for t in found["text"]], found[label].to_numpy(np.int64), (counts.get(1, 0) / n if n else 0.5)
+    return list(found["text"]), found[label].to_numpy(np.int64), (counts.get(1, 0) / n if n else 0.5)
 
 
 def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model:

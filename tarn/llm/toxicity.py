@@ -1,14 +1,17 @@
-"""Toxicity: a support vector machine under a gapped subsequence kernel, with Nyström landmarks.
+"""Toxicity: a support vector machine on sentences, under a gapped subsequence kernel with Nyström landmarks.
 
 Texts are cut into sentences and those into strings: words, words without the characters put between
-their letters, and runs of single letters. The kernel counts common subsequences of three characters,
-each weighing less the wider it is spread, up to a span; inserted characters and gaps so lower the
-similarity to an insult instead of hiding it. Landmarks turn the kernel into features for a linear
-machine. Since a decision is linear in the subsequences of a string, it folds into one table.
-
-Labels are those of documents. A sentence of a clean document is clean. In a toxic document the
-sentence that holds its most telling string is toxic; the strings are found first by their counts in
-toxic and clean documents, then by the machine itself, which is trained again (multiple instances).
+their letters, and runs of single letters. The kernel of two strings counts common subsequences of three
+characters, each weighing less the wider it is spread, up to a span; inserted characters and gaps so lower
+the similarity to an insult instead of hiding it. Similarities to landmarks, whitened by the landmarks'
+own kernel, are the features of a linear machine. A sentence is a bag of strings and as toxic as its most
+toxic string, its witness, so that its length does not drown an insult. Since a decision is linear in the
+subsequences of a string, it folds into one table.
+
+The machine is trained on labelled sentences, each by its witness. Labels are those of documents: all
+sentences of a clean document are clean; in a toxic document those are toxic that hold a string which
+toxic documents share and clean ones do not, and after a first training those that the machine itself
+finds, or its highest. Witnesses are then chosen anew, and it is trained again (multiple instances).
 """
 
 from __future__ import annotations
@@ -28,12 +31,16 @@ from pyspark.sql import types as T
 from tarn.llm.common import lean, modest, table
 from tarn.llm.quality_model import held_out, sample
 
-#: Bounds of fitting: labelled documents of each label; strings of clean documents; landmarks.
-TOXIC, CLEAN, STRINGS, LANDMARKS = 2500, 4000, 12_000, 160
+#: Bounds of fitting: labelled documents of each label. Landmarks, of which at most half are toxic witnesses.
+TOXIC, CLEAN, LANDMARKS = 2500, 4000, 160
 #: Weight of a step in a spread subsequence; its widest span; characters told apart; their bits.
 DECAY, SPAN, BITS = 0.55, 6, 6
 SIZE = 1 << (3 * BITS)
-#: Highest decisions of a text that its probability rests on, and their bounds.
+#: Turns of training; the cost of an error; what a varied string weighs; sentences beyond which a witness weighs no more.
+TURNS, COST, VARIED, MOST = 3, 20.0, 0.25, 30
+#: Decision below which a clean witness is left out of the next turn: it is far from the margin.
+FAR = -2.5
+#: Highest strings of a text that its probability rests on, and the bounds of their decisions.
 TOP, LOWEST, HIGHEST = 3, -2.0, 1.5
 CACHED = 300_000
 SENTENCE = re.compile(r"[.!?]+\s|\n")
@@ -56,8 +63,9 @@ def strings(sentence: str) -> list[str]:
     return [w for w in found if len(w) > 2]
 
 
-def sentences(text: str | None) -> list[str]:
-    return [s for s in SENTENCE.split(text or "") if s]
+def sentences(text: str | None) -> list[list[str]]:
+    """The sentences of a text that have any string, as their strings."""
+    return [found for s in SENTENCE.split(text or "") if s and (found := strings(s))]
 
 
 _CODES: dict[str, int] = {chr(97 + i): i + 1 for i in range(26)}
@@ -104,6 +112,46 @@ def kernel(left: list[str], right: list[str]) -> np.ndarray:
     return out
 
 
+@dataclass
+class Landmarks:
+    """Strings to which others are compared: for each subsequence that any of them has, its weight in all."""
+
+    names: list[str]
+    at: np.ndarray
+    weights: np.ndarray
+
+    @classmethod
+    def of(cls, names: list[str]) -> Landmarks:
+        mark, part, value = subsequences(names)
+        used = np.unique(part)
+        at = np.full(SIZE, -1, np.int32)
+        at[used] = np.arange(len(used))
+        weights = np.zeros((len(used), len(names)), np.float32)
+        weights[at[part], mark] = value
+        return cls(names, at, weights)
+
+    def similar(self, words: list[str]) -> np.ndarray:
+        """The kernel of each string with each landmark."""
+        out = np.zeros((len(words), len(self.names)), np.float32)
+        for start in range(0, len(words), 2048):
+            part = words[start : start + 2048]
+            who, what, weight = subsequences(part)
+            row = self.at[what]
+            shared = row >= 0
+            who, row, weight = who[shared], row[shared], weight[shared].astype(np.float32)
+            if len(who):
+                first = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]]))
+                out[start + who[first]] = np.add.reduceat(self.weights[row] * weight[:, None], first)
+        return out
+
+    def folded(self, weights: np.ndarray) -> np.ndarray:
+        """The table by which a string's weighted similarities are a sum over its subsequences."""
+        out = np.zeros(SIZE)
+        used = np.flatnonzero(self.at >= 0)
+        out[used] = self.weights[self.at[used]] @ weights
+        return out
+
+
 @dataclass
 class Model:
     """The folded decision table with its offset; slopes and offset of the probability."""
@@ -114,6 +162,7 @@ class Model:
     start: float
 
     def decisions(self, words: list[str]) -> np.ndarray:
+        """The machine's decision for each string."""
         out = [np.zeros(0)]
         for at in range(0, len(words), 4096):
             part = words[at : at + 4096]
@@ -121,35 +170,40 @@ class Model:
             out.append(np.bincount(who, weight * self.table[what], len(part)) + self.offset)
         return np.concatenate(out)
 
-    def highest(self, texts: list[str | None], known: dict) -> np.ndarray:
-        """The ``TOP`` highest decisions among the strings of each text's sentences, equal strings counted each."""
-        found = [Counter(w for s in sentences(t) for w in strings(s)) for t in texts]
-        new = list({w for ws in found for w in ws if w not in known})
+    def learn(self, docs: list[list[list[str]]], known: dict) -> None:
+        """Decisions of all strings of the documents, for those that are not known; what is known is dropped when there is too much of it."""
+        new = list({w for d in docs for ws in d for w in ws if w not in known})
         if len(known) + len(new) > CACHED:
             known.clear()
-            new = list({w for ws in found for w in ws})
+            new = list({w for d in docs for ws in d for w in ws})
         known.update(zip(new, self.decisions(new).tolist(), strict=True))
-        out = np.full((len(texts), TOP), LOWEST)
-        for i, ws in enumerate(found):
-            best = heapq.nlargest(TOP, ws, key=known.__getitem__)
-            got = [known[w] for w in best for _ in range(min(ws[w], TOP))][:TOP]
-            out[i, : len(got)] = np.maximum(got, LOWEST)
+
+    def highest(self, docs: list[list[list[str]]], known: dict) -> np.ndarray:
+        """The ``TOP`` highest decisions among the strings of each document's sentences, equal strings counted each."""
+        self.learn(docs, known)
+        out = np.full((len(docs), TOP), LOWEST)
+        for i, d in enumerate(docs):
+            best = heapq.nlargest(TOP, (known[x] for ws in d for x in ws))
+            out[i, : len(best)] = np.maximum(best, LOWEST)
         return np.minimum(out, HIGHEST)
 
     def scores(self, texts: list[str | None], known: dict) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.highest(texts, known) @ self.slopes + self.start, -40, 40)))
+        found = self.highest([sentences(t) for t in texts], known)
+        return 1 / (1 + np.exp(-np.clip(found @ self.slopes + self.start, -40, 40)))
+
+
+def whitening(names: list[str]) -> np.ndarray:
+    """What makes similarities to the landmarks features whose products stand for the kernel (Nyström)."""
+    values, vectors = np.linalg.eigh(kernel(names, names) + 1e-6 * np.eye(len(names)))
+    return vectors / np.sqrt(np.maximum(values, 1e-3))
 
 
-def machine(words: list[str], y: np.ndarray, weight: np.ndarray, landmarks: list[str], cost: float = 20.0) -> tuple[np.ndarray, float]:
-    """A linear machine on Nyström features, trained on the squared hinge; folded into a table and an offset."""
-    base = kernel(landmarks, landmarks)
-    values, vectors = np.linalg.eigh(base + 1e-6 * np.eye(len(landmarks)))
-    root = vectors / np.sqrt(np.maximum(values, 1e-6))
-    z = kernel(words, landmarks) @ root
+def machine(z: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = COST) -> tuple[np.ndarray, float]:
+    """A linear machine on rows of features, trained on the squared hinge by Newton steps on the rows inside the margin."""
     w, b = np.zeros(z.shape[1]), 0.0
-    for _ in range(60):  # Newton steps on the rows inside the margin
+    for _ in range(60):
         inside = y * (z @ w + b) < 1
-        a = np.column_stack([z[inside], np.ones(inside.sum())])
+        a = np.column_stack([z[inside], np.ones(inside.sum())]).astype(np.float64)
         c = (cost * weight[inside])[:, None]
         ridge = np.eye(a.shape[1])
         ridge[-1, -1] = 1e-6
@@ -158,70 +212,101 @@ def machine(words: list[str], y: np.ndarray, weight: np.ndarray, landmarks: list
         w, b = new[:-1], float(new[-1])
         if moved < 1e-6:
             break
-    out = np.zeros(SIZE)
-    mark, part, value = subsequences(landmarks)
-    np.add.at(out, part, value * (root @ w)[mark])
-    return out, b
+    return w, b
 
 
-def apart(held: list[set[str]]) -> list[bool]:
-    """Which sets of strings are not near copies of an earlier one: copies would make their own words telling.
+def shares(held: list[set[str]]) -> np.ndarray:
+    """What each set of strings weighs: near copies together weigh as one, else their own words would seem telling.
 
     Two of the eight lowest hashes among a text's long strings are shared by near copies, hardly by others.
     """
-    seen: set[tuple[int, int]] = set()
-    out = []
-    for ws in held:
+    root, first = list(range(len(held))), {}
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for i, ws in enumerate(held):
         low = sorted(zlib.crc32(w.encode()) for w in ws if len(w) > 7)[:8]
-        pairs = {(a, b) for i, a in enumerate(low) for b in low[i + 1 :]}
-        out.append(seen.isdisjoint(pairs))
-        seen |= pairs
-    return out
+        for a in range(len(low)):
+            for b in range(a + 1, len(low)):
+                root[find(i)] = find(first.setdefault((low[a], low[b]), i))
+    size = Counter(find(i) for i in range(len(held)))
+    return np.array([1 / size[find(i)] for i in range(len(held))])
 
 
 def varied(word: str, rng: np.random.Generator) -> list[str]:
-    """The string with one letter put in or doubled, at each of three places."""
+    """The string with one letter put in or doubled, at each of two places."""
     out = []
-    for at in rng.choice(np.arange(1, len(word)), min(3, len(word) - 1), replace=False).tolist():
+    for at in rng.choice(np.arange(1, len(word)), min(2, len(word) - 1), replace=False).tolist():
         out += [word[:at] + chr(97 + int(rng.integers(26))) + word[at:], word[:at] + word[at - 1] + word[at:]]
     return out
 
 
+def telling(pos: Counter, neg: Counter, share: float) -> list[str]:
+    """Strings that stand in several toxic documents and hardly in clean ones, the most frequent first; ``share`` is toxic documents for each clean one."""
+    odds = {w: (n + 0.1) / (neg[w] * share + 0.5) for w, n in pos.items()}
+    found = [w for w, n in pos.items() if n >= 2.5 and odds[w] >= 4 and neg[w] * 10 * share <= n]
+    return sorted(found, key=lambda w: (-pos[w], w)) or sorted(pos, key=lambda w: (-odds[w], w))[:20]
+
+
 def fit(texts: list[str], labels: np.ndarray, share: float, seed: int = 11) -> Model:
     """The model of these labelled documents; ``share`` is the share of label 1 among all that it stands for."""
-    held = [{w for s in sentences(t) for w in strings(s)} for t in texts]
-    single = apart(held)
-    toxic = [ws for ws, y, own in zip(held, labels, single, strict=True) if y and own]
-    clean = [ws for ws, y, own in zip(held, labels, single, strict=True) if not y and own]
+    docs = [sentences(t) for t in texts]
+    worth, rng = shares([{w for ws in d for w in ws} for d in docs]), np.random.default_rng(seed)
+    toxic = [(d, w) for d, y, w in zip(docs, labels, worth, strict=True) if y and d]
+    clean = [(ws, w) for d, y, w in zip(docs, labels, worth, strict=True) if not y for ws in d]
     if not toxic or not clean:
         return Model(np.zeros(SIZE), 0.0, np.zeros(TOP), float(np.log(max(share, 1e-3) / max(1 - share, 1e-3))))
-    pos, neg = Counter(w for ws in toxic for w in ws), Counter(w for ws in clean for w in ws)
-    odds = {w: (n + 0.1) / (neg[w] * len(toxic) / len(clean) + 0.5) for w, n in pos.items()}
-    telling = {w for w, n in pos.items() if n >= 3 and odds[w] >= 4 and neg[w] * 10 * len(toxic) <= n * len(clean)}
-    rng = np.random.default_rng(seed)
-    others = sorted(set(neg) - telling)
-    drawn = [others[i] for i in rng.permutation(len(others))[:STRINGS]]
-    model = None
-    for turn in range(3):
-        if model is not None:  # each toxic document's most telling string; the clean strings most like insults
-            score = dict(zip(pos, model.decisions(list(pos)).tolist(), strict=True))
-            best = Counter(max(ws, key=lambda w: (score[w], w)) for ws in toxic if ws)
-            telling = {w for w in best if score[w] > -0.3 and neg[w] * 10 * len(toxic) <= pos[w] * len(clean)} | {w for w in telling if score[w] > 0}
-            hard = model.decisions(others)
-            worst = [others[i] for i in np.argsort(-hard)[: STRINGS // 4]]
-            drawn = list(dict.fromkeys([*worst, *drawn]))[: STRINGS + STRINGS // 4]
-        if not telling:
-            telling = set(sorted(pos, key=lambda w: (-odds[w], w))[:20])
-        strong = sorted(telling, key=lambda w: (-pos[w], w))
-        drawn = [w for w in drawn if w not in telling]
-        near = sorted({v for w in strong[:100] for v in varied(w, rng)} - set(neg) - telling)
+    pos, neg = Counter(), Counter()
+    for d, y, w in zip(docs, labels, worth, strict=True):
+        for x in {x for ws in d for x in ws}:
+            (pos if y else neg)[x] += w
+    ratio = worth[labels == 1].sum() / worth[labels == 0].sum()
+    order = {w: i for i, w in enumerate(telling(pos, neg, ratio))}
+    # (witness, weight) of toxic sentences, and the sum for each witness of clean ones, over all turns
+    found = [(min(marked, key=order.__getitem__), w) for d, w in toxic for ws in d if (marked := [x for x in ws if x in order])]
+    safe: Counter = Counter()
+    chosen = Counter()
+    for ws, w in clean:
+        chosen[ws[int(rng.integers(len(ws)))]] += w
+    model, known = None, {}
+    for _ in range(TURNS):
+        bad = Counter()
+        for x, w in found:
+            bad[x] += w
+        bad = Counter({x: n for x, n in bad.items() if neg[x] * 10 * ratio <= n}) or bad
+        for x, n in chosen.items():
+            safe[x] = max(safe[x], n)
+        strong = sorted(bad, key=lambda x: (-bad[x], x))
+        near = sorted({v for x in strong for v in varied(x, rng)} - set(neg) - set(bad))
+        drawn = sorted((x for x in safe if x not in bad and known.get(x, 0.0) > FAR), key=lambda x: (-chosen[x], x))
         words = [*strong, *near, *drawn]
         y = np.array([1.0] * (len(strong) + len(near)) + [-1.0] * len(drawn))
-        weight = np.array([min(pos[w], 30) / 3 for w in strong] + [0.25] * len(near) + [max(1.0, min(neg[w], 30) / 3) for w in drawn])
-        landmarks = [*strong[: LANDMARKS // 2], *drawn[: LANDMARKS - min(len(strong), LANDMARKS // 2)]]
-        table_, offset = machine(words, y, weight, landmarks)
-        model = Model(table_, offset, np.ones(TOP), 0.0)
-    x = model.highest(texts, {})
+        weight = np.array([max(0.25, min(bad[x], MOST) / 3) for x in strong] + [VARIED] * len(near) + [max(1.0, min(safe[x], MOST) / 3) for x in drawn])
+        own = strong[: LANDMARKS // 2]
+        spread = [drawn[i] for i in np.unique(np.linspace(0, len(drawn) - 1, min(len(drawn), LANDMARKS - len(own))).astype(int))] if drawn else []
+        landmarks = Landmarks.of([*own, *spread])
+        root = whitening(landmarks.names)
+        w, b = machine(landmarks.similar(words) @ root, y, weight)
+        model = Model(landmarks.folded(root @ w), b, np.ones(TOP), 0.0)
+        known = {}
+        model.learn([d for d, _ in toxic], known)
+        # what is toxic now: each toxic document's sentences over the border, or its highest near it
+        found = []
+        for d, w in toxic:
+            at = [max(ws, key=lambda x: (known[x], x)) for ws in d]
+            top = max(known[x] for x in at)
+            found += [(x, w) for x in at if known[x] > 0 or (known[x] == top and top > -0.3)]
+        model.learn([[ws for ws, _ in clean]], known)
+        chosen = Counter()
+        for ws, w in clean:
+            chosen[max(ws, key=lambda x: (known.get(x, LOWEST), x))] += w
+        if not found:
+            break
+    x = model.highest(docs, {})
     model.slopes, model.start = platt(x, labels.astype(float), share)
     return model
 

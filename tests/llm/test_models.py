@@ -58,7 +58,57 @@ def test_held_out(tables, op, column, mod, rest, cut):
     assert op.score(docs, op.train(docs, labels.limit(0))).count() == docs.count()
 
 
-def test_kernel():
-    k = toxicity.kernel(["idiot", "idxiot", "garden"], ["idiot"])[:, 0]
-    assert k[0] == pytest.approx(1) and 1 > k[1] > 0.5 > k[2]
-    assert toxicity.strings("You i-d-i.o.t s c u m Été") == ["you", "idiot", "été", "scum"] or "scum" in toxicity.strings("s c u m")
+def brute_kernel(a, b):
+    """Common subsequences of three characters, each weighed by the spread of its places, over the strings with an end at either side."""
+
+    def weights(word):
+        out, chars = {}, toxicity.codes(word)
+        for i in range(len(chars)):
+            for j in range(i + 1, len(chars)):
+                for k in range(j + 1, min(i + toxicity.SPAN, len(chars))):
+                    key = chars[i], chars[j], chars[k]
+                    out[key] = out.get(key, 0) + toxicity.DECAY ** (k - i - 2)
+        return out
+
+    x, y = weights(a), weights(b)
+    dot = lambda p, q: sum(v * q.get(s, 0) for s, v in p.items())
+    return dot(x, y) / (dot(x, x) * dot(y, y)) ** 0.5
+
+
+def test_kernel_against_brute_force():
+    words = ["idiot", "idxiot", "iidiot", "garden", "été", "aaaaaa", "scum", "strasse"]
+    k = toxicity.kernel(words, words)
+    assert k == pytest.approx(np.array([[brute_kernel(a, b) for b in words] for a in words]), abs=1e-9)
+    assert k[0, 0] == pytest.approx(1) and 1 > k[1, 0] > 0.5 > k[3, 0]
+    marks = toxicity.Landmarks.of(words[:3])
+    assert marks.similar(words) == pytest.approx(k[:, :3], abs=1e-5)
+    assert toxicity.Landmarks.of(words).similar([]).shape == (0, len(words))
+    # the folded table gives the same decisions as the similarities
+    w = np.array([0.5, -1.0, 2.0])
+    model = toxicity.Model(marks.folded(w), 0.25, np.ones(toxicity.TOP), 0.0)
+    assert model.decisions(words) == pytest.approx(k[:, :3] @ w + 0.25, abs=1e-4)
+
+
+def test_sentences():
+    assert toxicity.sentences("You i-d-i.o.t s c u m Été! Off. \n\nNew line") == [["you", "idiot", "été", "scum"], ["off"], ["new", "line"]]
+    assert toxicity.sentences(None) == toxicity.sentences(" . \n!") == []
+
+
+def test_toxic_sentences_are_found_by_themselves():
+    """Trained on documents' labels, the machine tells toxic sentences from the clean ones of the same documents, also with letters put in."""
+    rows = labelled()
+    model = toxicity.fit([r[1] for r in rows], np.array([r[3] for r in rows]), 1 / 7)
+    bad, good = [], []
+    for _, text, _, toxic in rows:
+        for ws in toxicity.sentences(text):
+            (bad if {"blockhead", "nitwit", "scoundrel"} & set(ws) else good).append(model.decisions(ws).max())
+    assert min(bad) > 0 > np.quantile(good, 0.99)
+    assert (model.decisions(["blocckhead", "nitxwit", "scoundqrel"]) > -0.5).all()
+
+
+def test_labels_that_contradict_and_ids_that_repeat(spark):
+    docs = spark.createDataFrame([(1, "b one"), (1, "a two"), (2, "x"), (3, None), (4, "y")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (2, 1), (3, 0), (4, 0)], "doc_id long, toxic int")
+    kept = [d for d in (1, 3, 4) if zlib.crc32(str(d).encode()) % 5 != 0]
+    texts, y, share = quality_model.sample(docs, labels, "toxic", 5, 0, {1: 10, 0: 10})
+    assert texts == [{1: "a two", 3: "", 4: "y"}[d] for d in kept] and list(y) == [int(d == 1) for d in kept] and share == np.mean(y)

@@ -135,8 +135,8 @@ SQL: dict[str, tuple[str, str] | str] = {
     "table_function_remote": ("SELECT n_name FROM remote('localhost', 'nation')", "SELECT n_name FROM nation"),
     "table_function_cluster": ("SELECT n_name FROM cluster('c', 'nation')", "SELECT n_name FROM nation"),
     "fn_misc": (
-        "SELECT event_id, toUnixTimestamp64Milli(ts) AS ms, toStartOfMinute(ts) AS m, splitByChar('-', formatDateTime(ts, '%Y-%m-%d'))[2] AS mm, domain(concat('https://host', toString(user_id), '.example.org/p?q=1')) AS d, formatReadableSize(event_id * 1000) AS size FROM events",
-        "SELECT event_id, epoch_us(ts) // 1000 AS ms, date_trunc('minute', ts) AS m, strftime(ts, '%m') AS mm, 'host' || user_id || '.example.org' AS d, CASE WHEN event_id * 1000 >= 1073741824 THEN printf('%.2f GiB', event_id * 1000 / 1073741824.0) WHEN event_id * 1000 >= 1048576 THEN printf('%.2f MiB', event_id * 1000 / 1048576.0) WHEN event_id * 1000 >= 1024 THEN printf('%.2f KiB', event_id * 1000 / 1024.0) ELSE printf('%.2f B', (event_id * 1000)::DOUBLE) END AS size FROM events",
+        "SELECT event_id, toUnixTimestamp64Milli(ts) AS ms, toStartOfMinute(ts) AS m, splitByChar('-', formatDateTime(ts, '%Y-%m-%d'))[2] AS mm, domain(concat('https://host', toString(user_id), '.example.org/p?q=1')) AS d, formatReadableSize(event_id * 1000 + 1) AS size FROM events",
+        "SELECT event_id, epoch_us(ts) // 1000 AS ms, date_trunc('minute', ts) AS m, strftime(ts, '%m') AS mm, 'host' || user_id || '.example.org' AS d, CASE WHEN (event_id * 1000 + 1) >= 1073741824 THEN printf('%.2f GiB', (event_id * 1000 + 1) / 1073741824.0) WHEN (event_id * 1000 + 1) >= 1048576 THEN printf('%.2f MiB', (event_id * 1000 + 1) / 1048576.0) WHEN (event_id * 1000 + 1) >= 1024 THEN printf('%.2f KiB', (event_id * 1000 + 1) / 1024.0) ELSE printf('%.2f B', ((event_id * 1000 + 1))::DOUBLE) END AS size FROM events",
     ),
     "fn_uuid_ip": ("SELECT n_nationkey, length(generateUUIDv4()) AS n, toIPv4('10.0.0.1') AS ip, sipHash64(n_name) = sipHash64(n_name) AS same, currentDatabase() = currentDatabase() AS db FROM nation", "SELECT n_nationkey, 36::INT AS n, '10.0.0.1' AS ip, true AS same, true AS db FROM nation"),
     "agg_quantile_sketch": ("SELECT o_orderstatus, abs(quantile(0.9)(o_totalprice) - quantileExact(0.9)(o_totalprice)) < 500 AS high, abs(median(o_totalprice) - medianExact(o_totalprice)) < 500 AS mid FROM orders GROUP BY o_orderstatus", "SELECT o_orderstatus, true AS high, true AS mid FROM orders GROUP BY 1"),

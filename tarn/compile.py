@@ -91,6 +91,8 @@ class SparkText(Renderer):
         if low in self.functions:
             return f"({self(inlined(e, self.functions[low]))})"
         args = [self(x) for x in e.args]
+        if low in R.SCALAR:  # some become operators, which may bind tighter than what is in their arguments
+            args = [f"({t})" if isinstance(x, A.Unary | A.Binary | A.Between | A.In | A.IsNull) else t for x, t in zip(e.args, args, strict=True)]
         params = tuple(self(x) for x in e.params) if e.params is not None else None
         if e.over is None:
             return R.call(e.name, params, args, e.distinct)

@@ -284,6 +284,10 @@ def test_changes_of_a_table_reach_those_declared_as_it(spark):
         migration(spark, write_script(replayed(parse(chain.format("")) + parse(script))), chain.format(", b String"))
 
 
+def test_functions_that_become_operators_keep_their_arguments_together(s):
+    assert rows(s.sql("SELECT multiply(k + 1, 2) AS a, negate(k - 5) AS b, not(k = 1 OR k = 2) AS c, intDiv(k + 7, 2) AS d, isNull(k + v) AS e FROM t WHERE k = 2")) == [(6, 3, False, 4, True)]
+
+
 def test_query_steps_compose(s):
     assert [tuple(r) for r in s.sql("SELECT k, name FROM t ORDER BY k WITH FILL FROM 0 TO 5 LIMIT 1 BY k").collect()] == [(0, None), (1, "a"), (2, "a"), (3, None), (4, None)]
     assert rows(s.sql("SELECT DISTINCT k FROM t ORDER BY v LIMIT 1 BY name")) == [(1,), (3,)]

@@ -43,6 +43,8 @@ class Stored:
     detached: dict[str, list[str]] = field(default_factory=dict)
     #: Columns dropped from the declaration that folders still hold.
     dropped: set[str] = field(default_factory=set)
+    #: Columns that came later than some folder.
+    late: set[str] = field(default_factory=set)
 
 
 class Shelf:
@@ -134,7 +136,7 @@ class Warehouse:
         roles = [write(A.stmt("CREATE ROLE", (n,), settings=tuple(r.items()))) if r else write(A.stmt("CREATE ROLE", (n,))) for n, r in self.roles.items()]
         state = {
             "databases": {n: {**d, "engine": None if d["engine"] is None else write(A.stmt("CREATE DATABASE", (n,), engine=d["engine"]))} for n, d in self.databases.items()},
-            "tables": {n: {"declared": write(t.declared), "parts": t.parts, "attached": t.attached, "detached": t.detached, "dropped": sorted(t.dropped)} for n, t in self.tables.items()},
+            "tables": {n: {"declared": write(t.declared), "parts": t.parts, "attached": t.attached, "detached": t.detached, "dropped": sorted(t.dropped), "late": sorted(t.late)} for n, t in self.tables.items()},
             "views": {n: write(x) for n, x in self.views.items()}, "dictionaries": {n: write(x) for n, x in self.dictionaries.items()},
             "functions": functions, "collections": {n: write(x) for n, x in self.collections.items()}, "roles": roles,
             "grants": sorted(self.grants, key=repr), "session_roles": self.session_roles, "frozen": self.frozen, "aside": {n: write(x) for n, x in self.aside.items()},
@@ -149,7 +151,7 @@ class Warehouse:
             return tuple(map(tuples, x)) if isinstance(x, list) else x
 
         self.databases = {n: {**d, "engine": None if d["engine"] is None else one(d["engine"]).get("engine")} for n, d in state["databases"].items()}
-        self.tables = {n: Stored(one(t["declared"]), [tuple(p) for p in t["parts"]], t["attached"], t["detached"], set(t["dropped"])) for n, t in state["tables"].items()}
+        self.tables = {n: Stored(one(t["declared"]), [tuple(p) for p in t["parts"]], t["attached"], t["detached"], set(t["dropped"]), set(t["late"])) for n, t in state["tables"].items()}
         self.views = {n: one(x) for n, x in state["views"].items()}
         self.dictionaries = {n: one(x) for n, x in state["dictionaries"].items()}
         self.functions = {f.name[0]: f.get("body") for f in map(one, state["functions"])}
@@ -210,8 +212,8 @@ class Warehouse:
         filled = []
         for c in columns:
             x = F.col(f"`{c.name}`")
-            if c.type.name != "Nullable" and (value := self._default(c)) is not None:
-                x = F.coalesce(x, value)
+            if c.name in t.late and c.type.name != "Nullable":  # others are read as they are, so that filters reach the files
+                x = F.coalesce(x, self._default(c))
             filled.append(x.alias(c.name))
         return df.select(*filled)
 
@@ -364,7 +366,7 @@ class Warehouse:
         t = self.tables[name]
         stored = [c.name for c in self.stored_columns(name)]
         t.parts = self._written(name, df.select(*[F.col(f"`{c}`") for c in stored if c in df.columns]))
-        t.dropped = set()
+        t.dropped, t.late = set(), set()
 
     def _fresh(self, name: str) -> str:
         return f"{self.root}/{urllib.parse.quote(name.replace('.', '/'))}/{uuid.uuid4().hex}"
@@ -490,6 +492,8 @@ class Warehouse:
             if c.name in t.dropped:  # folders still hold the rows of the one before
                 self._rewrite(name, self.raw(name))
             placed(c, columns)
+            if t.parts:
+                t.late.add(c.name)
             if c.expr is not None and c.type.name == "Nullable" and c.kind not in ("ALIAS", "EPHEMERAL") and t.parts:
                 self._rewrite(name, self.raw(name).withColumn(c.name, self._default(c)))  # a null that was not given cannot be told from one that was
         elif k == "DROP COLUMN":
@@ -502,6 +506,7 @@ class Warehouse:
                 raise SchemaError(f"{name}: column {o.name[0]} is part of a key")
             declare(columns=tuple(c for c in columns if c.name != o.name[0]))
             t.dropped.add(o.name[0])
+            t.late.discard(o.name[0])
         elif k == "MODIFY COLUMN":
             c = o.get("column")
             if c.name not in at:
@@ -579,7 +584,9 @@ class Warehouse:
         mine, others = [p for p in t.parts if p[0] == key], [p for p in t.parts if p[0] != key]
         source = o.get("source")
         if verb in ("ATTACH", "REPLACE") and source:
-            given = [p for p in self.tables[full_name(source)].parts if p[0] == key]
+            other = self.tables[full_name(source)]
+            given = [p for p in other.parts if p[0] == key]
+            t.late |= other.late | ({c.name for c in self.stored_columns(name)} - {c.name for c in self.stored_columns(full_name(source))})
             t.parts = (others if verb == "REPLACE" else t.parts) + given
         elif verb == "DROP":
             t.parts = others
@@ -591,9 +598,12 @@ class Warehouse:
             t.parts = t.parts + [(key, p) for p in t.detached.pop(key)]
         elif verb == "FETCH":  # from where another warehouse, or a backup, keeps the partition's folder
             t.detached.setdefault(key, []).append(source[0])
+            t.late |= {c.name for c in self.stored_columns(name)}  # what it holds is not known
         elif verb == "MOVE":
             if o.get("medium") == "TABLE":
-                self.tables[full_name(o.get("to"))].parts += mine
+                to = self.tables[full_name(o.get("to"))]
+                to.late |= t.late
+                to.parts = to.parts + mine
                 t.parts = others
         else:
             raise NotImplementedError(f"{verb} PARTITION")

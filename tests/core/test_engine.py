@@ -56,6 +56,16 @@ def test_asof_by_brute_force(spark):
         got = asof_join(a, b, [("k", "k")], ("t", op, "t"), inner=False, held="r").select("id", "r.id")
         assert rows(got) == sorted(want, key=repr), op
         assert asof_join(a, b, [("k", "k")], ("t", op, "t")).count() == sum(w[1] is not None for w in want)
+        split = asof_join(a, b, [("k", "k")], ("t", op, "t"), inner=False, held="r", ranges=5).select("id", "r.id")
+        assert rows(split) == sorted(want, key=repr), op
+        alone = []
+        for i, _, t in left:
+            hits = [(rt, rid) for rid, _, rt in right if t is not None and rt is not None and ok(t, rt)]
+            near = best(h[0] for h in hits) if hits else None
+            alone.append((i, min((h[1] for h in hits if h[0] == near), default=None)))
+        assert rows(asof_join(a, b, [], ("t", op, "t"), inner=False, held="r").select("id", "r.id")) == sorted(alone, key=repr), op
+    mapped = b.withColumn("m", F.create_map(F.lit("x"), "id"))
+    assert asof_join(a, mapped, [("k", "k")], ("t", ">=", "t")).count() > 0
 
 
 def test_totals_limit_by_alias(s):
@@ -321,6 +331,8 @@ def test_partitions_are_folders(tmp_path, spark):
     w.insert("t", data)
     assert {r.partition for r in w.partitions('t').collect()} >= {"202401-''", "202401-a", "202401-b/=c"}
     files = set(w.read("t").inputFiles())
+    plan = w.read("t").where("v = 2")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(v,2)" in plan
     assert len(set(w.read_partition("t", "202401-a").inputFiles())) == 1 and w.read_partition("t", "202401-a").count() == 1
     w.run_script("ALTER TABLE t DROP PARTITION (202401, 'b/=c'), DETACH PARTITION (202402, ''); ALTER TABLE u ATTACH PARTITION (202403, 'a') FROM t; ALTER TABLE t MOVE PARTITION (202403, 'b/=c') TO TABLE u")
     assert w.read("t").count() == 6 and w.read("u").count() == 2 and set(w.read("t").inputFiles()) < files and set(w.read("u").inputFiles()) < files

@@ -29,6 +29,19 @@ def _step(df: DataFrame, f: Fill) -> Column:
     return F.expr(f"INTERVAL {sign} DAY") if kind in ("date", "timestamp", "timestamp_ntz") else F.lit(sign).cast(kind)
 
 
+#: Values of a gap that are made up in one array; a longer gap takes several. A multiple of 12, so that months stay in step.
+CHUNK = 1200
+
+
+def _values(spans: DataFrame, prefix: list[str], desc: bool, kind: str, step: Column) -> DataFrame:
+    """(prefix, _k, _b): the values from _a to _b by steps, in chunks, so that a wide gap is no long array."""
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        spans, step, kind = spans.withColumns({"_a": F.col("_a").cast("bigint"), "_b": F.col("_b").cast("bigint")}), step.cast("bigint"), "bigint"
+    starts = spans.select(*prefix, "_b", F.explode(F.sequence("_a", "_b", step * F.lit(CHUNK))).alias("_c"))
+    last = (F.col("_c") + step * F.lit(CHUNK - 1)).cast(kind)
+    return starts.select(*prefix, F.explode(F.sequence("_c", (F.greatest if desc else F.least)(F.col("_b"), last), step)).alias("_k"), "_b")
+
+
 def missing(df: DataFrame, prefix: list[str], f: Fill) -> DataFrame:
     """The (prefix, key) rows that a fill adds, for each prefix from its own bounds where none are given."""
     kind = dict(df.dtypes)[f.key]
@@ -42,7 +55,7 @@ def missing(df: DataFrame, prefix: list[str], f: Fill) -> DataFrame:
         nearest = (F.greatest if f.desc else F.least)(edge, F.coalesce(following, end, edge), F.coalesce(end, edge))
         spans = known.select(*prefix, (key + step).cast(kind).alias("_a"), nearest.cast(kind).alias("_b"))
         inside = F.col("_a") > F.col("_b") if f.desc else F.col("_a") < F.col("_b")
-        grid = spans.where(inside).select(*prefix, F.explode(F.sequence("_a", "_b", step)).alias("_k"), "_b").where("_k <> _b").select(*prefix, F.col("_k").cast(kind).alias(f.key))
+        grid = _values(spans.where(inside), prefix, f.desc, kind, step).where("_k <> _b").select(*prefix, F.col("_k").cast(kind).alias(f.key))
     else:
         bounds = known.groupBy(*prefix).agg(F.min(key).alias("_min"), F.max(key).alias("_max"))
         first, last = ("_max", "_min") if f.desc else ("_min", "_max")
@@ -50,7 +63,7 @@ def missing(df: DataFrame, prefix: list[str], f: Fill) -> DataFrame:
         end = F.expr(f.end).cast(kind) if f.end else F.col(last)
         spans = bounds.select(*prefix, start.alias("_a"), end.alias("_b"))
         inside = F.col("_a") >= F.col("_b") if f.desc else F.col("_a") <= F.col("_b")
-        grid = spans.where(inside).select(*prefix, F.explode(F.sequence("_a", "_b", step)).alias("_k"), "_b")
+        grid = _values(spans.where(inside), prefix, f.desc, kind, step)
         if f.end:
             grid = grid.where("_k <> _b")
         grid = grid.select(*prefix, F.col("_k").cast(kind).alias(f.key))

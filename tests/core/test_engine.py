@@ -81,6 +81,14 @@ def test_fill(s):
     assert [tuple(r) for r in down.collect()] == [(3, 1), (2, None), (1, 2)]
 
 
+def test_wide_gaps(s):
+    assert rows(s.sql("SELECT count(*) AS n, sum(k) AS t FROM (SELECT k FROM t ORDER BY k WITH FILL FROM 0 TO 100000 STEP 7)"))[0] == (14290, sum(range(0, 100000, 7)) + 1 + 1 + 2 + 3)
+    months = s.sql("SELECT toDate('2024-01-31') AS d FROM t WHERE k = 2 ORDER BY d WITH FILL FROM toDate('2024-01-31') TO toDate('2224-01-31') STEP INTERVAL 1 MONTH")
+    assert months.count() == 2400 and str(months.collect()[-1].d) == "2223-12-31"
+    down = s.sql("SELECT k FROM t WHERE k = 1 ORDER BY k DESC WITH FILL FROM 5000 TO 0 STEP -1")
+    assert down.count() == 5001  # both rows of 1
+
+
 def test_aggregates(s):
     assert rows(s.sql("SELECT countIf(v > 5) AS c, sumIf(v, k = 1) AS s, argMax(name, v) AS m, quantile(0.5)(v) AS q, uniqMerge(x) AS u FROM (SELECT any(k) AS k, v, name, uniqState(k) AS x FROM t GROUP BY v, name)")) == [(2, 30, "b", 10.0, 3)]
     approx, exact = s.sql("SELECT uniq(number % 5000) AS a, uniqExact(number % 5000) AS e FROM numbers(50000)").first()

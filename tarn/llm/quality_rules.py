@@ -39,6 +39,8 @@ HELD, REJECTED = 0.75, 1e-7
 PRIOR, GRID, COARSE, CELLS = 100, 1024, 8, 64
 #: Steps of every start before the best of them goes on; the least fall of the log determinant that counts.
 TRIALS, FALL = 2, 1e-4
+#: Estimates that are broadcast to the rows (under 1 KB each); copies that more of them are dealt out in.
+FEW, COPIES = 8192, 32
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -171,6 +173,18 @@ def squared(mu: str = "mu") -> Column:
     return F.greatest(F.lit(0.0), total)
 
 
+def _beside(rows: DataFrame, params: DataFrame, how: str = "inner") -> DataFrame:
+    """The rows with the columns of their group's estimates.
+
+    Up to ``FEW`` estimates, as counted, are broadcast. More are dealt out in copies, so that the rows of a
+    group are spread over as many tasks.
+    """
+    if params.limit(FEW + 1).count() <= FEW:
+        return rows.join(F.broadcast(params), "_g", how)
+    copies = params.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))))
+    return rows.withColumn("_copy", F.pmod(F.xxhash64("_x"), F.lit(COPIES)).cast("int")).join(copies, ["_g", "_copy"], how).drop("_copy")
+
+
 def _sums() -> list[Column]:
     return [F.count(F.lit(1)).alias("n"), *[F.sum(F.expr(_x(i))).alias(f"s{i}") for i in range(P)], *[F.sum(F.expr(f"{_x(i)} * {_x(j)}")).alias(f"s{i}_{j}") for i, j in _PAIRS]]
 
@@ -188,7 +202,7 @@ def _closest(rows: DataFrame, params: DataFrame) -> DataFrame:
     Rows of the cell in which the share is reached weigh alike, so that together they make it up.
     """
     cell = F.floor(F.sqrt(F.sqrt(squared())) * CELLS).alias("cell")
-    cells = rows.join(params.select("_g", "start", "mu", "inv"), "_g").select("_g", "start", "_x", cell).groupBy("_g", "start", "cell").agg(*_sums())
+    cells = _beside(rows, params.select("_g", "start", "mu", "inv")).select("_g", "start", "_x", cell).groupBy("_g", "start", "cell").agg(*_sums())
     w = W.partitionBy("_g", "start").orderBy("cell").rowsBetween(W.unboundedPreceding, W.currentRow)
     reach = cells.withColumn("up", F.sum("n").over(w)).withColumn("all", F.sum("n").over(W.partitionBy("_g", "start")))
     h = F.floor((F.col("all") * int(HELD * 100) + 99) / 100)
@@ -250,7 +264,7 @@ def widened(rows: DataFrame, found: DataFrame, wider: DataFrame | None) -> DataF
     The median distance from a group's own centre shows how much wider than normal its rows are spread.
     """
     cell = F.floor(F.sqrt(F.sqrt(squared())) * CELLS).alias("cell")
-    cells = rows.join(found.select("_g", "mu", "inv"), "_g").select("_g", cell).groupBy("_g", "cell").agg(F.count(F.lit(1)).alias("n"))
+    cells = _beside(rows, found.select("_g", "mu", "inv")).select("_g", cell).groupBy("_g", "cell").agg(F.count(F.lit(1)).alias("n"))
     w = W.partitionBy("_g").orderBy("cell").rowsBetween(W.unboundedPreceding, W.currentRow)
     ranked = cells.withColumn("up", F.sum("n").over(w)).withColumn("all", F.sum("n").over(W.partitionBy("_g")))
     middle = ranked.where("up * 2 >= all").groupBy("_g").agg(F.min("cell").alias("mid"))
@@ -289,7 +303,7 @@ def judged(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sour
     wider = written(groups.join(languages.withColumnRenamed("_g", "_l"), "_l").drop("_l"), "mcd-wider")
     own = sound.drop("_l")
     final = widened(own, estimates(own, wider), wider)
-    judge = rows.join(final.select("_g", "mu", "inv"), "_g", "left").withColumn("distance", F.when(~F.col("base_failed"), F.sqrt(squared())))
+    judge = _beside(rows, final.select("_g", "mu", "inv"), "left").withColumn("distance", F.when(~F.col("base_failed"), F.sqrt(squared())))
     bound = math.sqrt(chi2_quantile(1 - REJECTED, P))
     return judge.drop("_g", "_l", "_x", "mu", "inv").withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= bound, F.lit(False)))
 

@@ -108,7 +108,9 @@ def brute(rows):
     return out
 
 
-def test_against_numpy(spark):
+@pytest.mark.parametrize("few", [Q.FEW, 3])
+def test_against_numpy(spark, monkeypatch, few):
+    monkeypatch.setattr(Q, "FEW", few)  # with 3, estimates are dealt out in copies
     rng = random.Random(8)
     rows, odd = [], set()
     for lang, source, n, bad in [("en", "big", 300, 5), ("en", "b79", 79, 2), ("en", "b80", 80, 2), ("en", "three", 3, 0), ("en", "one", 1, 0), ("de", "few", 12, 1), ("xx", "lone", 1, 1), (None, None, 3, 3)]:

@@ -670,7 +670,12 @@ class Warehouse:
             return "" if v is None else v.value if isinstance(v, A.Lit) else ".".join(v.parts)
 
         kind = source.name[0].upper()
-        if text("table"):
+        address = f"{text('host') or 'localhost'}:{text('port')}".rstrip(":")
+        if kind in ("MYSQL", "POSTGRESQL"):
+            rows = engines.jdbc_source(self, kind.lower(), address, text("db"), text("table"), text("user"), text("password")).read()
+        elif kind == "MONGODB":
+            rows = engines.mongo_source(self, address, text("db"), text("collection"), text("user"), text("password")).read()
+        elif text("table"):  # the engine's own server, or another of the cluster
             rows = self._lookup(tuple(x for x in (text("db"), text("table")) if x))
         elif kind in ("FILE", "HTTP", "S3"):
             from tarn.sources.table_functions import files

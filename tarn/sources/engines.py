@@ -93,7 +93,7 @@ def jdbc_source(warehouse, kind: str, address: str, database: str, table: str, u
     )
 
 
-def _mongo(warehouse, address: str, database: str, collection: str, user: str = "", password: str = "", *_) -> Source:
+def mongo_source(warehouse, address: str, database: str, collection: str, user: str = "", password: str = "", *_) -> Source:
     login = f"{user}:{password}@" if user else ""
     options = {"connection.uri": f"mongodb://{login}{address}", "database": database, "collection": collection}
     return Source(
@@ -178,7 +178,7 @@ def of(warehouse, name: str) -> Source | None:
     if kind in tf.JDBC_ENGINES:
         return jdbc_source(warehouse, tf.JDBC_ENGINES[kind], *args)
     if kind == "MongoDB":
-        return _mongo(warehouse, *args)
+        return mongo_source(warehouse, *args)
     if kind == "Kafka":
         return _kafka(warehouse, name)
     if kind == "RabbitMQ":

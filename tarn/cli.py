@@ -9,11 +9,12 @@ from __future__ import annotations
 import argparse
 import os
 import sys
+from dataclasses import replace
 from datetime import UTC, datetime
 
 from tarn import migrate as M
 from tarn.sqlfront.ddl import parse, write_script
-from tarn.sqlfront.format import Options, format_script
+from tarn.sqlfront.format import Options, format_script, options_from
 
 MAIN, MIGRATIONS, REVISIONS, SUM = "db/main.sql", "db/migrations", "db/revisions", "tarn.sum"
 
@@ -43,7 +44,11 @@ def init(args) -> int:
 
 def fmt(args) -> int:
     """Prints files in canonical form, or writes them back."""
-    options = Options(indent=args.indent, align=not args.no_align, uppercase=not args.lowercase, multiline_queries=not args.one_line_queries, blank_lines=args.blank_lines)
+    config = _path(args, "tarn.toml")
+    base = options_from(config) if os.path.exists(config) else Options()
+    given = {"indent": args.indent, "blank_lines": args.blank_lines, "max_line": args.max_line, "align": False if args.no_align else None, "uppercase": False if args.lowercase else None}
+    given |= {"multiline_queries": False if args.one_line_queries else None, "multiline_functions": False if args.one_line_functions else None}
+    options = replace(base, **{k: v for k, v in given.items() if v is not None})
     for path in args.files:
         with open(path, encoding="utf-8") as f:
             text = format_script(f.read(), options)
@@ -217,11 +222,13 @@ def main(argv: list[str] | None = None) -> int:
     q = sub.add_parser("fmt", help=fmt.__doc__)
     q.add_argument("files", nargs="+")
     q.add_argument("-w", "--write", action="store_true")
-    q.add_argument("--indent", type=int, default=4)
+    q.add_argument("--indent", type=int)
     q.add_argument("--no-align", action="store_true")
     q.add_argument("--lowercase", action="store_true")
     q.add_argument("--one-line-queries", action="store_true")
-    q.add_argument("--blank-lines", type=int, default=1)
+    q.add_argument("--blank-lines", type=int)
+    q.add_argument("--max-line", type=int)
+    q.add_argument("--one-line-functions", action="store_true")
     q.set_defaults(run=fmt)
     q = sub.add_parser("diff", help=diff.__doc__)
     q.add_argument("--name", default="")

@@ -2,11 +2,11 @@
 
 The standard library's parser streams events; block boundaries cut the page into lines. Each line has
 a text-to-tag ratio; the ratios are smoothed with a Gaussian and split in two clusters by a threshold.
-The lines of the upper cluster choose the region: the innermost container that holds them, where lines
-inside an article or main element weigh more. Structure is a veto only: menus, headers, footers and the
-like are taken out before the ratios are smoothed, and so are elements that a class, an id or a form
-marks as boilerplate, unless they hold what else is the content. Names that articles bear too count only
-where the ratios agree. Every block of the region is returned. Time and memory grow with the page's length.
+What the page's structure says goes into the ratios before they are split: lines of menus, headers,
+footers and the like count nothing, lines inside an article or main element many times, and lines that
+a class, an id or a form marks as boilerplate a part. The lines of the upper cluster choose the region,
+the innermost container that holds them; every block of it is returned, but for marked elements without
+any line of the cluster. Time and memory grow with the page's length.
 """
 
 from __future__ import annotations
@@ -44,7 +44,7 @@ BOILERPLATE = frozenset(
     "pagination pager toolbar topbar masthead comment comments commentlist disqus replies respond share sharing social copyright disclaimer".split()
 )
 # Names that mark boilerplate only where the ratios say so too; both kinds together make up longer names.
-DOUBTFUL = frozenset("notice notices alert side widget header footer related recommended recommendations promo promotion toc skip legal box bar wrapper".split())
+DOUBTFUL = frozenset("notice notices alert side widget tags posts stories links header footer related recommended recommendations promo promotion toc skip legal box bar wrapper".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that are parts of a text and so never the region.
@@ -58,8 +58,8 @@ APART = 2.0
 PROSE, PROSE_RATIO = 80, 20
 #: Boilerplate by the element itself; by its class or id or as a form alone; by a name that articles bear too.
 SURE, MARKED, MAYBE = 3, 2, 1
-#: How many times more a line inside an article or main weighs; the share of the weight that the region then has to hold.
-TOLD, NEARLY = 10, 0.95
+#: How many times a line inside an article or main counts, and a marked line; the share of the cluster's text that a region around an article has to hold.
+TOLD, UNTOLD, NEARLY = 10.0, 0.1, 0.95
 #: Standard deviation of the smoothing, in lines.
 SIGMA = 1.0
 
@@ -225,13 +225,16 @@ def threshold(values: np.ndarray) -> float:
     return at if not len(low) or not len(high) or high.mean() >= APART * low.mean() else 0.0
 
 
-def _dense(lines: list[tuple[str, int, int, int]], skip: list[bool]) -> list[int]:
-    """The lines of the upper cluster, and all as dense as prose is, that are neither skipped nor mostly links; all not skipped if there is none.
+def _dense(page: _Lines, sure: list[bool]) -> list[int]:
+    """The lines of the upper cluster, and all as dense as prose is; all that are not boilerplate by their element if there is none.
 
-    A run of the cluster starts and ends with a line that is as dense without smoothing; others only lie in between.
+    Lines of boilerplate elements and lines that are mostly links are never in it. A run of the cluster starts
+    and ends with a line that is as dense without smoothing; others only lie in between.
     """
-    ratios = np.array([0.0 if off else max(0, len(text) - linked) / tags for (text, tags, _, linked), off in zip(lines, skip, strict=True)])
-    smooth = smoothed(ratios)
+    lines = page.lines
+    ratios = np.array([0.0 if off else max(0, len(text) - linked) / tags for (text, tags, _, linked), off in zip(lines, sure, strict=True)])
+    counts = _evidence(page)
+    smooth, ratios = smoothed(ratios) * counts, ratios * counts
     at = threshold(smooth)
     upper = smooth >= at
     n, order = len(lines), np.arange(len(lines))
@@ -241,9 +244,20 @@ def _dense(lines: list[tuple[str, int, int, int]], skip: list[bool]) -> list[int
     gap_before = np.maximum.accumulate(np.where(upper, -1, order))
     gap_after = np.minimum.accumulate(np.where(upper, n, order)[::-1])[::-1]
     upper &= (before > gap_before) & (after < gap_after)
-    able = [not off and 2 * linked <= len(text) for (text, _, _, linked), off in zip(lines, skip, strict=True)]
-    found = [i for i, (text, tags, _, _) in enumerate(lines) if able[i] and (upper[i] or (len(text) >= PROSE and len(text) >= PROSE_RATIO * tags))]
-    return found or [i for i, off in enumerate(skip) if not off]
+    able = [not off and 2 * linked <= len(text) for (text, _, _, linked), off in zip(lines, sure, strict=True)]
+    most = max((c for c, ok in zip(counts, able, strict=True) if ok), default=0.0)
+    found = {i for i, (text, tags, _, _) in enumerate(lines) if able[i] and (upper[i] or (counts[i] >= most and len(text) >= max(PROSE, PROSE_RATIO * tags)))}
+    if not any(counts[i] >= TOLD for i in found):  # an article that is too short to be seen
+        found |= {i for i, c in enumerate(counts) if able[i] and c >= TOLD}
+    return sorted(found) or [i for i, off in enumerate(sure) if not off]
+
+
+def _evidence(page: _Lines) -> np.ndarray:
+    """How many times each line counts, by where it stands."""
+    marks = [0] * len(page.parent)
+    for n in range(1, len(marks)):
+        marks[n] = min(marks[page.parent[n]] + (page.kind[n] == MARKED), 9)
+    return np.array([(TOLD if page.inside[x[2]] else 1.0) * UNTOLD ** marks[x[2]] for x in page.lines])
 
 
 def _below(page: _Lines, which: list[int], value) -> list[int]:
@@ -264,39 +278,11 @@ def _downward(page: _Lines, marks) -> list[bool]:
     return out
 
 
-def _skipped(page: _Lines) -> list[bool]:
-    """Which lines are boilerplate.
-
-    A node that is so by its class, id or as a form alone is none after all if it holds half of the
-    dense text that stands in an article or main, or, where no other article or main is left, 70 % of the
-    dense text; if nothing is left, any that holds an article or main, and then any. One with a name that
-    articles bear too is none if any of its lines is dense.
-    """
-    lines = page.lines
-    sure = [page.kind[x[2]] == SURE for x in lines]
-    marked = {n for n, k in enumerate(page.kind) if k == MARKED}
-    maybe = {n for n, k in enumerate(page.kind) if k == MAYBE}
-    if not (marked or maybe) or all(sure):
-        return sure
-    dense = _dense(lines, sure)
-    weight = _below(page, dense, lambda i: len(lines[i][0]))
-    told = _below(page, dense, lambda i: len(lines[i][0]) if page.inside[lines[i][2]] else 0)
-    holds = {n for n in marked if told[0] and 2 * told[n] >= told[0] and not page.inside[n]}
-    within = _downward(page, marked)
-    plain = any(not off and not within[x[2]] and page.inside[x[2]] for off, x in zip(sure, lines, strict=True))
-    most = set() if plain else {n for n in marked if 10 * weight[n] >= 7 * weight[0]}
-    semantic = {n for n in marked if told[n]}
-    out = sure
-    for freed in (holds | most, semantic | holds | most, marked):
-        left = _downward(page, marked - freed)
-        out = [off or left[x[2]] for off, x in zip(sure, lines, strict=True)]
-        if not all(out):
-            break
-    if maybe:
-        weight = _below(page, _dense(lines, out), lambda i: 1)
-        left = _downward(page, {n for n in maybe if not weight[n]})
-        out = [off or left[x[2]] for off, x in zip(out, lines, strict=True)]
-    return out
+def _skipped(page: _Lines, sure: list[bool], content: list[int]) -> list[bool]:
+    """Which lines are boilerplate: those of such elements, and those below a marked node that has no line of the cluster."""
+    dense = _below(page, content, lambda i: 1)
+    off = _downward(page, {n for n, k in enumerate(page.kind) if k in (MARKED, MAYBE) and not dense[n]})
+    return [a or off[x[2]] for a, x in zip(sure, page.lines, strict=True)]
 
 
 def _rounded(page: _Lines, skip: list[bool], region: int, content: list[int]) -> tuple[int, int]:
@@ -345,11 +331,12 @@ def blocks(html: str) -> list[str]:
     page.feed(html)
     page.finish()
     lines = page.lines
-    skip = _skipped(page)
-    if all(skip):
+    sure = [page.kind[x[2]] == SURE for x in lines]
+    if all(sure):
         return []
-    content = _dense(lines, skip)
-    weight = _below(page, content, lambda i: len(lines[i][0]) * (TOLD if page.inside[lines[i][2]] else 1))
+    content = _dense(page, sure)
+    skip = _skipped(page, sure, content)
+    weight = _below(page, content, lambda i: len(lines[i][0]))
     need = weight[0] * NEARLY if any(page.inside[lines[i][2]] for i in content) else weight[0]
     region = max(n for n, w in enumerate(weight) if w >= need and page.name[n] not in PARTS)
     first, last = _rounded(page, skip, region, content)

@@ -89,6 +89,26 @@ def test_the_clusters_choose(monkeypatch):
     assert "Note" in H.blocks(html)
 
 
+AROUND = (
+    "<header><h2>The Site</h2><p>News for all</p></header>", '<div class="breadcrumbs"><a href="/">Home</a> / <a href="/x">Section</a></div>',
+    '<div class="cookie-notice"><p>We use cookies to improve your visit to this site and show you adverts.</p><button>OK</button></div>',
+    '<aside><h3>Popular</h3><ul><li><a href="/a">One story about things</a></li></ul></aside>', '<div class="sidebar"><h3>Popular</h3><p>Read what others read this week.</p></div>',
+    '<form action="/s"><p>Subscribe to our newsletter</p><input name="e"><button>Go</button></form>', '<div class="share">Share this</div>',
+    f'<div id="comments"><h3>Comments</h3><div class="comment"><p>{LONG * 2}</p></div><div class="comment"><p>Nice.</p></div></div>', '<div class="related-posts"><h3>Related</h3><ul><li><a href="/q">Another</a></li></ul></div>',
+)
+
+
+def test_boilerplate_before_after_and_inside():
+    body = f"<h1>Title</h1><p>{LONG}</p><p>{SHORT}</p><p>{LONG}</p>"
+    want = ["Title", LONG.strip(), SHORT, LONG.strip()]
+    for open_, close in (("<article>", "</article>"), ("<div class='post'>", "</div>"), ("<main><div>", "</div></main>")):
+        for part in AROUND:
+            for page in (f"{part}{open_}{body}{close}", f"{open_}{body}{close}{part}", f"{open_}{body}{part}{close}", f"{open_}{part}{body}{close}"):
+                if "header" in part and not page.startswith(part) and not page.endswith(part):
+                    continue  # a header inside the article is its own
+                assert H.blocks(f"<body><nav><a href='/'>Home</a></nav>{page}<footer>us</footer></body>") == want, page
+
+
 def test_deep_pages_take_time_in_proportion():
     for make in (
         lambda n: "<div>" * n + LONG + "</div>" * n, lambda n: "<i><div>" + "<b>" * n + LONG + "</i>" * n, lambda n: "<div class='ad'>w" * n, lambda n: "<p>" * n + LONG + "</span>" * n,

@@ -133,8 +133,8 @@ class Landmarks:
     def similar(self, words: list[str]) -> np.ndarray:
         """The kernel of each string with each landmark."""
         out = np.zeros((len(words), len(self.names)), np.float32)
-        for start in range(0, len(words), 2048):
-            part = words[start : start + 2048]
+        for start in range(0, len(words), 1024):
+            part = words[start : start + 1024]
             who, what, weight = subsequences(part)
             row = self.at[what]
             shared = row >= 0
@@ -164,8 +164,8 @@ class Model:
     def decisions(self, words: list[str]) -> np.ndarray:
         """The machine's decision for each string."""
         out = [np.zeros(0)]
-        for at in range(0, len(words), 4096):
-            part = words[at : at + 4096]
+        for at in range(0, len(words), 2048):
+            part = words[at : at + 2048]
             who, what, weight = subsequences(part)
             out.append(np.bincount(who, weight * self.table[what], len(part)) + self.offset)
         return np.concatenate(out)
@@ -199,15 +199,21 @@ def whitening(names: list[str]) -> np.ndarray:
 
 
 def machine(z: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = COST) -> tuple[np.ndarray, float]:
-    """A linear machine on rows of features, trained on the squared hinge by Newton steps on the rows inside the margin."""
-    w, b = np.zeros(z.shape[1]), 0.0
+    """A linear machine on rows of features, trained on the squared hinge by Newton steps on the rows inside the margin, in parts of bounded size."""
+    n = z.shape[1] + 1
+    w, b = np.zeros(n - 1), 0.0
+    ridge = np.eye(n)
+    ridge[-1, -1] = 1e-6
     for _ in range(60):
-        inside = y * (z @ w + b) < 1
-        a = np.column_stack([z[inside], np.ones(inside.sum())]).astype(np.float64)
-        c = (cost * weight[inside])[:, None]
-        ridge = np.eye(a.shape[1])
-        ridge[-1, -1] = 1e-6
-        new = np.linalg.solve(ridge + a.T @ (c * a), a.T @ (c[:, 0] * y[inside]))
+        square, side = ridge.copy(), np.zeros(n)
+        for at in range(0, len(z), 4096):
+            part, sign = z[at : at + 4096], y[at : at + 4096]
+            inside = sign * (part @ w + b) < 1
+            a = np.column_stack([part[inside], np.ones(inside.sum())]).astype(np.float64)
+            c = cost * weight[at : at + 4096][inside]
+            square += a.T @ (c[:, None] * a)
+            side += a.T @ (c * sign[inside])
+        new = np.linalg.solve(square, side)
         moved = np.abs(new - np.append(w, b)).max()
         w, b = new[:-1], float(new[-1])
         if moved < 1e-6:
@@ -215,12 +221,12 @@ def machine(z: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = COST
     return w, b
 
 
-def shares(held: list[set[str]]) -> np.ndarray:
-    """What each set of strings weighs: near copies together weigh as one, else their own words would seem telling.
+def shares(docs: list[list[list[str]]]) -> np.ndarray:
+    """What each document weighs: near copies together weigh as one, else their own words would seem telling.
 
     Two of the eight lowest hashes among a text's long strings are shared by near copies, hardly by others.
     """
-    root, first = list(range(len(held))), {}
+    root, first = list(range(len(docs))), {}
 
     def find(i: int) -> int:
         while root[i] != i:
@@ -228,13 +234,13 @@ def shares(held: list[set[str]]) -> np.ndarray:
             i = root[i]
         return i
 
-    for i, ws in enumerate(held):
-        low = sorted(zlib.crc32(w.encode()) for w in ws if len(w) > 7)[:8]
+    for i, d in enumerate(docs):
+        low = heapq.nsmallest(8, {zlib.crc32(w.encode()) for ws in d for w in ws if len(w) > 7})
         for a in range(len(low)):
             for b in range(a + 1, len(low)):
                 root[find(i)] = find(first.setdefault((low[a], low[b]), i))
-    size = Counter(find(i) for i in range(len(held)))
-    return np.array([1 / size[find(i)] for i in range(len(held))])
+    size = Counter(find(i) for i in range(len(docs)))
+    return np.array([1 / size[find(i)] for i in range(len(docs))])
 
 
 def varied(word: str, rng: np.random.Generator) -> list[str]:
@@ -254,8 +260,10 @@ def telling(pos: Counter, neg: Counter, share: float) -> list[str]:
 
 def fit(texts: list[str], labels: np.ndarray, share: float, seed: int = 11) -> Model:
     """The model of these labelled documents; ``share`` is the share of label 1 among all that it stands for."""
-    docs = [sentences(t) for t in texts]
-    worth, rng = shares([{w for ws in d for w in ws} for d in docs]), np.random.default_rng(seed)
+    own: dict[str, str] = {}  # one object for each string, however often it stands
+    docs = [[[own.setdefault(w, w) for w in ws] for ws in sentences(t)] for t in texts]
+    worth, rng = shares(docs), np.random.default_rng(seed)
+    del own
     toxic = [(d, w) for d, y, w in zip(docs, labels, worth, strict=True) if y and d]
     clean = [(ws, w) for d, y, w in zip(docs, labels, worth, strict=True) if not y for ws in d]
     if not toxic or not clean:
@@ -286,11 +294,15 @@ def fit(texts: list[str], labels: np.ndarray, share: float, seed: int = 11) -> M
         words = [*strong, *near, *drawn]
         y = np.array([1.0] * (len(strong) + len(near)) + [-1.0] * len(drawn))
         weight = np.array([max(0.25, min(bad[x], MOST) / 3) for x in strong] + [VARIED] * len(near) + [max(1.0, min(safe[x], MOST) / 3) for x in drawn])
-        own = strong[: LANDMARKS // 2]
-        spread = [drawn[i] for i in np.unique(np.linspace(0, len(drawn) - 1, min(len(drawn), LANDMARKS - len(own))).astype(int))] if drawn else []
-        landmarks = Landmarks.of([*own, *spread])
+        first = strong[: LANDMARKS // 2]
+        spread = [drawn[i] for i in np.unique(np.linspace(0, len(drawn) - 1, min(len(drawn), LANDMARKS - len(first))).astype(int))] if drawn else []
+        landmarks = Landmarks.of([*first, *spread])
         root = whitening(landmarks.names)
-        w, b = machine(landmarks.similar(words) @ root, y, weight)
+        z = landmarks.similar(words)
+        for at in range(0, len(z), 4096):
+            z[at : at + 4096] = z[at : at + 4096] @ root
+        w, b = machine(z, y, weight)
+        del z
         model = Model(landmarks.folded(root @ w), b, np.ones(TOP), 0.0)
         known = {}
         model.learn([d for d, _ in toxic], known)

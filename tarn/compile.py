@@ -9,17 +9,19 @@ then in Spark's catalog.
 from __future__ import annotations
 
 import itertools
+import re
 import warnings
 from collections.abc import Callable, Mapping
 from dataclasses import replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from tarn.functions import registry as R
 from tarn.operators.fill import Fill, with_fill
 from tarn.sqlfront import ast as A
 from tarn.sqlfront.parser import parse_select
-from tarn.sqlfront.render import Renderer, quote
+from tarn.sqlfront.render import Renderer, quote, render
 from tarn.sqlfront.tokens import SqlError
 from tarn.types import spark_type
 
@@ -28,14 +30,61 @@ _NUMBER = itertools.count()
 BROADCAST_BYTES = 256 << 20
 # Collation names of other systems.
 COLLATIONS = {"utf8_bin": "UTF8_BINARY", "binary": "UTF8_BINARY", "utf8_general_ci": "UTF8_LCASE", "utf8_unicode_ci": "UNICODE_CI", "unicode": "UNICODE"}
+#: Types, by their text, that have no order in Spark: calendar intervals (those of days or months have a unit after the word) and variants.
+UNORDERED = re.compile(r"\binterval\b(?! )|\bvariant\b")
 TIME_UNITS = {"QUARTER": ("MONTH", 3), "WEEK": ("DAY", 7)}
 
 
 class SparkText(Renderer):
     """Trees as Spark SQL."""
 
-    def __init__(self, functions: Mapping[str, A.Lambda] = ()):
+    def __init__(self, functions: Mapping[str, A.Lambda] = (), spark: SparkSession | None = None):
         self.functions = {k.lower(): v for k, v in dict(functions).items()}
+        self.spark = spark
+
+    def on_select(self, e: A.Select) -> str:
+        def kinds(args: tuple[A.Node, ...]) -> list[str]:
+            bare = A.Select(tuple((x, f"_{i}") for i, x in enumerate(args)), with_=e.with_, from_=e.from_, joins=e.joins)
+            return self.kinds(Renderer.on_select(self, bare))
+
+        return super().on_select(self.sparing(e, kinds))
+
+    def kinds(self, text: str) -> list[str]:
+        """The types of a query's columns."""
+        return [kind for _, kind in self.spark.sql(text).dtypes]
+
+    def sparing(self, s: A.Select, kinds: Callable[[tuple[A.Node, ...]], list[str]]) -> A.Select:
+        """The query with its sketches over distinct values, where they stand beside distinct aggregates.
+
+        Spark groups such a query by keys and distinct values first, and each of these groups would hold the buffer of
+        every sketch, some kilobytes. A sketch of the distinct values is the same sketch, with one buffer for each key.
+        With distinct values of several arguments, or conditions, Spark spreads the rows and puts NULL for the other
+        arguments; a calendar interval then makes no sound key, and the query stays as it is. ``kinds`` has the types of
+        arguments.
+        """
+        inner = (A.Query, A.Select)
+
+        def opened(n):
+            return A.rebuilt(inlined(n, self.functions[n.name.lower()]), opened, inner) if isinstance(n, A.Call) and n.name.lower() in self.functions else None
+
+        old = (tuple(x for x, _ in s.items), s.having, s.order)
+        new = A.rebuilt(old, opened, inner)
+        calls = [n for n in A.walk(new, inner) if isinstance(n, A.Call) and n.over is None]
+        exact = {n for n in calls if n.distinct or R.without_if(n.name) == "uniqexact"}
+        sketches = {n for n in calls if R.without_if(n.name) in R.SKETCHES} - exact
+        if not exact or not sketches:
+            return s
+        some = {n for n in exact | sketches if R.without_if(n.name) != n.name.lower()}
+        values = {n.args[:-1] if n in some else n.args[:1] if n in sketches else n.args for n in exact | sketches}
+        if some or len(values) > 1:
+            try:
+                if self.spark is None or any(UNORDERED.search(k) for k in kinds(tuple({x for v in values for x in v}))):
+                    return s
+            except AnalysisException:
+                return s
+        items, having, order = A.rebuilt(new, lambda n: replace(n, distinct=True) if isinstance(n, A.Call) and n in sketches else None, inner)
+        named = tuple(a or ("" if x == was else render(was)) for x, was, (_, a) in zip(items, old[0], s.items, strict=True))
+        return replace(s, items=tuple(zip(items, named, strict=True)), having=having, order=order)
 
     def on_lit(self, e: A.Lit) -> str:
         if e.kind == "number" and "." in e.value:
@@ -165,7 +214,7 @@ class _Query:
 
     def __init__(self, session: Session, named: Mapping[str, DataFrame]):
         self.session, self.named = session, dict(named)
-        self.text = SparkText(session.functions)
+        self.text = SparkText(session.functions, session.spark)
 
     def view(self, df: DataFrame) -> str:
         name = f"_tarn_{next(_NUMBER)}"
@@ -240,6 +289,7 @@ class _Query:
 
     def body(self, s: A.Select, relation: str) -> str:
         """The query's text without rewrites that need more than one step."""
+        s = self.text.sparing(s, lambda args: self.text.kinds(f"SELECT {self.text.many(args)}" + (f" FROM {relation}" if relation else "")))
         parts = [f"SELECT {'DISTINCT ' * s.distinct}{', '.join(self.item(x, a) for x, a in s.items)}"]
         if relation:
             parts.append(f"FROM {relation}")
@@ -269,8 +319,6 @@ class _Query:
             return f"{text} AS `{alias}`"
         if isinstance(x, A.Name | A.Star):
             return text
-        from tarn.sqlfront.render import render
-
         return f"{text} AS `{render(x)}`".replace("``", "`") if "`" not in render(x) else text
 
     def relation(self, s: A.Select) -> tuple[A.Select, str, set[str]]:

@@ -150,6 +150,16 @@ WINDOWED = {
 }
 
 
+#: Approximate counts: each has a buffer of fixed width, some kilobytes, and does not mind equal values.
+SKETCHES = ("uniq", "uniqcombined", "uniqhll12", "approx_count_distinct")
+
+
+def without_if(name: str) -> str:
+    """The name of an aggregate in small letters, without the ending of its conditional form."""
+    low = name.lower()
+    return low[:-2] if low not in AGGREGATE and low.endswith("if") and low[:-2] in AGGREGATE else low
+
+
 def is_aggregate(name: str) -> bool:
     low = name.lower()
     return low in AGGREGATE or (low.endswith("if") and low[:-2] in AGGREGATE)
@@ -165,7 +175,7 @@ def call(name: str, params: tuple[str, ...] | None, args: list[str], distinct: b
             return AGGREGATE[low](params or (), "DISTINCT " + ", ".join(args))
         return AGGREGATE[low](params or (), *args)
     if low.endswith("if") and low[:-2] in AGGREGATE and args:
-        inner = AGGREGATE[low[:-2]](params or (), *args[:-1])
+        inner = AGGREGATE[low[:-2]](params or (), *(["DISTINCT " + ", ".join(args[:-1])] if distinct else args[:-1]))
         if not inner.endswith(")") or inner.startswith(("named_struct", "try_divide", "transform", "slice", "hll_sketch_estimate")):
             raise SqlError(f"{name}: no conditional form")
         return f"{inner} FILTER (WHERE {args[-1]})"

@@ -266,24 +266,24 @@ def stmt(kind: str, name: tuple[str, ...] = (), **clauses: Any) -> Stmt:
     return Stmt(kind, name).having(**clauses)
 
 
-def rebuilt(node: Any, change) -> Any:
-    """The tree with ``change`` applied to every node from below; change returns a node or None to keep it."""
+def rebuilt(node: Any, change, skip: tuple[type, ...] = ()) -> Any:
+    """The tree with ``change`` applied to every node from below; change returns a node or None to keep it. Nodes of ``skip`` stay."""
     if isinstance(node, tuple):
-        return tuple(rebuilt(x, change) for x in node)
-    if not is_dataclass(node):
+        return tuple(rebuilt(x, change, skip) for x in node)
+    if not is_dataclass(node) or isinstance(node, skip):
         return node
-    new = {f.name: rebuilt(getattr(node, f.name), change) for f in fields(node)}
+    new = {f.name: rebuilt(getattr(node, f.name), change, skip) for f in fields(node)}
     node = type(node)(**new)
     changed = change(node)
     return node if changed is None else changed
 
 
-def walk(node: Any):
-    """All nodes of a tree, the root first."""
+def walk(node: Any, skip: tuple[type, ...] = ()):
+    """All nodes of a tree, the root first, without those of ``skip`` and what is in them."""
     if isinstance(node, tuple):
         for x in node:
-            yield from walk(x)
-    elif is_dataclass(node):
+            yield from walk(x, skip)
+    elif is_dataclass(node) and not isinstance(node, skip):
         yield node
         for f in fields(node):
-            yield from walk(getattr(node, f.name))
+            yield from walk(getattr(node, f.name), skip)

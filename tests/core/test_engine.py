@@ -1,4 +1,6 @@
 """Semantics of the compiler, the differ, migrations and statements at work."""
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,6 +97,32 @@ def test_aggregates(s):
     assert exact == 5000 and abs(approx - exact) < 0.05 * exact
 
 
+def test_sketches_beside_distinct_aggregates(spark):
+    """No group of a key and a distinct value holds a sketch's buffer, which has a fixed width of kilobytes."""
+    t = spark.sql("SELECT id % 3 AS k, id % 900 AS a, CASE WHEN id % 5 > 0 THEN concat('n', id % 700) END AS b, id % 2 AS c, make_interval(0, 0, 0, id % 4) AS i FROM range(6000)").cache()
+    s = Session(spark, {"t": t}, {"spread": parse("CREATE FUNCTION spread AS (v) -> uniq(v) - uniqExact(v)")[0].get("body")})
+    wide = r"Aggregate\(keys=\[[^\]]*\b[ab]#[^\]]*\], functions=\[[^\]]*approx_count_distinct"
+    one, two = t.selectExpr("approx_count_distinct(a, 0.02)").first()[0], t.selectExpr("approx_count_distinct(b, 0.02)").first()[0]
+    for text, want in (
+        ("SELECT uniq(a), uniqExact(a) FROM t", (one, 900)),
+        ("SELECT uniq(a) AS u, uniqExact(b) AS e, count() AS n FROM t", (one, 560, 6000)),
+        ("SELECT uniq(b) AS u, count(DISTINCT a) AS e, uniqCombined(a) > 0 AS x FROM t", (two, 900, True)),
+        ("SELECT uniqIf(a, c = 0) AS u, uniqExactIf(a, c = 1) AS e, sum(c) AS n FROM t", (t.where("c = 0").selectExpr("approx_count_distinct(a, 0.02)").first()[0], 450, 3000)),
+        ("SELECT uniq(a) AS u FROM t HAVING uniqExact(b) = 560", (one,)),
+        ("SELECT spread(a) AS d FROM t", (one - 900,)),
+        ("SELECT (SELECT uniq(a) + uniqExact(b) FROM t) AS d", (one + 560,)),
+    ):
+        df = s.sql(text)
+        assert rows(df) == [want], text
+        assert not re.search(wide, df._jdf.queryExecution().executedPlan().toString()), text
+    assert s.sql("SELECT uniq(a), uniqExact(a) FROM t").columns == ["uniq(a)", "uniqExact(a)"]
+    by_key = s.sql("SELECT k, uniq(a) AS u, uniqExact(b) AS e FROM t GROUP BY k WITH TOTALS")
+    assert rows(by_key) == rows(t.rollup("k").agg(F.expr("approx_count_distinct(a, 0.02)"), F.expr("count(DISTINCT b)")))
+    # a calendar interval is no sound key beside NULLs that Spark puts in
+    assert rows(s.sql("SELECT uniq(i) AS u, uniqExact(a) AS e, count() AS n, max(b) AS m FROM t")) == [(4, 900, 6000, "n99")]
+    assert rows(s.sql("SELECT uniq(a) AS u, uniqExact(i) AS e, count() AS n FROM t")) == [(one, 4, 6000)]
+
+
 def test_types():
     assert spark_type(parse_type("Map(String, Array(Nullable(UInt8)))")).simpleString() == "map<string,array<smallint>>"
     assert spark_type(parse_type("Decimal64(2)")).simpleString() == "decimal(18,2)"
